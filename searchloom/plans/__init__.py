@@ -5,7 +5,7 @@ import importlib
 from searchloom.plans.registry import ORACLES, QUERIES
 
 
-MODULES = ("source",)
+MODULES = ("source", "compare")
 
 
 def load_all() -> None:

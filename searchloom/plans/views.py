@@ -55,3 +55,66 @@ FROM (
 ) t GROUP BY property_id, day, page, query, country, device
 """,
 )
+
+# Two exports per property (one per customer) with declared collection facts.
+view(
+    "search_sources",
+    """
+SELECT 'property-' || c_custkey AS property_id, source_id,
+  CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Europe/Berlin' ELSE 'America/Los_Angeles' END AS embedded_timezone,
+  CASE k % 11 WHEN 0 THEN 'Asia/Tokyo' WHEN 1 THEN 'America/Los_Angeles' ELSE NULL END AS outside_timezone,
+  CASE k % 13 WHEN 0 THEN 'other_export' WHEN 1 THEN NULL ELSE 'gsc_search_analytics' END AS source_kind,
+  CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN window_end || 'T05:00:00Z' ELSE next_day || 'T18:30:00Z' END AS data_as_of,
+  CASE WHEN k % 7 = 0 THEN 'unknown' WHEN k % 9 = 0 THEN 'preliminary' ELSE 'final' END AS finality,
+  CASE k % 8 WHEN 0 THEN NULL WHEN 1 THEN TRUE ELSE k % 9 = 0 END AS preliminary,
+  CASE k % 10 WHEN 0 THEN NULL WHEN 1 THEN TRUE ELSE FALSE END AS row_limit_hit,
+  CASE k % 12 WHEN 0 THEN NULL WHEN 1 THEN FALSE ELSE TRUE END AS pagination_complete,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'unknown' WHEN k % 14 = 0 THEN 'degraded' ELSE 'complete' END AS declared_quality
+FROM (
+  SELECT c_custkey, c_mktsegment, 'baseline' AS source_id, c_custkey AS k, '1997-12-31' AS window_end, '1998-01-01' AS next_day FROM customer
+  UNION ALL
+  SELECT c_custkey, c_mktsegment, 'current', c_custkey + 3, '1998-12-31', '1999-01-01' FROM customer
+) t
+""",
+)
+view(
+    "properties",
+    """
+SELECT 'property-' || c_custkey AS property_id,
+  CASE WHEN c_custkey % 23 = 0 THEN '' ELSE c_name END AS property_label,
+  CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 'web' END AS search_type,
+  CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE 'Europe/Berlin' END AS analysis_timezone,
+  c_custkey % 29 = 0 AS grain_overridden
+FROM customer
+""",
+)
+view(
+    "ai_rows",
+    """
+SELECT property_id, day, page, country, device, sum(impressions) AS impressions
+FROM search_daily GROUP BY property_id, day, page, country, device
+""",
+    needs=("search_daily",),
+)
+view(
+    "ai_sources",
+    """
+SELECT c.c_custkey AS comparison_id, c.source_id,
+  CASE WHEN (c.c_custkey + c.k) % 9 = 0 THEN NULL ELSE 'property-' || c.c_nationkey END AS property_id,
+  CASE WHEN (c.c_custkey + c.k) % 7 = 0 THEN NULL WHEN c.c_custkey % 31 = 0 THEN 'set ' || c.k ELSE 'none' END AS filters,
+  CASE (c.c_custkey + c.k) % 6 WHEN 0 THEN NULL WHEN 1 THEN c.window_end || 'T05:00:00Z' ELSE c.next_day || 'T18:30:00Z' END AS data_as_of,
+  CASE (c.c_custkey + c.k) % 8 WHEN 0 THEN 'unknown' WHEN 1 THEN 'preliminary' ELSE 'final' END AS finality,
+  CASE (c.c_custkey + c.k) % 8 WHEN 1 THEN TRUE ELSE NULL END AS preliminary,
+  CASE (c.c_custkey + c.k) % 10 WHEN 0 THEN 'unknown' WHEN 1 THEN 'incomplete' ELSE 'complete' END AS completeness,
+  CASE (c.c_custkey + c.k) % 11 WHEN 0 THEN NULL WHEN 1 THEN TRUE ELSE FALSE END AS row_limit_hit,
+  CAST(c.window_end AS DATE) AS window_end, coalesce(o.source_rows, 0) AS source_rows, coalesce(o.placeholder_rows, 0) AS placeholder_rows
+FROM (
+  SELECT c_custkey, c_nationkey, 'baseline' AS source_id, 0 AS k, '1997-12-31' AS window_end, '1998-01-01' AS next_day FROM customer
+  UNION ALL
+  SELECT c_custkey, c_nationkey, 'current', 4, '1998-12-31', '1999-01-01' FROM customer
+) c
+LEFT JOIN (SELECT o_custkey, count(*) AS source_rows,
+    count(CASE WHEN o_orderkey % 40 = 0 THEN 1 END) AS placeholder_rows FROM orders GROUP BY o_custkey) o
+  ON c.c_custkey = o.o_custkey
+""",
+)
