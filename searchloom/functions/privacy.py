@@ -109,7 +109,7 @@ def valid_resident_id(value: Column) -> Column:
 
 def _tail_after(text: Column, word: str) -> Column:
     """Text after the first hit of ``word``; empty when there is none."""
-    return F.regexp_extract(text, rf"(?is)^.*?(?:{word})(.*)$", 1)
+    return F.regexp_extract(text, rf"(?isU)^.*?(?:{word})(.*)$", 1)
 
 
 def _phone(text: Column) -> Column:
@@ -224,3 +224,20 @@ def payload_field(name: Column) -> Column:
     for suffix in PAYLOAD_FIELD_SUFFIXES:
         hit = hit | snake.endswith(suffix)
     return hit
+
+
+def record_json_kind(text: Column) -> Column:
+    """Scan one JSON record at any depth: key names first, then the text without exempt digests."""
+    names = F.regexp_extract_all(text, F.lit(r'"([^"\\]*(?:\\.[^"\\]*)*)"\s*:'), F.lit(1))
+    digest = (
+        r'(?i)"(?:[^"]*[_-])?(?:hash|sha(?:1|224|256|384|512)?|digest|checksum|changes_head|reviews_head)'
+        r'(?:[_-][^"]*)?"\s*:\s*"[0-9a-f]{32,128}"'
+    )
+    return F.when(F.exists(names, sensitive_key), F.lit("sensitive_key")).otherwise(
+        record_text_kind(F.regexp_replace(text, digest, '""'))
+    )
+
+
+def payload_json_kind(text: Column) -> Column:
+    names = F.regexp_extract_all(text, F.lit(r'"([^"\\]*(?:\\.[^"\\]*)*)"\s*:'), F.lit(1))
+    return F.when(F.exists(names, payload_field), F.lit("credential_field")).otherwise(payload_text_kind(text))

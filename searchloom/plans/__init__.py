@@ -5,7 +5,7 @@ import importlib
 from searchloom.plans.registry import ORACLES, QUERIES
 
 
-MODULES = ("source", "compare")
+MODULES = ("source", "gate", "compare")
 
 
 def load_all() -> None:
