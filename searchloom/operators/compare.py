@@ -460,3 +460,11 @@ def ai_source_contract(sources: DataFrame, row_limit: int = AI_ROW_LIMIT) -> Dat
     return staged.withColumns(
         {"status": severity_status(limited, F.size("issues")), "contract_complete": complete}
     )
+
+
+def duplicate_safe_count(rows: DataFrame, keys: Sequence[str], grain: Sequence[str]) -> DataFrame:
+    """Duplicate groups and rows per key; the grain count is combined map-side first."""
+    per_grain = rows.groupBy(*keys, *grain).agg(F.count("*").alias("n")).filter("n > 1")
+    return per_grain.groupBy(*keys).agg(
+        F.count("*").alias("duplicate_groups"), F.sum("n").alias("duplicate_rows")
+    )

@@ -5,7 +5,7 @@ import importlib
 from searchloom.plans.registry import ORACLES, QUERIES
 
 
-MODULES = ("source", "gate", "compare")
+MODULES = ("source", "gate", "compare", "review")
 
 
 def load_all() -> None:

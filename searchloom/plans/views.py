@@ -118,3 +118,67 @@ LEFT JOIN (SELECT o_custkey, count(*) AS source_rows,
   ON c.c_custkey = o.o_custkey
 """,
 )
+
+# The three review sources in one table; a blank metric is NULL, never zero.
+view(
+    "review_rows",
+    """
+SELECT property_id, kind, day, landing_page, country, device, landing_page = '/part/11' AS explicitly_mapped,
+  CASE WHEN property_id = 'property-4' AND kind = 'analytics' AND key_id % 2 = 0 THEN 'timestamp'
+    WHEN day IS NULL THEN 'unknown' ELSE 'date' END AS temporal_grain,
+  clicks, impressions, sessions, conversions, leads, qualified, pipeline_value
+FROM (
+  SELECT property_id, 'search' AS kind, day, landing_page, country, device, min(key_id) AS key_id,
+    CASE WHEN min(key_id) % 97 = 0 THEN NULL ELSE sum(clicks) END AS clicks, sum(impressions) AS impressions,
+    CAST(NULL AS DOUBLE) AS sessions, CAST(NULL AS DOUBLE) AS conversions, CAST(NULL AS DOUBLE) AS leads,
+    CAST(NULL AS DOUBLE) AS qualified, CAST(NULL AS DOUBLE) AS pipeline_value
+  FROM (SELECT 'property-' || n.n_regionkey AS property_id, l.l_orderkey AS key_id,
+      CASE WHEN n.n_regionkey = 3 AND l.l_orderkey % 501 = 0 THEN NULL ELSE CAST(l.l_shipdate AS DATE) END AS day,
+      CASE WHEN n.n_regionkey = 3 AND l.l_partkey % 53 = 0 THEN NULL ELSE '/part/' || (l.l_partkey % 50) END AS landing_page,
+      n.n_name AS country, l.l_linestatus AS device, CAST(floor(l.l_quantity * l.l_discount) AS DOUBLE) AS clicks, l.l_quantity AS impressions
+    FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey) a
+  GROUP BY property_id, day, landing_page, country, device
+  UNION ALL
+  SELECT property_id, 'analytics', day, landing_page, country, device, min(o_orderkey), NULL, NULL, CAST(count(*) AS DOUBLE),
+    CASE WHEN property_id <> 'property-1' AND min(o_orderkey) % 211 = 0 THEN NULL
+      ELSE CAST(count(CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 1 END) AS DOUBLE) END, NULL, NULL, NULL
+  FROM order_rows GROUP BY property_id, day, landing_page, country, device
+  UNION ALL
+  SELECT property_id, 'crm', day, landing_page, country, NULL, min(o_orderkey), NULL, NULL, NULL, NULL, CAST(count(*) AS DOUBLE),
+    CAST(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS DOUBLE), sum(floor(o_totalprice))
+  FROM order_rows WHERE property_id <> 'property-2' OR day < DATE '1998-01-01' GROUP BY property_id, day, landing_page, country
+) u
+""",
+    needs=("order_rows",),
+)
+view(
+    "order_rows",
+    """
+SELECT o.*, 'property-' || n.n_regionkey AS property_id, CAST(o.o_orderdate AS DATE) AS day, '/part/' || (o.o_custkey % 50) AS landing_page,
+  n.n_name AS country, CASE o.o_orderstatus WHEN 'P' THEN NULL ELSE o.o_orderstatus END AS device
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+""",
+)
+view(
+    "review_sources",
+    """
+SELECT 'property-' || c_custkey AS property_id, kind, DATE '1998-12-31' AS window_end, 'UTC' AS analysis_timezone,
+  CASE WHEN c_custkey < 3 THEN 'America/Los_Angeles' WHEN k % 7 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'Europe/Berlin'
+    ELSE 'America/Los_Angeles' END AS source_timezone,
+  CASE WHEN c_custkey % 11 = 4 THEN 'timestamp' WHEN k % 13 = 12 THEN 'unknown' ELSE 'date' END AS temporal_grain,
+  CASE k % 6 WHEN 4 THEN NULL WHEN 5 THEN '1998-12-31T05:00:00Z' ELSE '1999-01-01T18:30:00Z' END AS data_as_of,
+  CASE WHEN k % 9 = 7 THEN 'unknown' WHEN k % 9 = 8 THEN 'preliminary' ELSE 'final' END AS finality,
+  CASE k % 8 WHEN 7 THEN TRUE WHEN 6 THEN FALSE ELSE NULL END AS preliminary,
+  CASE k % 10 WHEN 8 THEN NULL WHEN 9 THEN TRUE ELSE FALSE END AS row_limit_hit,
+  CASE k % 12 WHEN 10 THEN NULL WHEN 11 THEN FALSE ELSE TRUE END AS pagination_complete,
+  CASE k % 5 WHEN 3 THEN NULL WHEN 4 THEN 0.5E0 ELSE 1.0E0 END AS sampling_rate,
+  CASE k % 7 WHEN 5 THEN NULL WHEN 6 THEN TRUE ELSE FALSE END AS thresholding,
+  CASE k % 11 WHEN 9 THEN NULL ELSE 'last_touch' END AS attribution_model,
+  CASE k % 14 WHEN 12 THEN 'unknown' WHEN 13 THEN 'degraded' ELSE 'complete' END AS declared_quality
+FROM (
+  SELECT c_custkey, 'search' AS kind, c_custkey AS k FROM customer
+  UNION ALL SELECT c_custkey, 'analytics', c_custkey + 1 FROM customer
+  UNION ALL SELECT c_custkey, 'crm', c_custkey + 2 FROM customer WHERE c_custkey % 4 <> 3
+  ) t WHERE kind = 'search' OR c_custkey % 10 <> 9
+""",
+)
