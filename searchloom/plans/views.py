@@ -1,5 +1,7 @@
 """Input projections over the supplied tables (plain SQL that both engines run)."""
 
+from statistics import NormalDist
+
 from searchloom.plans.tables import view
 
 # Search rows as exported text, dirtied by key so every parsing branch occurs.
@@ -182,3 +184,206 @@ FROM (
   ) t WHERE kind = 'search' OR c_custkey % 10 <> 9
 """,
 )
+
+# Five experiments over the event users: unit-days with text flags, repeats and gaps as they come.
+view(
+    "panel_rows",
+    """
+SELECT row_id, 'exp-' || (user_id % 5) AS experiment_id,
+  CASE WHEN user_id % 29 = 3 AND day > DATE '2024-01-15' THEN 'late-' || user_id WHEN row_id % 307 = 5 THEN ' ' ELSE 'unit-' || user_id END AS unit_id,
+  'pair-' || CAST(CAST(floor(user_id / 10) AS BIGINT) AS STRING) AS pair_id, day,
+  CASE WHEN user_id % 50 = 49 AND row_id % 2 = 0 THEN 'maybe'
+    WHEN (substr(sha256('g' || user_id), 1, 1) < '8') <> (user_id % 40 = 13 AND row_id % 2 = 0) THEN
+      CASE row_id % 3 WHEN 0 THEN 'Treated' WHEN 1 THEN 'test' ELSE ' treatment ' END
+    ELSE CASE row_id % 3 WHEN 0 THEN 'Holdout' WHEN 1 THEN 'control' ELSE '对照组' END END AS group_text,
+  CASE WHEN row_id % 61 = 7 THEN '' WHEN row_id % 67 = 9 THEN '1,0' || lpad(CAST(clicks AS STRING), 2, '0') ELSE CAST(clicks AS STRING) END AS clicks,
+  CAST(views AS STRING) AS views, CASE WHEN row_id % 173 = 2 THEN 'n/a' ELSE CAST(errors AS STRING) END AS errors,
+  CASE WHEN row_id % 37 = 1 THEN 'YES' WHEN row_id % 83 = 1 THEN 'x' ELSE 'no' END AS contaminated_text,
+  CASE WHEN row_id % 89 = 1 THEN '?' WHEN day > DATE '2024-01-15' AND substr(sha256('g' || user_id), 1, 1) < '8' THEN 'true' ELSE '0' END AS applied_text
+FROM panel_base
+""",
+    needs=("panel_base",),
+)
+view(
+    "panel_base",
+    """
+SELECT user_id, CAST(ts AS DATE) AS day, min(event_id) AS row_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS clicks,
+  count(CASE WHEN event_type = 'view' THEN 1 END) AS views, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors
+FROM events GROUP BY user_id, CAST(ts AS DATE), event_id % 101 = 0
+""",
+)
+view(
+    "baseline_rows",
+    """
+SELECT 'exp-' || (user_id % 5) AS experiment_id, 'unit-' || user_id AS unit_id,
+  'pair-' || CAST(CAST(floor(user_id / 10) AS BIGINT) AS STRING) AS pair_id, day, CAST(sum(clicks) AS DOUBLE) AS clicks,
+  CAST(sum(views) AS DOUBLE) AS views, CAST(sum(errors) AS DOUBLE) AS errors
+FROM panel_base WHERE day <= DATE '2024-01-15' GROUP BY user_id, day
+""",
+    needs=("panel_base",),
+)
+view(
+    "exp_specs",
+    """
+SELECT DISTINCT 'exp-' || (user_id % 5) AS experiment_id, CASE WHEN user_id % 5 >= 3 THEN 'matched_page_did' ELSE 'randomized_page_holdout' END AS design,
+  'clicks' AS primary_metric, CASE user_id % 5 WHEN 1 THEN 'decrease' ELSE 'increase' END AS direction, 'seed-' || (user_id % 5) AS seed,
+  CASE user_id % 5 WHEN 1 THEN 0.3E0 ELSE 0.5E0 END AS treatment_fraction,
+  DATE '2024-01-01' AS baseline_start, DATE '2024-01-14' AS baseline_end, DATE '2024-01-16' AS observation_start, DATE '2024-01-30' AS observation_end,
+  CASE user_id % 5 WHEN 2 THEN 0.5E0 ELSE 1.0E0 END AS mde_value, CASE user_id % 5 WHEN 2 THEN 'relative_to_control_baseline' ELSE 'absolute' END AS mde_scale,
+  CASE user_id % 5 WHEN 4 THEN 0.1E0 ELSE 0.05E0 END AS alpha,
+  CASE user_id % 5 WHEN 3 THEN FALSE WHEN 4 THEN NULL ELSE TRUE END AS artifact_passed,
+  CASE user_id % 5 WHEN 0 THEN '2024-01-31' WHEN 1 THEN '2024-01-31T09:00:00Z' WHEN 2 THEN '2024-01-31T03:00:00Z' WHEN 3 THEN '2024-01-29' ELSE '2024-03-01T00:00:00Z' END AS data_as_of,
+  CASE user_id % 5 WHEN 4 THEN 'Asia/Tokyo' ELSE 'America/Los_Angeles' END AS source_timezone,
+  CASE user_id % 5 WHEN 3 THEN DATE '2024-01-30' ELSE DATE '2024-02-02' END AS analysis_as_of, '2024-02-02 12:00:00' AS now_utc
+FROM events
+""",
+)
+view(
+    "guardrails",
+    """
+SELECT DISTINCT 'exp-' || (user_id % 5) AS experiment_id, 'views' AS metric, 'non_decrease' AS direction, 0.25E0 AS threshold FROM events
+UNION ALL SELECT DISTINCT 'exp-' || (user_id % 5), 'errors', 'non_increase', 0.1E0 FROM events
+""",
+)
+# One specification per customer, with every kind of fault.
+view(
+    "draft_specs",
+    """
+SELECT CASE WHEN c_custkey % 41 = 1 THEN ' ' ELSE 'draft-' || c_custkey END AS experiment_id,
+  CASE c_custkey % 7 WHEN 0 THEN 'before_after' WHEN 1 THEN 'matched_page_did' ELSE 'randomized_page_holdout' END AS design,
+  'clicks' AS primary_metric, CASE c_custkey % 13 WHEN 0 THEN 'up' ELSE 'increase' END AS direction,
+  CASE c_custkey % 17 WHEN 0 THEN '' ELSE 's' || c_custkey END AS seed,
+  CASE c_custkey % 5 WHEN 0 THEN 1.0E0 WHEN 1 THEN 0.3E0 ELSE 0.5E0 END AS treatment_fraction,
+  DATE '2024-01-01' AS baseline_start, CASE c_custkey % 11 WHEN 0 THEN DATE '2023-12-01' WHEN 1 THEN DATE '2024-02-20' ELSE DATE '2024-01-31' END AS baseline_end,
+  DATE '2024-02-10' AS observation_start, CASE c_custkey % 19 WHEN 0 THEN DATE '2024-02-01' ELSE DATE '2024-03-01' END AS observation_end,
+  CASE c_custkey % 8 WHEN 0 THEN 0.0E0 WHEN 1 THEN NULL ELSE 1.5E0 END AS mde_value, CASE c_custkey % 9 WHEN 0 THEN 'percent' ELSE 'absolute' END AS mde_scale,
+  CASE c_custkey % 10 WHEN 0 THEN 1.0E0 ELSE 0.05E0 END AS alpha, CASE c_custkey % 6 WHEN 0 THEN 'ranking_factor' WHEN 1 THEN 'none' ELSE NULL END AS paid_role,
+  CASE c_custkey % 12 WHEN 0 THEN 'clicks' ELSE 'views' END AS rail_1, CASE c_custkey % 14 WHEN 0 THEN 'views' ELSE 'errors' END AS rail_2,
+  CASE c_custkey % 15 WHEN 0 THEN 'flat' ELSE 'non_decrease' END AS rail_direction, CASE c_custkey % 16 WHEN 0 THEN -1.0E0 ELSE 0.1E0 END AS rail_threshold
+FROM customer
+""",
+)
+view(
+    "frozen_sources",
+    """
+SELECT 'exp-' || c_custkey AS experiment_id, source_id, CASE source_id WHEN 'web' THEN 'ga4_property_report' ELSE 'crm_aggregate_export' END AS source_kind,
+  CASE WHEN k % 9 = 0 THEN NULL WHEN k % 8 = 0 THEN 'Europe/Berlin' ELSE 'America/Los_Angeles' END AS source_timezone,
+  CASE source_id WHEN 'web' THEN CASE WHEN k % 5 = 0 THEN 'clicks' ELSE 'clicks,views' END ELSE CASE WHEN k % 6 = 0 THEN 'leads,views' WHEN k % 7 = 0 THEN 'leads,spam' ELSE 'leads' END END AS metrics,
+  CASE WHEN k % 10 = 0 THEN NULL ELSE 'last_touch' END AS attribution_model, CAST(NULL AS STRING) AS data_as_of, 'unknown' AS finality,
+  CAST(NULL AS BOOLEAN) AS preliminary, CAST(NULL AS BOOLEAN) AS row_limit_hit, CAST(NULL AS BOOLEAN) AS pagination_complete,
+  CAST(NULL AS DOUBLE) AS sampling_rate, CAST(NULL AS BOOLEAN) AS thresholding, 'complete' AS declared_quality
+FROM (SELECT c_custkey, 'web' AS source_id, c_custkey AS k FROM customer UNION ALL SELECT c_custkey, 'deals', c_custkey + 1 FROM customer) t
+""",
+)
+view(
+    "supplied_sources",
+    """
+SELECT 'exp-' || c_custkey AS experiment_id, source_id, CASE WHEN k % 23 = 0 THEN 'other_kind' ELSE NULL END AS source_kind,
+  CASE WHEN k % 21 = 0 THEN 'UTC' ELSE NULL END AS source_timezone, CASE WHEN k % 19 = 0 THEN 'clicks' ELSE NULL END AS metrics,
+  CASE WHEN k % 17 = 0 THEN 'first_touch' ELSE NULL END AS attribution_model,
+  CASE WHEN k % 11 = 0 THEN NULL ELSE '2024-02-01T00:00:00Z' END AS data_as_of, CASE WHEN k % 12 = 0 THEN 'preliminary' WHEN k % 13 = 0 THEN NULL ELSE 'final' END AS finality,
+  CASE WHEN k % 14 = 0 THEN TRUE ELSE NULL END AS preliminary, CASE WHEN k % 15 = 0 THEN TRUE WHEN k % 16 = 0 THEN NULL ELSE FALSE END AS row_limit_hit,
+  k % 18 <> 0 AS pagination_complete, CASE WHEN k % 20 = 0 THEN NULL WHEN k % 22 = 0 THEN 0.2E0 ELSE 1.0E0 END AS sampling_rate,
+  CASE WHEN k % 24 = 0 THEN NULL ELSE k % 25 = 0 END AS thresholding, CASE WHEN k % 26 = 0 THEN 'degraded' ELSE NULL END AS declared_quality
+FROM (SELECT c_custkey, 'web' AS source_id, c_custkey AS k FROM customer UNION ALL SELECT c_custkey, 'deals', c_custkey + 1 FROM customer
+  UNION ALL SELECT c_custkey, 'late', c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') t
+""",
+)
+
+GENESIS = "0" * 64
+_N = NormalDist()
+# Power of an effect of 2.802 standard errors at alpha 0.05, as evidence would state it.
+_POWER_2802 = repr(round(_N.cdf(-_N.inv_cdf(0.975) - 2.802) + 1 - _N.cdf(_N.inv_cdf(0.975) - 2.802), 12)) + "E0"
+CHAIN = 8  # records per chain: eight consecutive events, so building one never gathers more
+
+
+def _chained() -> str:
+    """Hash each chain record over its predecessor's hash, one nesting level per position."""
+    fields = ", ".join(
+        f"max(CASE WHEN sequence = {i} THEN {c} END) AS {c}{i}" for i in range(1, CHAIN + 1) for c in ("head", "tail")
+    )
+    inner = f"(SELECT project_id, chain, {fields} FROM ledger_base GROUP BY project_id, chain) c0"
+    for i in range(1, CHAIN + 1):
+        prev = f"'{GENESIS}'" if i == 1 else f"h{i - 1}"
+        inner = f"(SELECT *, sha256(head{i} || {prev} || tail{i}) AS h{i} FROM {inner}) c{i}"
+    pick = lambda shift: " ".join(
+        f"WHEN {i} THEN {(f'h{i - shift}' if i - shift > 0 else repr(GENESIS))}" for i in range(1, CHAIN + 1)
+    )
+    return f"""
+SELECT b.project_id, b.chain, b.sequence, b.event_id, b.head, b.tail,
+  CASE b.sequence {pick(1)} END AS previous_hash, CASE b.sequence {pick(0)} END AS record_hash
+FROM ledger_base b JOIN {inner} ON b.project_id = c{CHAIN}.project_id AND b.chain = c{CHAIN}.chain
+"""
+
+
+view(
+    "ledger_base",
+    """
+SELECT project_id, chain, sequence, event_id, '{"change_id":"change-' || user_id || '","previous_hash":"' AS head,
+  '","project_sha256":"' || CASE WHEN event_id % 127 = 3 THEN sha256('other') ELSE sha256(project_id) END || '","record_kind":"' || chain
+  || '","schema_version":"1.0","sequence":' || sequence || ',"status":"' || event_type || '"}' AS tail
+FROM (SELECT *, 'project-' || CAST(CAST(floor(event_id / 16) AS BIGINT) AS STRING) AS project_id,
+  CASE WHEN floor(event_id / 8) % 2 = 0 THEN 'change' ELSE 'review' END AS chain, CAST(event_id % 8 + 1 AS BIGINT) AS sequence FROM events) e
+""",
+)
+view("ledger_clean", _chained(), needs=("ledger_base",))
+# Lines as stored, some tampered with after hashing.
+view(
+    "ledger_lines",
+    """
+SELECT project_id, chain, sequence AS line_number, CASE
+    WHEN event_id % 101 = 4 THEN replace(full_line, '"status":"', '"status":"edited-')
+    WHEN event_id % 151 = 5 THEN replace(full_line, previous_hash, sha256('elsewhere'))
+    WHEN event_id % 173 = 6 THEN replace(full_line, '"sequence":', '"sequence":1')
+    WHEN event_id % 199 = 7 THEN '[1]' WHEN event_id % 211 = 8 THEN '' ELSE full_line END AS line
+FROM (SELECT *, replace(head || previous_hash || tail, '","record_kind"', '","record_hash":"' || record_hash || '","record_kind"') AS full_line FROM ledger_clean) l
+""",
+    needs=("ledger_clean",),
+)
+view(
+    "ledger_heads",
+    """
+SELECT a.project_id, a.chain, a.sequence, CASE WHEN a.event_id % 31 = 2 THEN sha256('missing') WHEN a.sequence = 1 THEN '"""
+    + GENESIS
+    + """' ELSE b.record_hash END AS other_head
+FROM ledger_clean a JOIN ledger_clean b ON a.project_id = b.project_id AND a.sequence = b.sequence AND a.chain <> b.chain
+""",
+    needs=("ledger_clean",),
+)
+# Status history of changes: one change per event user, in event order.
+view(
+    "change_events",
+    """
+SELECT 'project-' || (user_id % 3) AS project_id, 'change-' || user_id AS change_id, event_id AS sequence,
+  CASE event_type WHEN 'view' THEN 'planned' WHEN 'click' THEN 'implemented' WHEN 'signup' THEN 'artifact_verified'
+    WHEN 'purchase' THEN 'outcome_pending' ELSE CASE event_id % 5 WHEN 0 THEN 'implementation_failed' WHEN 1 THEN 'rolled_back' WHEN 2 THEN 'cancelled'
+      WHEN 3 THEN 'reviewed' ELSE 'shipped' END END AS status,
+  CASE event_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END AS passed, CASE event_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'evidence-' || event_id END AS evidence,
+  CASE WHEN event_id % 6 < 3 THEN 'exp-' || user_id ELSE NULL END AS registered_experiment
+FROM events
+""",
+)
+view(
+    "reviews",
+    """
+SELECT 'project-' || (conv_id % 3) AS project_id, 'review-' || conv_id || '-' || (turn % 4) AS review_id, 'change-' || (conv_id % 170) AS change_id,
+  conv_id * 1000 + turn AS sequence, CASE (conv_id + turn) % 8 WHEN 0 THEN 'implementation-failed' WHEN 1 THEN 'incremental-positive' WHEN 2 THEN 'no-detectable-change'
+    WHEN 3 THEN 'incremental-positive' WHEN 4 THEN 'no-detectable-change' WHEN 5 THEN 'directional-positive' WHEN 6 THEN 'won' ELSE 'inconclusive' END AS verdict,
+  CASE WHEN conv_id % 9 = 0 THEN NULL ELSE 'exp-' || (conv_id % 170) END AS experiment_id, CASE WHEN turn % 5 = 4 THEN NULL ELSE 'holdout' END AS counterfactual_method,
+  CASE WHEN conv_id % 11 = 0 THEN NULL WHEN conv_id % 3 = 0 THEN 2.801E0 ELSE 2.802E0 END AS preregistered_mde,
+  CASE WHEN conv_id % 13 = 0 THEN NULL WHEN conv_id % 7 = 0 THEN 0.5E0 WHEN conv_id % 5 = 0 THEN 0.799719913309E0 ELSE """ + _POWER_2802 + """ END AS claimed_power,
+  CASE WHEN conv_id % 10 = 0 THEN 'limited' ELSE 'complete' END AS integrity_status, CASE WHEN conv_id % 12 = 0 THEN 1 ELSE 0 END AS integrity_issues,
+  CASE WHEN conv_id % 14 = 0 THEN ' ' ELSE 'result.json' END AS integrity_evidence, turn % 3 = 0 AS passed, CASE WHEN turn % 2 = 0 THEN 'log' ELSE NULL END AS evidence
+FROM conversations
+""",
+)
+view(
+    "results",
+    """
+SELECT 'exp-' || c_custkey AS experiment_id, CASE WHEN c_custkey % 16 = 0 THEN 'inconclusive' ELSE 'eligible_incremental' END AS eligibility,
+  c_custkey % 15 <> 0 AS artifact_passed, c_custkey % 17 <> 0 AS quality_passed, CASE WHEN c_custkey % 18 = 0 THEN 'inconclusive' ELSE 'complete' END AS measurement_status,
+  c_custkey % 5 <> 0 AS point_supports, c_custkey % 4 <> 0 AS interval_supports, CASE WHEN c_custkey % 6 = 0 THEN 2.801E0 ELSE 2.802E0 END AS mde,
+  CASE WHEN c_custkey % 8 = 0 THEN 2.0E0 ELSE 1.0E0 END AS standard_error, 0.05E0 AS alpha, CASE WHEN c_custkey % 2 = 0 THEN -1.0E0 ELSE 0.5E0 END AS ci_lower, 2.0E0 AS ci_upper
+FROM customer
+""",
+)

@@ -50,13 +50,13 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def ledger_fields(lines: DataFrame) -> DataFrame:
     """Typed fields of each line; a line that is no JSON object gets NULLs and ``line_issue``."""
     schema = (
-        "schema_version string, record_kind string, project_id string, sequence bigint, previous_hash string, "
+        "schema_version string, record_kind string, project_sha256 string, sequence bigint, previous_hash string, "
         "record_hash string, change_id string, status string"
     )
     parsed = F.from_json("line", schema, {"mode": "PERMISSIVE"})
     valid = F.try_parse_json("line").isNotNull() & F.trim("line").startswith("{")
     return lines.withColumn("_r", F.when(valid, parsed)).select(
-        "line",
+        *lines.columns,
         "_r.*",
         F.when(F.trim("line") == "", F.lit("blank_line")).when(~valid, F.lit("not_a_json_object")).alias("line_issue"),
     )
