@@ -5,7 +5,7 @@ import importlib
 from searchloom.plans.registry import ORACLES, QUERIES
 
 
-MODULES = ("source", "gate", "compare", "review", "experiment", "ledger")
+MODULES = ("source", "gate", "compare", "review", "experiment", "ledger", "page")
 
 
 def load_all() -> None:

@@ -387,3 +387,121 @@ SELECT 'exp-' || c_custkey AS experiment_id, CASE WHEN c_custkey % 16 = 0 THEN '
 FROM customer
 """,
 )
+
+# Crawled pages with injected head and body tags, so every page rule has hits and misses.
+view(
+    "page_base",
+    """
+SELECT page_id, regexp_replace(url, '#.*$', '') AS url, html, regexp_extract(url, '^[a-z]+://[^/]+', 0) AS site_id FROM pages
+""",
+)
+view("page_hub", "SELECT site_id, min(page_id) AS hub_id FROM page_base GROUP BY site_id", needs=("page_base",))
+view(
+    "page_linked",
+    """
+SELECT b.page_id AS p, b.site_id, b.url, b.html, h.url AS hub_url, coalesce(n.url, b.url) AS next_url, coalesce(r.url, b.url) AS prev_url,
+  coalesce(q.url, b.url) AS requested_url
+FROM page_base b JOIN page_hub g ON b.site_id = g.site_id JOIN page_base h ON h.page_id = g.hub_id
+LEFT JOIN page_base n ON n.page_id = b.page_id + 1 LEFT JOIN page_base r ON r.page_id = b.page_id - 1
+LEFT JOIN page_base q ON q.page_id = b.page_id - CASE b.page_id % 13 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END
+""",
+    needs=("page_base", "page_hub"),
+)
+view(
+    "site_pages",
+    """
+SELECT p AS page_id, site_id, url, requested_url, url AS final_url, CASE p % 13 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS redirect_hops,
+  CASE p % 11 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN NULL WHEN 3 THEN 301 ELSE 200 END AS status,
+  CASE p % 17 WHEN 0 THEN 'otherbot: noindex' WHEN 1 THEN 'googlebot: noindex, max-snippet: 5' ELSE '' END AS x_robots,
+  replace(shaped, '</head>',
+    CASE WHEN p % 4 <> 0 THEN '<link rel="canonical" href="' || url || '">' ELSE '' END
+    || CASE WHEN p % 16 IN (1, 4) THEN '<link rel="canonical" href="' || next_url || '">' WHEN p % 16 = 8 THEN '<link rel="canonical" href="ftp://files.example.com/x">' ELSE '' END
+    || CASE WHEN p % 14 = 7 THEN '<meta name="googlebot" content="none">' WHEN p % 7 = 0 THEN '<meta name="robots" content="NOINDEX, follow">'
+       WHEN p % 7 = 1 THEN '<meta name="robots" content="max-snippet:5; index">' ELSE '' END
+    || CASE WHEN p % 5 = 0 THEN '<link rel="alternate" hreflang="en" href="' || url || '"><link rel="alternate" hreflang="fr" href="' || next_url || '"><link rel="alternate" hreflang="x-default" href="' || hub_url || '">'
+       WHEN p % 5 = 1 AND p % 25 <> 1 THEN '<link rel="alternate" hreflang="fr" href="' || url || '"><link rel="alternate" hreflang="en" href="' || prev_url || '">'
+       WHEN p % 10 = 3 THEN '<link rel="alternate" hreflang="de" href="' || url || '"><link rel="alternate" hreflang="DE" href="' || hub_url || '">'
+       WHEN p % 10 = 8 THEN '<link rel="alternate" hreflang="es" href="' || hub_url || '">' ELSE '' END
+    || CASE WHEN p % 18 = 3 THEN '<script type="application/ld+json">{"@type":"Product",}</script>'
+       WHEN p % 6 = 0 THEN '<script type="application/ld+json">{"@type":"WebSite","publisher":{"@type":["Brand","Organization"]}}</script>' ELSE '' END
+    || CASE WHEN p % 3 <> 0 THEN '<meta name="Description" content=" Text  ' || (p % 4) || ' ">' ELSE '' END
+    || CASE WHEN p % 30 = 2 THEN '<title>Second</title>' ELSE '' END || '</head>')
+  || '<a href="' || hub_url || '">Hub page</a><a href="' || next_url || '" rel="nofollow Sponsored">Next</a><a href="mailto:a@example.com">Mail</a><a href="#top">Top</a>'
+  || CASE WHEN p % 4 = 0 THEN '<a href="/missing?x=1&amp;utm_campaign=z#f">Filter</a>' ELSE '' END
+  || CASE WHEN p % 12 = 0 THEN '<a>no target</a>' WHEN p % 12 = 6 THEN '<span role="link">x</span>' ELSE '' END
+  || '<img src="/img/ok.png" alt="">' || CASE WHEN p % 9 = 0 THEN '<img src="/img/' || p || '.png">' ELSE '' END
+  || CASE WHEN p % 8 = 0 THEN '<picture><source srcset="/img/a.webp 1x, /img/b.webp 2x"><img src="https://cdn.example.com/c.png" alt="c" width="10" height="5"></picture>' ELSE '' END
+  || CASE WHEN p % 10 = 0 THEN '<img data-src="/img/lazy.png" alt="lazy">' ELSE '' END AS html
+FROM (
+  SELECT *, CASE WHEN p % 40 = 3 THEN replace(replace(titled, '<h1>', '<h2>'), '</h1>', '</h2>') WHEN p % 20 = 0 THEN replace(titled, '<html lang="', '<html data-lang="') ELSE titled END AS shaped
+  FROM (SELECT *, CASE WHEN p % 30 = 4 THEN regexp_replace(html, '<title>[^<]*</title>', '') ELSE html END AS titled FROM page_linked) t
+) s
+""",
+    needs=("page_linked",),
+)
+# The same pages after client-side scripts ran.
+view(
+    "rendered_pages",
+    """
+SELECT page_id, site_id, url, requested_url, final_url, redirect_hops, status, x_robots,
+  CASE page_id % 6 WHEN 1 THEN html || '<a href="/client">Client link</a>' WHEN 2 THEN replace(html, '<link rel="canonical"', '<link rel="was-canonical"')
+    WHEN 3 THEN replace(replace(html, '"NOINDEX, follow"', '"follow"'), '"none"', '"all"') ELSE html END AS html
+FROM site_pages WHERE page_id % 15 <> 14
+UNION ALL
+SELECT page_id, site_id, site_id || '/only-rendered/' || page_id, url, url, 0, status, '', html FROM site_pages WHERE page_id % 15 = 14
+""",
+    needs=("site_pages",),
+)
+view("sites", "SELECT DISTINCT site_id, length(site_id) % 2 = 0 AS production FROM page_base UNION ALL SELECT DISTINCT 'https://' || lower(n_name) || '.example.com', TRUE FROM nation", needs=("page_base",))
+view("fetches", "SELECT site_id, url, status FROM site_pages", needs=("site_pages",))
+view(
+    "assets",
+    "SELECT DISTINCT site_id, site_id || '/img/ok.png' AS url FROM page_base UNION ALL SELECT DISTINCT site_id, site_id || '/img/a.webp' FROM page_base",
+    needs=("page_base",),
+)
+view(
+    "redirects",
+    """
+SELECT b.url, t.url AS location FROM page_base b JOIN page_base t
+  ON t.page_id = CASE WHEN b.page_id % 26 = 6 THEN b.page_id - 1 ELSE b.page_id + 1 END
+WHERE b.page_id % 13 IN (0, 1) OR b.page_id % 26 IN (5, 6) OR b.page_id % 40 BETWEEN 20 AND 33
+""",
+    needs=("page_base",),
+)
+# Sitemap files of at most fifty locations, an index per fifty files, and a root index naming those.
+view(
+    "sitemap_docs",
+    """
+SELECT site_id, doc_url, CASE WHEN (length(doc_url) + k) % 9 = 4 THEN '<urlset><url><loc>' || site_id || '</url>' WHEN (length(doc_url) + k) % 9 = 5 THEN '<feed><entry/></feed>'
+  ELSE '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || body || '<url><loc> ' || site_id || '/ghost/' || k || ' </loc></url><url><loc>https://elsewhere.example.org/x</loc></url><url><loc>not-absolute</loc></url>'
+    || '<url><loc>' || site_id || '//ghost/' || k || '#again</loc></url></urlset>' END AS xml
+FROM (SELECT site_id, site_id || '/sitemap-' || k || '.xml' AS doc_url, k, string_agg('<url><loc>' || replace(url, '&', '&amp;') || '</loc><priority>0.5</priority></url>', '') AS body
+  FROM (SELECT *, CAST(floor(page_id / 50) AS BIGINT) AS k FROM page_base) b GROUP BY site_id, k) d
+UNION ALL
+SELECT site_id, site_id || '/index-' || m || '.xml', '<sitemapindex>' || string_agg('<sitemap><loc>/sitemap-' || k || '.xml</loc></sitemap>', '') || '<sitemap><loc>https://elsewhere.example.org/s.xml</loc></sitemap></sitemapindex>'
+FROM (SELECT DISTINCT site_id, CAST(floor(page_id / 50) AS BIGINT) AS k, CAST(floor(page_id / 2500) AS BIGINT) AS m FROM page_base) e GROUP BY site_id, m
+UNION ALL
+SELECT site_id, site_id || '/sitemap.xml', '<sitemapindex>' || string_agg('<sitemap><loc>index-' || m || '.xml</loc></sitemap>', '') || '</sitemapindex>'
+FROM (SELECT DISTINCT site_id, CAST(floor(page_id / 2500) AS BIGINT) AS m FROM page_base) f GROUP BY site_id
+""",
+    needs=("page_base",),
+)
+view(
+    "robots_docs",
+    """
+SELECT site_id, CASE length(site_id) % 5
+  WHEN 0 THEN 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10) || 'Allow: /en/' || chr(10) || 'Disallow: /en/1' || chr(10)
+  WHEN 1 THEN '# note' || chr(10) || 'Disallow: /fr/' || chr(10) || 'User-agent: Googlebot' || chr(10) || 'User-agent: otherbot' || chr(10) || 'Disallow: /*page=*' || chr(10) || 'Allow: /en/*page' || chr(10) || 'Noindex: /old' || chr(10)
+  WHEN 2 THEN 'User-agent: google' || chr(10) || 'Disallow: /*.html$' || chr(10) || 'Sitemap: ' || site_id || '/sitemap.xml' || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10)
+  WHEN 3 THEN 'USER-AGENT: *' || chr(13) || chr(10) || 'Disallow:' || chr(13) || chr(10) || 'Disallow: /fr # french' || chr(13) || chr(10) || 'Allow: /fr' || chr(10)
+  ELSE 'User-agent: otherbot' || chr(10) || 'Disallow: /' || chr(10) END AS text
+FROM (SELECT DISTINCT site_id FROM page_base) s
+""",
+    needs=("page_base",),
+)
+view(
+    "graph_edges",
+    """
+SELECT 'site-' || (l_suppkey % 3) AS site_id, 'p' || (l_partkey % 1000) AS source, 'p' || (((l_partkey % 1000) * 2 + l_linenumber % 2) % 1000) AS target FROM lineitem
+""",
+)
