@@ -301,14 +301,14 @@ def _chained() -> str:
     """Hash each chain record over its predecessor's hash, one nesting level per position."""
     fields = ", ".join(
         f"max(CASE WHEN sequence = {i} THEN {c} END) AS {c}{i}" for i in range(1, CHAIN + 1) for c in ("head", "tail")
-    )
+)
     inner = f"(SELECT project_id, chain, {fields} FROM ledger_base GROUP BY project_id, chain) c0"
     for i in range(1, CHAIN + 1):
         prev = f"'{GENESIS}'" if i == 1 else f"h{i - 1}"
         inner = f"(SELECT *, sha256(head{i} || {prev} || tail{i}) AS h{i} FROM {inner}) c{i}"
     pick = lambda shift: " ".join(
         f"WHEN {i} THEN {(f'h{i - shift}' if i - shift > 0 else repr(GENESIS))}" for i in range(1, CHAIN + 1)
-    )
+)
     return f"""
 SELECT b.project_id, b.chain, b.sequence, b.event_id, b.head, b.tail,
   CASE b.sequence {pick(1)} END AS previous_hash, CASE b.sequence {pick(0)} END AS record_hash
@@ -505,3 +505,68 @@ view(
 SELECT 'site-' || (l_suppkey % 3) AS site_id, 'p' || (l_partkey % 1000) AS source, 'p' || (((l_partkey % 1000) * 2 + l_linenumber % 2) % 1000) AS target FROM lineitem
 """,
 )
+
+# Responses and prompts.
+view(
+    "json_responses",
+    """
+SELECT conv_id, turn, '{"conv":{"id":' || conv_id || ',"role":"' || role || '"},"files":[{"path":"a' || turn || '.md"}],"facts":["f' || (conv_id % 3) || '","f' || (turn % 4) || '","g"]}' AS response,
+  CASE (conv_id + turn) % 6 WHEN 0 THEN 'conv.id' WHEN 1 THEN 'conv.role' WHEN 2 THEN 'files.0.path' WHEN 3 THEN 'conv.absent' WHEN 4 THEN 'files.9.path' ELSE 'facts' END AS target,
+  CASE (conv_id + turn) % 6 WHEN 0 THEN CAST(conv_id AS STRING) WHEN 1 THEN '"user"' WHEN 2 THEN '"a1.md"' ELSE '[ "f0", "f1", "g" ]' END AS expected
+FROM conversations
+""",
+)
+view(
+    "prompts",
+    """
+SELECT text_id, text FROM all_texts
+UNION ALL SELECT 'prompt-' || o_orderkey, CASE o_orderkey % 24
+  WHEN 0 THEN '帮我创建一个 SEO skill' WHEN 1 THEN 'Build a generic  SKILL for invoices' WHEN 2 THEN 'campaign 预算 怎么设' WHEN 3 THEN '什么是 SEO' WHEN 4 THEN '什么是 SEO，我的网站要吗'
+  WHEN 5 THEN '写一个 content brief' WHEN 6 THEN '上月自然搜索流量下降了很多' WHEN 7 THEN '没有明显的流量下降，继续上次' WHEN 8 THEN '给我 90 天路线图' WHEN 9 THEN '这次改动效果复盘，GSC 点击数据已导出'
+  WHEN 10 THEN '检查内链和孤儿页' WHEN 11 THEN '重写这篇 seo 文章' WHEN 12 THEN '搜索词报告 用于 SEO 出价' WHEN 13 THEN '帮我修 title' WHEN 14 THEN 'please audit https://example.com/' || o_custkey
+  WHEN 15 THEN 'see HTTP://example.com/x' WHEN 16 THEN 'organic traffic has dropped since May' WHEN 17 THEN 'no organic traffic drop was observed' WHEN 18 THEN 'how to avoid a traffic drop' WHEN 19 THEN 'if rankings decline recently'
+  WHEN 20 THEN '近期索引覆盖异常' WHEN 21 THEN 'deindexed pages, clicks fell' WHEN 22 THEN '为什么 keyword ' || o_custkey ELSE 'order ' || o_orderkey END FROM orders
+""",
+    needs=("all_texts",),
+)
+view(
+    "project_files",
+    """
+SELECT 'project-' || (o_custkey % 97) AS project_id, o_orderkey AS file_id,
+  CASE o_orderkey % 7 WHEN 0 THEN 'GSC export, clicks are available' WHEN 1 THEN '新版已经上线' WHEN 2 THEN 'crm revenue next year' ELSE 'plain project' END AS project_text,
+  CASE o_orderkey % 9 WHEN 0 THEN 'gsc.csv' WHEN 1 THEN 'export-ga4-2024.csv' WHEN 2 THEN 'holdout plan.md' WHEN 3 THEN 'changelog.md' ELSE 'notes' || o_orderkey || '.txt' END AS name,
+  'text/csv' AS type, CASE o_orderkey % 11 WHEN 0 THEN 'page, clicks, impressions' WHEN 1 THEN 'Google Analytics sessions and conversions' WHEN 2 THEN 'crm leads' WHEN 3 THEN '合格线索 12'
+    WHEN 4 THEN 'We deployed it' WHEN 5 THEN ' ' WHEN 6 THEN 'experiment result window' ELSE 'order ' || o_orderkey END AS content,
+  CASE o_orderkey % 13 WHEN 0 THEN 0 ELSE 100 END AS size
+FROM orders
+UNION ALL SELECT 'project-' || doc_id % 97, 1000000000 + doc_id, source, 'document ' || lang, 'text/plain', text, n_chars FROM documents
+""",
+)
+view(
+    "claim_sources",
+    """
+SELECT item_id AS source_id, CASE item_id % 7 WHEN 0 THEN 'provided_data' WHEN 1 THEN 'memory' ELSE 'public_web' END AS source_type,
+  CASE item_id % 5 WHEN 0 THEN 'file:data.csv' WHEN 1 THEN 'nowhere' ELSE 'https://example.org/' || item_id END AS locator,
+  CASE item_id % 6 WHEN 0 THEN 404 WHEN 1 THEN NULL ELSE 200 END AS http_status, CASE item_id % 8 WHEN 0 THEN 'pending' ELSE 'captured' END AS snapshot_status,
+  CASE item_id % 9 WHEN 0 THEN 'too short' ELSE text END AS snapshot_excerpt FROM benchmark
+""",
+)
+view(
+    "claims",
+    """
+SELECT 'claim-' || d.doc_id AS claim_id, d.source AS case_key, d.doc_id % 61 AS source_id, d.doc_id % 4 = 0 AS is_numeric,
+  'Doc ' || d.doc_id || '  states: ' || d.text AS claim_text,
+  CASE d.doc_id % 10 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'something else entirely' ELSE 'doc ' || d.doc_id || ' STATES' END AS supported_claim,
+  CASE d.doc_id % 10 WHEN 0 THEN NULL WHEN 3 THEN 'short' WHEN 4 THEN 'an excerpt that is nowhere' ELSE substr(b.text, 4, 40) END AS supporting_excerpt
+FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 61
+""",
+)
+view(
+    "work_reports",
+    """
+SELECT o_orderkey, 'a.md' AS p1, 'x' || (o_custkey % 3) AS b1, 'x' || (o_custkey % 2) AS a1, CASE o_orderkey % 5 WHEN 0 THEN '../b.md' WHEN 1 THEN '/etc/b.md' ELSE 'docs/b.md' END AS p2, 'y' AS b2, 'y' AS a2,
+  o_orderkey % 3 AS exit_1, o_orderkey % 2 AS exit_2, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'v1' ELSE 'v1,v0' END AS before_log,
+  CASE o_orderkey % 6 WHEN 0 THEN 'v2,v1,v0' WHEN 1 THEN 'v2,v1' WHEN 2 THEN 'v1,v0' WHEN 3 THEN 'v3,v2,v1,v0' WHEN 4 THEN 'v9' ELSE 'v1,v0,v2' END AS after_log
+FROM orders
+""",
+)
