@@ -570,3 +570,53 @@ SELECT o_orderkey, 'a.md' AS p1, 'x' || (o_custkey % 3) AS b1, 'x' || (o_custkey
 FROM orders
 """,
 )
+
+# Planning inputs.
+view(
+    "vital_samples",
+    """
+SELECT 'u' || (user_id % 60) AS url, CASE WHEN event_type IN ('view', 'click') THEN 'PHONE' ELSE 'DESKTOP' END AS device,
+  CASE event_id % 3 WHEN 0 THEN 'LCP' WHEN 1 THEN 'INP' ELSE 'CLS' END AS metric,
+  CASE event_id % 3 WHEN 0 THEN value / 4 WHEN 1 THEN value * 20 ELSE value / 80 END AS value FROM events
+""",
+)
+view(
+    "order_cohorts",
+    """
+SELECT substr(CAST(o_orderdate AS STRING), 1, 7) AS cohort, o_orderpriority AS cluster, CAST(count(*) AS DOUBLE) AS sessions,
+  CAST(count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) AS DOUBLE) AS qualified, CAST(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS DOUBLE) AS opportunities,
+  CAST(count(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 50000 THEN 1 END) AS DOUBLE) AS matured,
+  CAST(count(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 100000 THEN 1 END) AS DOUBLE) AS won,
+  sum(CASE WHEN o_orderstatus = 'F' THEN floor(o_totalprice) ELSE 0 END) * 1.0E0 AS revenue,
+  sum(CASE WHEN o_orderstatus = 'F' THEN floor(o_totalprice / 4) ELSE 0 END) * 1.0E0 AS margin, CAST(count(*) * 5000 AS DOUBLE) AS cost
+FROM orders GROUP BY substr(CAST(o_orderdate AS STRING), 1, 7), o_orderpriority
+""",
+)
+view(
+    "stage_days",
+    """
+SELECT substr(CAST(o_orderdate AS STRING), 1, 7) AS cohort, o_orderpriority AS cluster, CAST(l_linenumber * 7 + l_partkey % 40 AS DOUBLE) AS days
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+""",
+)
+view(
+    "markets",
+    """
+SELECT n_name AS market, CAST(count(*) * 300 AS DOUBLE) AS cost, CAST(count(*) * 7 AS DOUBLE) AS clicks,
+  CAST(count(CASE WHEN o_totalprice > 150000 THEN 1 END) AS DOUBLE) AS deals, CAST(100 + n_nationkey * 20 AS DOUBLE) AS value_per_deal
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey
+""",
+)
+view("backlinks", "SELECT 'd' || (l_orderkey % 20000) AS domain, 'site-' || (l_partkey % 9) AS site FROM lineitem")
+view(
+    "faceted_urls",
+    """
+SELECT 'site-' || (o_custkey % 11) AS site_id, 'https://shop.example.com/list' || CASE o_orderkey % 6
+  WHEN 0 THEN '' WHEN 1 THEN '?a=' || (o_custkey % 50) || '&b=1' WHEN 2 THEN '?b=1&a=' || (o_custkey % 50) WHEN 3 THEN '?a=&b=1'
+  WHEN 4 THEN '?a=1&a=' || (o_custkey % 50) ELSE '?page=' || (o_custkey % 50) END AS url FROM orders
+""",
+)
+view(
+    "paid_terms",
+    "SELECT CASE o_orderkey % 3 WHEN 0 THEN ' Supplier  ' WHEN 1 THEN 'SUPPLIER ' ELSE 'supplier ' END || (o_custkey % 70) AS query, CAST(o_orderkey % 9 AS DOUBLE) AS paid_clicks, floor(o_totalprice / 1000) * 1.0E0 AS cost FROM orders",
+)
