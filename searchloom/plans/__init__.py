@@ -5,7 +5,7 @@ import importlib
 from searchloom.plans.registry import ORACLES, QUERIES
 
 
-MODULES = ("source", "gate", "compare", "review", "experiment", "ledger", "page", "rule", "assertion", "tagging", "planning")
+MODULES = ("source", "gate", "compare", "review", "experiment", "ledger", "page", "rule", "assertion", "tagging", "planning", "stream")
 
 
 def load_all() -> None:
