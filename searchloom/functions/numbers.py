@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What counts as a decimal number, and the interface marks that mean zero.
@@ -12,28 +12,38 @@ ZERO_PLACEHOLDERS = ("~", "-")
 
 def squeeze_number(text: Column) -> Column:
     """Drop spaces, no-break spaces and thousands commas."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\s\\u00a0,]", "")
+    return F.translate(F.coalesce(text, F.lit("")), " \u00a0,\t\r\n", "")
 
 
-def as_number(squeezed: Column) -> Column:
-    """Double, or NULL when the text is no number; overflow to infinity is NULL too."""
-    value = F.when(squeezed.rlike(NUMBER_PATTERN), squeezed.try_cast("double"))
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+def with_numbers(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """Add ``<name>_text`` (squeezed) and ``<name>_number`` (finite double or NULL) per entry.
+
+    The steps are separate projections on purpose: each pattern is then evaluated once per row.
+    """
+    squeezed = df.withColumns({f"{n}_text": squeeze_number(t) for n, t in texts.items()})
+    read = squeezed.withColumns(
+        {
+            f"{n}_number": F.when(F.col(f"{n}_text").rlike(NUMBER_PATTERN), F.col(f"{n}_text").try_cast("double"))
+            for n in texts
+        }
+    )
+    limit = F.lit(float("inf"))
+    return read.withColumns(
+        {f"{n}_number": F.when(F.abs(F.col(f"{n}_number")) < limit, F.col(f"{n}_number")) for n in texts}
+    )
 
 
-def number_issue(squeezed: Column, *, blank_allowed: bool) -> Column:
+def number_issue(name: str, *, blank_allowed: bool) -> Column:
     """NULL for a usable non-negative number, else the reason it is refused."""
-    value = as_number(squeezed)
+    text, value = F.col(f"{name}_text"), F.col(f"{name}_number")
     blank = F.lit(None).cast("string") if blank_allowed else F.lit("blank")
     return (
-        F.when(squeezed == "", blank)
-        .when(value.isNull(), F.lit("not_a_finite_number"))
-        .when(value < 0, F.lit("negative"))
+        F.when(text == "", blank).when(value.isNull(), F.lit("not_a_finite_number")).when(value < 0, F.lit("negative"))
     )
 
 
-def non_negative(squeezed: Column) -> Column:
-    value = as_number(squeezed)
+def non_negative(name: str) -> Column:
+    value = F.col(f"{name}_number")
     return F.when(value >= 0, value)
 
 

@@ -109,7 +109,10 @@ def valid_resident_id(value: Column) -> Column:
 
 def _tail_after(text: Column, word: str) -> Column:
     """Text after the first hit of ``word``; empty when there is none."""
-    return F.regexp_extract(text, rf"(?isU)^.*?(?:{word})(.*)$", 1)
+    pattern = F.lit(f"(?iU)(?:{word})")
+    hit = F.regexp_substr(text, pattern)
+    start = F.regexp_instr(text, pattern) + F.length(hit)
+    return F.coalesce(F.substring(text, start, F.length(text)), F.lit(""))
 
 
 def _phone(text: Column) -> Column:
@@ -128,8 +131,10 @@ def _id_after_word(text: Column, word: str) -> Column:
 def query_pii_kind(text: Column) -> Column:
     """First matching kind in a search query, NULL for clean text."""
     safe = F.coalesce(text, F.lit(""))
+    digits = safe.rlike(r"(?U)\d")  # every kind but e-mail needs one
     return (
-        F.when(safe.rlike(EMAIL), F.lit("email"))
+        F.when(safe.contains("@") & safe.rlike(EMAIL), F.lit("email"))
+        .when(~digits, F.lit(None).cast("string"))
         .when(_phone(safe) | _tail_after(safe, PHONE_WORD).rlike(PHONE_DIGITS), F.lit("phone"))
         .when(
             F.exists(F.regexp_extract_all(safe, F.lit(RESIDENT_ID), F.lit(1)), valid_resident_id),
@@ -186,7 +191,7 @@ def ai_page_pii_kind(url: Column) -> Column:
 
 def record_text_kind(text: Column) -> Column:
     """First sensitive kind in one stored text value."""
-    kind = F.when(text.rlike(RECORD_EMAIL), F.lit("email")).when(
+    kind = F.when(text.contains("@") & text.rlike(RECORD_EMAIL), F.lit("email")).when(
         text.rlike(RECORD_CHINA_PHONE) | text.rlike(RECORD_INTERNATIONAL_PHONE), F.lit("phone")
     )
     for name, pattern in CREDENTIALS:
@@ -206,7 +211,7 @@ def exempt_digest(name: Column, value: Column) -> Column:
 
 def payload_text_kind(text: Column) -> Column:
     return (
-        F.when(text.rlike(PAYLOAD_EMAIL), F.lit("email"))
+        F.when(text.contains("@") & text.rlike(PAYLOAD_EMAIL), F.lit("email"))
         .when(text.rlike(PAYLOAD_CHINA_PHONE) | text.rlike(PAYLOAD_FORMATTED_PHONE), F.lit("phone"))
         .when(text.rlike(PAYLOAD_RESIDENT_ID), F.lit("resident_id"))
         .when(

@@ -16,23 +16,19 @@ class GateError(ValueError):
 
 def typed_search_rows(raw: DataFrame) -> DataFrame:
     """Typed columns next to the first issue of each row, in reading order."""
-    clicks = numbers.squeeze_number(F.col("clicks"))
-    impressions = numbers.squeeze_number(F.col("impressions"))
-    position = numbers.squeeze_number(F.col("position"))
-    staged = raw.withColumns({"_c": clicks, "_i": impressions, "_p": position, "_d": dates.parse_date(F.col("date"))})
+    names = ("clicks", "impressions", "position")
+    staged = numbers.with_numbers(raw, {n: F.col(n) for n in names}).withColumn("_d", dates.parse_date(F.col("date")))
     issue = F.coalesce(
         F.when(F.trim("date") == "", F.lit("date_blank")).when(F.col("_d").isNull(), F.lit("date_invalid")),
-        F.concat(F.lit("clicks_"), numbers.number_issue(F.col("_c"), blank_allowed=False)),
-        F.concat(F.lit("impressions_"), numbers.number_issue(F.col("_i"), blank_allowed=False)),
-        clicks_above_impressions(numbers.non_negative(F.col("_c")), numbers.non_negative(F.col("_i"))),
-        F.concat(F.lit("position_"), numbers.number_issue(F.col("_p"), blank_allowed=True)),
+        F.concat(F.lit("clicks_"), numbers.number_issue("clicks", blank_allowed=False)),
+        F.concat(F.lit("impressions_"), numbers.number_issue("impressions", blank_allowed=False)),
+        clicks_above_impressions(numbers.non_negative("clicks"), numbers.non_negative("impressions")),
+        F.concat(F.lit("position_"), numbers.number_issue("position", blank_allowed=True)),
     )
     return staged.select(
-        *[c for c in raw.columns if c not in ("date", "clicks", "impressions", "position")],
+        *[c for c in raw.columns if c not in ("date", *names)],
         F.col("_d").alias("day"),
-        numbers.non_negative(F.col("_c")).alias("clicks"),
-        numbers.non_negative(F.col("_i")).alias("impressions"),
-        numbers.non_negative(F.col("_p")).alias("position"),
+        *[numbers.non_negative(n).alias(n) for n in names],
         issue.alias("issue"),
     )
 

@@ -6,7 +6,7 @@ from searchloom.operators import assertions as a
 from searchloom.plans import sqltext as q
 from searchloom.plans.compare_queries import issue_list
 from searchloom.plans.registry import query
-from searchloom.plans.tables import load_view, table, with_views
+from searchloom.plans.tables import load_spread, load_view, table, with_views
 
 PATH = "'$.' || regexp_replace(target, '[.]([0-9]+)', '[\\1]', 'g')"
 
@@ -171,7 +171,7 @@ ROUTED = f"routed AS (SELECT text_id, {_route_sql()} AS route FROM (SELECT text_
 
 @query("i9_route_heuristic", with_views("prompts", extra=ROUTED) + "SELECT text_id, route, route = 'AUDIT' AS equals_audit, route <> 'NONE' AS not_none FROM routed")
 def i9(spark, sf):
-    routed = load_view(spark, sf, "prompts").select("text_id", a.route(F.col("text")).alias("route"))
+    routed = load_spread(spark, sf, "prompts").select("text_id", a.route(F.col("text")).alias("route"))
     return routed.select(
         "*", (F.col("route") == "AUDIT").alias("equals_audit"), (F.col("route") != "NONE").alias("not_none")
     )
@@ -188,7 +188,7 @@ SANITY = r"""sanity AS (SELECT text_id, sum(n)::BIGINT AS tokens, count(t) AS di
     + "SELECT *, tokens >= 8 AND (top_count / tokens >= 0.5 OR distinct_tokens / tokens <= 0.2) AS stuffed FROM sanity",
 )
 def i10(spark, sf):
-    return a.text_sanity(load_view(spark, sf, "prompts"))
+    return a.text_sanity(load_spread(spark, sf, "prompts"))
 
 
 RESULTS = """results AS (SELECT o_orderpriority AS suite, 'case-' || o_custkey AS case_key, 'a' || (o_orderkey % 5) AS assertion_id,

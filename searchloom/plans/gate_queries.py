@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from searchloom.functions import privacy
 from searchloom.operators import gates
 from searchloom.plans.registry import query
-from searchloom.plans.tables import load_view, view, with_views
+from searchloom.plans.tables import load_spread, view, with_views
 
 # The checking database has no lookaround: neighbours are matched as characters instead.
 EDGE_L, EDGE_R = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
@@ -68,7 +68,7 @@ UNION ALL SELECT 'order-' || o_orderkey, CASE o_orderkey % 8
     with_views("all_texts") + f"SELECT text_id, {_query_kind('text')} AS kind FROM all_texts",
 )
 def b1(spark, sf):
-    return load_view(spark, sf, "all_texts").select("text_id", privacy.query_pii_kind(F.col("text")).alias("kind"))
+    return load_spread(spark, sf, "all_texts").select("text_id", privacy.query_pii_kind(F.col("text")).alias("kind"))
 
 
 view(
@@ -89,7 +89,7 @@ UNION ALL SELECT o_orderkey, 'A' || o_orderkey FROM orders
     + f"SELECT o_orderkey, candidate, CASE WHEN regexp_matches(candidate, '^[0-9]{{17}}[0-9Xx]$') THEN {_resident('candidate')} ELSE FALSE END AS valid FROM resident_ids",
 )
 def b2(spark, sf):
-    return load_view(spark, sf, "resident_ids").withColumn("valid", privacy.valid_resident_id(F.col("candidate")))
+    return load_spread(spark, sf, "resident_ids").withColumn("valid", privacy.valid_resident_id(F.col("candidate")))
 
 
 view(
@@ -127,7 +127,7 @@ _PARAM = f"len(list_filter({_NAMES}, lambda p: regexp_matches(trim(p), '{privacy
 )
 def b3(spark, sf):
     url = F.col("url")
-    return load_view(spark, sf, "tagged_urls").select(
+    return load_spread(spark, sf, "tagged_urls").select(
         "page_id", privacy.page_pii_kind(url).alias("kind"), privacy.ai_page_pii_kind(url).alias("ai_kind")
     )
 
@@ -181,11 +181,11 @@ _DIGEST = (
       UNION ALL SELECT text_id, {_record_kind("text")} FROM all_texts""",
 )
 def b5(spark, sf):
-    records = load_view(spark, sf, "json_records").select(
+    records = load_spread(spark, sf, "json_records").select(
         F.concat(F.lit("record-"), F.col("o_orderkey").cast("string")).alias("source"),
         privacy.record_json_kind(F.col("record")).alias("kind"),
     )
-    texts = load_view(spark, sf, "all_texts").select(
+    texts = load_spread(spark, sf, "all_texts").select(
         F.col("text_id").alias("source"), privacy.record_text_kind(F.col("text")).alias("kind")
     )
     return records.unionByName(texts)
@@ -225,11 +225,11 @@ _FIELD = f"({_SNAKE} IN ({', '.join(repr(f) for f in privacy.PAYLOAD_FIELDS)}) O
       UNION ALL SELECT text_id, {_payload_kind("text")} FROM all_texts""",
 )
 def b6(spark, sf):
-    records = load_view(spark, sf, "json_records").select(
+    records = load_spread(spark, sf, "json_records").select(
         F.concat(F.lit("record-"), F.col("o_orderkey").cast("string")).alias("source"),
         privacy.payload_json_kind(F.col("record")).alias("kind"),
     )
-    texts = load_view(spark, sf, "all_texts").select(
+    texts = load_spread(spark, sf, "all_texts").select(
         F.col("text_id").alias("source"), privacy.payload_text_kind(F.col("text")).alias("kind")
     )
     return records.unionByName(texts)
@@ -243,6 +243,6 @@ def b6(spark, sf):
 )
 def b7(spark, sf):
     """One pass over the texts; only the kind of refused rows is kept, never the text."""
-    gated = gates.pii_gate(load_view(spark, sf, "all_texts"), query=F.col("text"))
+    gated = gates.pii_gate(load_spread(spark, sf, "all_texts"), query=F.col("text"))
     outcome = F.when(F.col("pii_kind").isNull(), F.lit("clean")).otherwise(F.concat_ws(":", "pii_field", "pii_kind"))
     return gated.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("rows"))

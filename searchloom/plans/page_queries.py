@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from searchloom.operators import graph, pages, robots, rules, sitemaps
 from searchloom.plans import sqltext as q
 from searchloom.plans.registry import query
-from searchloom.plans.tables import load_view, table, with_views
+from searchloom.plans.tables import load_spread, load_view, table, with_views
 from searchloom.session import cut_lineage
 
 _TABLES: dict[tuple[str, str, str], object] = {}
@@ -13,7 +13,7 @@ _TABLES: dict[tuple[str, str, str], object] = {}
 
 def _input(spark, sf, view):
     header = F.when(F.col("x_robots") == "", F.array().cast("array<string>")).otherwise(F.array("x_robots"))
-    return load_view(spark, sf, view).withColumn("x_robots_tag", header).drop("x_robots")
+    return load_spread(spark, sf, view).withColumn("x_robots_tag", header).drop("x_robots")
 
 
 def _once(spark, sf, name, build):
@@ -282,12 +282,21 @@ def h12(spark, sf):
     return graph.inbound_counts(nodes, links).join(depth, ["site_id", "url"], "left")
 
 
+SPELLED = """known AS (SELECT DISTINCT site_id, CASE WHEN contains(url, '?') THEN CASE WHEN suffix(bare, '.html') OR suffix(bare, '/') THEN bare ELSE bare || '/' END
+    WHEN suffix(url, '/') THEN url || 'index.html' ELSE url END AS url FROM (SELECT *, regexp_replace(url, '[?].*$', '') AS bare FROM page_base) p WHERE page_id % 4 <> 3),
+  wanted AS (SELECT DISTINCT site_id, url || CASE page_id % 4 WHEN 3 THEN '/none' ELSE '' END AS target FROM page_base),
+  parts AS (SELECT *, regexp_replace(target, '[?].*$', '') AS bare, regexp_extract(target, '[?].*$', 0) AS qs FROM wanted),
+  alts AS (SELECT *, CASE WHEN suffix(bare, '/') THEN bare || 'index.html' WHEN suffix(bare, '/index.html') THEN bare[:-11]
+    WHEN NOT contains(regexp_extract(bare, '[^/]*$', 0), '.') THEN bare || '/' END AS alt FROM parts),
+  spelled AS (SELECT site_id, target, 1 AS k, target AS url FROM alts UNION ALL SELECT site_id, target, 2, bare FROM alts
+    UNION ALL SELECT site_id, target, 3, alt || qs FROM alts UNION ALL SELECT site_id, target, 4, alt FROM alts)"""
+
+
 @query(
     "h13_route_variants",
-    with_views("page_base")
-    + """SELECT site_id, target, matched FROM (SELECT DISTINCT site_id, url || CASE page_id % 4 WHEN 3 THEN '/none' ELSE '' END AS target,
-        CASE WHEN page_id % 4 = 3 THEN NULL WHEN contains(url, '?') THEN regexp_replace(url, '[?].*$', '') || CASE WHEN suffix(regexp_replace(url, '[?].*$', ''), '.html') OR suffix(regexp_replace(url, '[?].*$', ''), '/') THEN '' ELSE '/' END
-          WHEN suffix(url, '/') THEN url || 'index.html' ELSE url END AS matched FROM page_base) t""",
+    with_views("page_base", extra=SPELLED)
+    + """SELECT w.site_id, w.target, arg_min(k.url, s.k) FILTER (k.url IS NOT NULL) AS matched FROM wanted w JOIN spelled s USING (site_id, target)
+      LEFT JOIN known k ON k.site_id = s.site_id AND k.url = s.url GROUP BY ALL""",
 )
 def h13(spark, sf):
     """Wanted page URLs against build files spelled differently: index files, slashes, no query."""

@@ -7,7 +7,7 @@ from searchloom.functions import dates, numbers, urls
 from searchloom.operators import gates
 from searchloom.plans import sqltext as q
 from searchloom.plans.registry import query
-from searchloom.plans.tables import load_view, table, with_views
+from searchloom.plans.tables import load_spread, load_view, table, with_views
 from searchloom.session import scratch_path
 from searchloom.sources import exports, files
 
@@ -16,7 +16,7 @@ BASE = "https://shop.example.com/catalog/"
 
 
 def _raw(spark, sf):
-    return load_view(spark, sf, "raw_search")
+    return load_spread(spark, sf, "raw_search")
 
 
 @query(
@@ -60,13 +60,12 @@ def a1(spark, sf):
       {q.number_issue("impressions_text", "'blank'")} AS issue FROM raw_search) t GROUP BY ALL""",
 )
 def a3(spark, sf):
-    s = numbers.squeeze_number(F.col("impressions_text"))
     return (
-        _raw(spark, sf)
+        numbers.with_numbers(_raw(spark, sf), {"n": F.col("impressions_text")})
         .select(
             "impressions_text",
-            numbers.non_negative(s).alias("value"),
-            numbers.number_issue(s, blank_allowed=False).alias("issue"),
+            numbers.non_negative("n").alias("value"),
+            numbers.number_issue("n", blank_allowed=False).alias("issue"),
         )
         .groupBy("impressions_text", "value", "issue")
         .agg(F.count("*").alias("rows"))
@@ -90,12 +89,11 @@ def a4(spark, sf):
     FROM (SELECT *, {q.number("impressions_text")} AS v FROM raw_search) t WHERE v >= 0 GROUP BY part_id""",
 )
 def a5(spark, sf):
-    clicks = numbers.non_negative(numbers.squeeze_number(F.col("clicks_text")))
-    impressions = numbers.non_negative(numbers.squeeze_number(F.col("impressions_text")))
-    rows = _raw(spark, sf).withColumns({"c": clicks, "i": impressions}).filter("i IS NOT NULL")
+    texts = {"c": F.col("clicks_text"), "i": F.col("impressions_text")}
+    rows = numbers.with_numbers(_raw(spark, sf), texts).filter("i_number >= 0")
     return rows.groupBy("part_id").agg(
         F.count("*").alias("rows"),
-        F.count(gates.clicks_above_impressions(F.col("c"), F.col("i"))).alias("rejected"),
+        F.count(gates.clicks_above_impressions(F.col("c_number"), F.col("i_number"))).alias("rejected"),
     )
 
 
@@ -126,7 +124,8 @@ def a7(spark, sf):
         F.col("n").cast("string").alias("Impression"),
     ).write.option("header", True).csv(path)
     back = exports.read_ai_csv(spark, path)
-    value = numbers.non_negative(numbers.squeeze_number(F.col("impressions")))
+    back = numbers.with_numbers(back, {"n": F.col("impressions")})
+    value = numbers.non_negative("n")
     return back.groupBy("country").agg(
         F.sum(value).alias("impressions"),
         F.count("*").alias("rows"),
@@ -144,9 +143,9 @@ def a7(spark, sf):
 )
 def a8(spark, sf):
     text = F.col("impressions_text")
-    value = numbers.non_negative(numbers.squeeze_number(text))
+    value = numbers.non_negative("n")
     return (
-        _raw(spark, sf)
+        numbers.with_numbers(_raw(spark, sf), {"n": text})
         .groupBy("country_text")
         .agg(
             F.count("*").alias("rows"),
@@ -192,11 +191,10 @@ def a11(spark, sf):
       {q.number_issue("position_text", "NULL")} AS issue, count(*) AS rows FROM raw_search GROUP BY ALL""",
 )
 def a12(spark, sf):
-    s = numbers.squeeze_number(F.col("position_text"))
-    issue = numbers.number_issue(s, blank_allowed=True)
+    issue = numbers.number_issue("n", blank_allowed=True)
     return (
-        _raw(spark, sf)
-        .groupBy("position_text", numbers.non_negative(s).alias("value"), issue.alias("issue"))
+        numbers.with_numbers(_raw(spark, sf), {"n": F.col("position_text")})
+        .groupBy("position_text", numbers.non_negative("n").alias("value"), issue.alias("issue"))
         .agg(F.count("*").alias("rows"))
     )
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from searchloom.operators import tagging as t
 from searchloom.plans.registry import query
-from searchloom.plans.tables import load_view, with_views
+from searchloom.plans.tables import load_spread, with_views
 
 
 def _re2(p: str) -> str:
@@ -26,7 +26,7 @@ for _p in (*t.RECOVERY_NEGATIONS, *t.RECOVERY_HYPOTHETICALS):
     + f"SELECT text_id, {_any('c', t.RECOVERY)} AND {_any('c', t.RECOVERY_OBSERVED)} AS recovery FROM (SELECT text_id, {CLEANED} AS c FROM prompts) p",
 )
 def j1(spark, sf):
-    return t.recovery_signal(load_view(spark, sf, "prompts")).select("text_id", "recovery")
+    return t.recovery_signal(load_spread(spark, sf, "prompts")).select("text_id", "recovery")
 
 
 FILE_TEXT = "name || chr(10) || type"
@@ -40,7 +40,7 @@ USABLE = "(size > 0 AND trim(content) <> '')"
       OR {_any("content", t.REVIEW_DATA)} OR ({USABLE} AND {_any(FILE_TEXT, t.REVIEW_FILES)}) AS review FROM project_files""",
 )
 def j2(spark, sf):
-    return load_view(spark, sf, "project_files").select("file_id", t.review_signal().alias("review"))
+    return load_spread(spark, sf, "project_files").select("file_id", t.review_signal().alias("review"))
 
 
 TAGS = ", ".join(f"{USABLE} AND {_any('whole', p)} AS {s}" for s, p in t.SOURCES.items())
@@ -54,4 +54,4 @@ TAGS = ", ".join(f"{USABLE} AND {_any('whole', p)} AS {s}" for s, p in t.SOURCES
     FROM (SELECT *, {TAGS} FROM (SELECT *, {FILE_TEXT} || chr(10) || content AS whole FROM project_files) w) f GROUP BY project_id""",
 )
 def j3(spark, sf):
-    return t.evidence_availability(t.source_tags(load_view(spark, sf, "project_files")))
+    return t.evidence_availability(t.source_tags(load_spread(spark, sf, "project_files")))

@@ -54,3 +54,13 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input enough tasks for expensive per-row work.
+
+    An input that already has two tasks per core is returned unchanged, so large data is never shuffled
+    for this; only a handful of file splits is.
+    """
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
