@@ -22,15 +22,32 @@ def _try_date(raw: Column, fmt: str) -> Column:
     return F.try_to_timestamp(raw, F.lit(fmt)).cast("date")
 
 
+def utc_wall(instant: Column) -> Column:
+    """Wall-clock time in UTC of an instant, whatever the session time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
+
+
+def wall_in(instant: Column, zone: Column | str) -> Column:
+    """Wall-clock time of an instant in ``zone``; NULL for a NULL zone."""
+    target = F.lit(zone) if isinstance(zone, str) else zone
+    return F.convert_timezone(F.lit("UTC"), target, utc_wall(instant))
+
+
+def instant_of(wall: Column) -> Column:
+    """The instant whose UTC wall clock shows ``wall`` (a time without zone)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, wall))
+
+
 def parse_day(text: Column, source_zone: Column, analysis_zone: Column) -> Column:
     """Day in the analysis zone; a timestamp without an offset is read in the source zone."""
     raw = F.trim(text)
-    zoned = F.when(raw.rlike(ZONED_TIMESTAMP), raw.try_cast("timestamp"))
-    local = F.when(raw.rlike(LOCAL_TIMESTAMP), F.to_utc_timestamp(raw.try_cast("timestamp"), source_zone))
-    instant = F.coalesce(zoned, local)
-    return F.coalesce(
-        parse_date(text, REVIEW_DATE_FORMATS), F.from_utc_timestamp(instant, analysis_zone).cast("date")
+    zoned = wall_in(F.when(raw.rlike(ZONED_TIMESTAMP), raw.try_cast("timestamp")), analysis_zone)
+    local = F.convert_timezone(
+        source_zone, analysis_zone, F.when(raw.rlike(LOCAL_TIMESTAMP), raw.try_cast("timestamp_ntz"))
     )
+    return F.coalesce(parse_date(text, REVIEW_DATE_FORMATS), F.coalesce(zoned, local).cast("date"))
 
 
 def temporal_grain(text: Column) -> Column:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from searchloom.functions.dates import wall_in
 from searchloom.functions.numbers import clean, ratio, sum_if
 
 # Day boundary of search exports, export row limit of the AI surface.
@@ -318,7 +319,7 @@ def report_gate(contracts: DataFrame, window_ends: Column, properties: DataFrame
     ``contracts`` has two rows per property (``source_id`` baseline and current); ``window_ends`` gives
     the last day each source must cover; ``properties`` carries the analysis-level facts.
     """
-    as_of_day = F.from_utc_timestamp(F.to_timestamp("data_as_of"), F.col("source_timezone")).cast("date")
+    as_of_day = wall_in(F.to_timestamp("data_as_of"), F.col("source_timezone")).cast("date")
     late = F.when(as_of_day < window_ends, F.array(F.lit("data_as_of_before_window_end"))).otherwise(
         F.array().cast("array<string>")
     )
@@ -430,7 +431,7 @@ def ai_source_contract(sources: DataFrame, row_limit: int = AI_ROW_LIMIT) -> Dat
     """Issues as ``severity:code`` for each AI-surface export, with status and completeness."""
     fin = F.col("finality")
     pre = F.coalesce(F.col("preliminary"), fin == "preliminary")
-    as_of_day = F.from_utc_timestamp(F.to_timestamp("data_as_of"), SEARCH_TIMEZONE).cast("date")
+    as_of_day = wall_in(F.to_timestamp("data_as_of"), SEARCH_TIMEZONE).cast("date")
     issues = issue_list(
         code(F.col("property_id").isNull(), "unknown:property_missing"),
         code(F.col("filters").isNull(), "unknown:filters_missing"),

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from searchloom.functions.dates import utc_wall, wall_in
 from searchloom.functions.normal import normal_quantile, two_sided_power
 from searchloom.functions.numbers import clean
 from searchloom.operators.compare import code, collection_issues, issue_list, quality_issue
@@ -351,11 +352,12 @@ def maturity(specs: DataFrame) -> DataFrame:
     text, zone = F.col("data_as_of"), F.col("source_timezone")
     is_day = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
     instant = F.when(~is_day, text.try_cast("timestamp"))
-    local = F.from_utc_timestamp(instant, zone)
+    local = wall_in(instant, zone)
     end = F.col("observation_end")
-    covers = F.when(is_day, text.try_cast("date") >= end).otherwise(local >= F.date_add(end, 1).cast("timestamp"))
-    now = F.col("now_utc").cast("timestamp")
-    future = F.when(is_day, text.try_cast("date") >= F.from_utc_timestamp(now, zone).cast("date")).otherwise(instant > now)
+    covers = F.when(is_day, text.try_cast("date") >= end).otherwise(local >= F.date_add(end, 1).cast("timestamp_ntz"))
+    now = F.col("now_utc").cast("timestamp_ntz")
+    today = F.convert_timezone(F.lit("UTC"), zone, now).cast("date")
+    future = F.when(is_day, text.try_cast("date") >= today).otherwise(utc_wall(instant) > now)
     issues = issue_list(
         code(F.col("analysis_as_of") <= end, "observation_not_mature"),
         code(zone.isNotNull() & ~covers, "data_as_of_before_observation_end"),

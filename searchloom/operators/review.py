@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from searchloom.functions.dates import dataset_grain
+from searchloom.functions.dates import dataset_grain, wall_in
 from searchloom.functions.numbers import clean
 from searchloom.operators.compare import (
     SEARCH_TIMEZONE,
@@ -323,7 +323,7 @@ def mapping_coverage(labelled: DataFrame, alignment: DataFrame, examples: int =
 def review_source_contract(sources: DataFrame) -> DataFrame:
     """Issue codes of each review source; ``window_end`` is the last day it must cover."""
     kind, zone = F.col("kind"), F.col("source_timezone")
-    as_of_day = F.from_utc_timestamp(F.to_timestamp("data_as_of"), zone).cast("date")
+    as_of_day = wall_in(F.to_timestamp("data_as_of"), zone).cast("date")
     analytics = kind == "analytics"
     issues = issue_list(
         code(zone.isNull(), "source_timezone_missing"),

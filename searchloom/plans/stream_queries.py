@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from searchloom.functions.dates import instant_of
 from searchloom.plans import sqltext as q
 from searchloom.plans.ledger_queries import MOVES
 from searchloom.plans.registry import query
@@ -35,7 +36,7 @@ def l1(spark, sf):
 def l2(spark, sf):
     events = windows.read_table_stream(spark, sf, "events")
     rows = events.select(
-        F.col("ts").cast("timestamp").alias("ts"),
+        instant_of(F.col("ts")).alias("ts"),
         F.concat(F.lit("page-"), (F.col("user_id") % 40).cast("string")).alias("page"),
         (F.col("event_type") == "click").cast("int").cast("double").alias("clicks"),
         F.lit(1.0).alias("impressions"),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from searchloom.functions.dates import instant_of
 from searchloom.operators.ledger import LEGAL_MOVES
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -103,10 +104,10 @@ def request_budget(
     window_seconds: int = WINDOW_SECONDS,
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """``key, event_id, allowed, retry_after`` for a stream with ``event_id`` and ``ts``."""
+    """``key, event_id, allowed, retry_after`` for a stream with ``event_id`` and ``ts`` (time without zone, read as UTC)."""
     use_rocksdb(events)
     timed = events.select(
-        F.col(key).cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts")
+        F.col(key).cast("string").alias("key"), "event_id", instant_of(F.col("ts")).alias("ts")
     ).withColumn("ts_us", F.unix_micros("ts"))
     return (
         timed.withWatermark("ts", delay)

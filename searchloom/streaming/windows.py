@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchloom.functions.dates import utc_wall
 from searchloom.functions.numbers import clean, ratio
 from searchloom.session import scratch_path
 
@@ -28,7 +29,7 @@ def daily_metrics(rows: DataFrame, delay: str = "1 hour", width: str = "1 day")
         )
     )
     return sums.select(
-        F.date_format("w.start", "yyyy-MM-dd").alias("day"),
+        utc_wall(F.col("w.start")).cast("date").cast("string").alias("day"),
         "page",
         "clicks",
         "impressions",

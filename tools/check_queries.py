@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import math
+import os
 import pathlib
 import sys
 import time
@@ -65,6 +66,7 @@ def main():
     sf, prefixes = sys.argv[1], sys.argv[2:]
     load_all()
     spark = local_session()
+    spark.conf.set("spark.sql.session.timeZone", os.environ.get("CHECK_TZ", "UTC"))
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
