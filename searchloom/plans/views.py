@@ -388,11 +388,13 @@ FROM customer
 """,
 )
 
-# Crawled pages with injected head and body tags, so every page rule has hits and misses.
+# Crawled pages, the last capture of each URL; then the same with injected head and body tags, so every
+# page rule has hits and misses.
 view(
     "page_base",
     """
-SELECT page_id, regexp_replace(url, '#.*$', '') AS url, html, regexp_extract(url, '^[a-z]+://[^/]+', 0) AS site_id FROM pages
+SELECT p.page_id, regexp_replace(p.url, '#.*$', '') AS url, p.html, regexp_extract(p.url, '^[a-z]+://[^/]+', 0) AS site_id
+FROM pages p JOIN (SELECT max(page_id) AS page_id FROM pages GROUP BY regexp_replace(url, '#.*$', '')) k ON p.page_id = k.page_id
 """,
 )
 view("page_hub", "SELECT site_id, min(page_id) AS hub_id FROM page_base GROUP BY site_id", needs=("page_base",))

@@ -60,7 +60,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a small input enough tasks for expensive per-row work.
 
     An input that already has two tasks per core is returned unchanged, so large data is never shuffled
-    for this; only a handful of file splits is.
+    for this; only a handful of file splits is. Meant for inputs read straight from files: asking a plan
+    with shuffles for its partitions would run them.
     """
     wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
