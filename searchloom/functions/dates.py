@@ -58,11 +58,3 @@ def temporal_grain(text: Column) -> Column:
         .when(raw.rlike(ZONED_TIMESTAMP) | raw.rlike(LOCAL_TIMESTAMP), F.lit("timestamp"))
         .otherwise(F.lit("invalid"))
     )
-
-
-def dataset_grain(grain: Column) -> Column:
-    """Aggregate: the one grain of the rows, ``mixed`` for several, ``unknown`` for none."""
-    known = F.collect_set(F.when(grain != "unknown", grain))
-    return F.when(F.size(known) == 1, F.element_at(known, 1)).when(F.size(known) > 1, F.lit("mixed")).otherwise(
-        F.lit("unknown")
-    )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from searchloom.functions.dates import wall_in
 from searchloom.functions.numbers import clean, ratio, sum_if
+from searchloom.session import cut_lineage
 
 # Day boundary of search exports, export row limit of the AI surface.
 SEARCH_TIMEZONE = "America/Los_Angeles"
@@ -185,9 +186,11 @@ def top_cohorts(cohorts: DataFrame, top: int) -> DataFrame:
     """First ``top`` values per property and dimension, with the group count; 0 keeps all, unranked.
 
     The rank filter is applied before the shuffle as well, so a property with very many values sends
-    only ``top`` rows per task to the ranking step.
+    only ``top`` rows per task to the ranking step. Ranking and counting both read the cohorts, so these
+    are written once to the shared folder and the search rows are scanned once.
     """
     keys = ["property_id", "dimension"]
+    cohorts = cut_lineage(cohorts, "cohorts")
     totals = cohorts.groupBy(*keys).agg(F.count("*").alias("groups_total"))
     if top == 0:
         return cohorts.join(totals, keys)
@@ -461,11 +464,3 @@ def ai_source_contract(sources: DataFrame, row_limit: int = AI_ROW_LIMIT) -> Dat
     return staged.withColumns(
         {"status": severity_status(limited, F.size("issues")), "contract_complete": complete}
     )
-
-
-def duplicate_safe_count(rows: DataFrame, keys: Sequence[str], grain: Sequence[str]) -> DataFrame:
-    """Duplicate groups and rows per key; the grain count is combined map-side first."""
-    per_grain = rows.groupBy(*keys, *grain).agg(F.count("*").alias("n")).filter("n > 1")
-    return per_grain.groupBy(*keys).agg(
-        F.count("*").alias("duplicate_groups"), F.sum("n").alias("duplicate_rows")
-    )

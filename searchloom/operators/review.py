@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from searchloom.functions.dates import dataset_grain, wall_in
+from searchloom.functions.dates import wall_in
 from searchloom.functions.numbers import clean
 from searchloom.operators.compare import (
     SEARCH_TIMEZONE,
@@ -20,7 +20,6 @@ from searchloom.operators.compare import (
     check_windows,
     code,
     collection_issues,
-    duplicate_safe_count,
     issue_list,
     issue_status,
     quality_issue,
@@ -71,26 +70,47 @@ def _full_grain() -> Column:
 
 
 def dataset_quality(labelled: DataFrame) -> DataFrame:
-    """Counts per property and source; duplicates are counted on the source's own full grain."""
-    keys = ["property_id", "kind"]
-    periods = [F.count_if(F.col("period") == p).alias(f"{p}_rows") for p in (*PERIODS, "outside", "blank_date")]
-    blanks = [F.count_if(F.col(d).isNull()).alias(f"blank_{d}") for d in ("day", "landing_page", "country")]
-    blanks.append(F.count_if(F.col("device").isNull() & (F.col("kind") != "crm")).alias("blank_device"))
-    metrics = [
-        F.count_if((F.col("kind") == kind) & F.col(m).isNull()).alias(f"blank_metric_{m}")
-        for kind in KINDS
-        for m in METRICS[kind]
-    ]
-    counts = labelled.groupBy(*keys).agg(
-        F.count("*").alias("source_rows"),
-        *periods,
-        *blanks,
-        *metrics,
-        F.count_if(_full_grain()).alias("full_grain_rows"),
-        dataset_grain(F.col("temporal_grain")).alias("temporal_grain"),
+    """Counts per property and source; duplicates are counted on the source's own full grain.
+
+    One pass: rows are first combined per grain value, which settles the duplicates, and those partial
+    counts are then added up.
+    """
+    metrics = [(kind, m) for kind in KINDS for m in METRICS[kind]]
+    # Grains as numbers: sums and extremes of numbers stay in hash aggregation, text would be sorted.
+    known = F.when(F.col("temporal_grain") == "date", 1).when(F.col("temporal_grain") == "timestamp", 2)
+    per_grain = labelled.groupBy("property_id", "kind", *GRAIN["search"], "period").agg(
+        F.count("*").alias("n"),
+        *[F.count(m).alias(f"known_{m}") for _, m in metrics],
+        F.min(known).alias("grain_low"),
+        F.max(known).alias("grain_high"),
     )
-    return counts.join(duplicate_safe_count(labelled.filter(_full_grain()), keys, GRAIN["search"]), keys, "left").fillna(
-        0, ["duplicate_groups", "duplicate_rows"]
+
+    def rows_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    repeated = _full_grain() & (F.col("n") > 1)
+    low, high = F.min("grain_low"), F.max("grain_high")
+    grain = (
+        F.when(low.isNull(), F.lit("unknown"))
+        .when(low != high, F.lit("mixed"))
+        .when(low == 1, F.lit("date"))
+        .otherwise(F.lit("timestamp"))
+    )
+    return per_grain.groupBy("property_id", "kind").agg(
+        F.sum("n").alias("source_rows"),
+        *[rows_where(F.col("period") == p).alias(f"{p}_rows") for p in (*PERIODS, "outside", "blank_date")],
+        *[rows_where(F.col(d).isNull()).alias(f"blank_{d}") for d in ("day", "landing_page", "country")],
+        rows_where(F.col("device").isNull() & (F.col("kind") != "crm")).alias("blank_device"),
+        *[
+            F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n") - F.col(f"known_{m}"))), F.lit(0)).alias(
+                f"blank_metric_{m}"
+            )
+            for kind, m in metrics
+        ],
+        rows_where(_full_grain()).alias("full_grain_rows"),
+        grain.alias("temporal_grain"),
+        F.count_if(repeated).alias("duplicate_groups"),
+        rows_where(repeated).alias("duplicate_rows"),
     )
 
 
