@@ -79,10 +79,12 @@ def baseline_units(rows: DataFrame, specs: DataFrame, metrics: Sequence[str]) ->
             *[_r12(F.avg(F.when(inside, F.col(m)))).alias(m) for m in metrics],
             F.count_if(inside).alias("source_rows"),
             F.count_if(~inside).alias("outside_rows"),
-            F.countDistinct(F.when(inside, F.col("day"))).alias("days"),
-            F.max("pair_id").alias("pair_id"),
-            F.countDistinct("pair_id").alias("pairs"),
+            # A unit's days are bounded by its window and its pairs by one, so sets stay small.
+            F.size(F.collect_set(F.when(inside, F.col("day")))).cast("bigint").alias("days"),
+            F.collect_set("pair_id").alias("_pairs"),
         )
+        .withColumns({"pair_id": F.array_max("_pairs"), "pairs": F.size("_pairs").cast("bigint")})
+        .drop("_pairs")
     )
     issue = (
         F.when(F.col("outside_rows") > 0, F.lit("date_outside_baseline"))
