@@ -102,3 +102,10 @@ def test_click_depth_and_redirects(spark):
     out = {r.url: (r.final_url, r.hops, r.state) for r in graph.resolve_redirects(spark.createDataFrame(hops, "url string, location string")).collect()}
     assert out["a"] == ("c", 2, "resolved") and out["b"] == ("c", 1, "resolved") and out["l"][2] == "loop" and out["s"][2] == "loop"
     assert out["k0"][2] == "too_long" and out["k5"] == ("k15", 10, "resolved")
+
+
+def test_content_only_in_the_rendered_page(spark, site):
+    shell = spark.createDataFrame([(SITE, f"{SITE}/", "<html><body><div id='app'></div></body></html>")], "site_id string, url string, html string")
+    source = pages.page_facts(shell.selectExpr("*", "CAST(NULL AS array<string>) AS x_robots_tag"))
+    found = rules.RULES["rendering.content-client-only"](rules.Site(facts=source, sites=site.sites, rendered=site.facts))
+    assert [r.url for r in found.collect()] == [f"{SITE}/"]
