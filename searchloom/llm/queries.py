@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm import decontaminate, mixing, quality, simhash, token_files
+from searchloom.llm import decontaminate, extraction, licenses, mixing, quality, simhash, suffix_dedup, token_files, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "s.n_words", "s.n_hit", "s.n_items", "s.items_sha256", (F.col("s.n_hit") > 0).alias("contaminated"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to byte strings that stand elsewhere too."""
+    found = suffix_dedup.repeated_bytes(_table(spark, sf_dir, "documents"))
+    total = lambda at: F.aggregate(F.expr(f"filter(removed, (x, i) -> i % 2 = {at})"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select(
+        "doc_id", "n_bytes", (total(1) - total(0)).alias("n_removed"), (F.size("removed") / 2).cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
+@query("op5_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "main.text", "main.n_chars")
+
+
+@query("op8_url_filter")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL; without a rule, mirror hosts are blocked."""
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.mirror_hosts(pages)).select("page_id", "judged.*")
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return found.select("doc_id", *[f"found.{n}" for n in names])
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.scores(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
