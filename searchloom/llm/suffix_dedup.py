@@ -4,8 +4,9 @@ A window is ``window`` consecutive bytes of one text. Every byte inside a window
 removed; windows are judged on the input.
 
 1. Equal texts are counted and kept once, in a table bucketed by their digest, so later joins move no text.
-2. Every window is named by the smallest hash of the byte grams (half a window long) inside it. Equal windows have equal names.
-   Neighbouring windows with one name form a piece. Names seen once cannot repeat and are dropped.
+2. Every window is named by the smallest hash of the byte grams (half a window long) inside it, the first of equally small ones.
+   Equal windows have equal names at equal distances. Neighbouring windows named by one gram form a piece. Names of one
+   piece cannot repeat and are dropped.
 3. Equal pieces are counted and kept once. Pieces of one name meet in one task, are laid end to end, and their suffixes are ordered by
    two-stage sorting; neighbours that share a whole window are occurrences of the same string.
 4. A name with more than ``group`` different pieces is not sorted in one task: its pieces are cut into shorter ones, named
@@ -41,6 +42,8 @@ STEPS = (32, 1)
 ARRAY_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+# bits for a place inside a slice
+_PLACE = np.uint64((1 << 20) - 1)
 
 
 class GramHash:
@@ -83,27 +86,24 @@ def _hasher(window: int) -> GramHash:
     return _HASHES[window]
 
 
-def window_names(text: np.ndarray, window: int) -> np.ndarray:
-    """Name of every window of ``text`` (uint8)."""
-    grams, width = _hasher(window), window - window // 2 + 1
-    parts = [
-        sliding_min(grams(text[low : low + SLICE + window - 1]), width) for low in range(0, len(text) - window + 1, SLICE)
-    ]
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+def window_grams(text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of ``text`` (uint8) the place and the hash of the gram that names it."""
+    hasher, width = _hasher(window), window - window // 2 + 1
+    places, names = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for low in range(0, len(text) - window + 1, SLICE):
+        hashes = hasher(text[low : low + SLICE + window - 1])
+        # the high bits of the hash decide, then the place
+        ranked = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
+        at = (sliding_min(ranked, width) & _PLACE).astype(np.int64)
+        places.append(at + low)
+        names.append(hashes[at])
+    return np.concatenate(places), np.concatenate(names)
 
 
-def runs(names: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name, first and last window of every run of equal names, cut after ``most`` windows."""
-    cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
-    starts = np.concatenate(([0], cuts))
-    sizes = np.diff(np.concatenate((starts, [len(names)])))
-    if sizes.max() > most:
-        pieces = -(-sizes // most)
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        lows = np.repeat(starts, pieces) + nth * most
-        ends = np.minimum(lows + most, np.repeat(starts + sizes, pieces))
-        return names[lows], lows, ends - 1
-    return names[starts], starts, starts + sizes - 1
+def runs(places: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name, first and last window of every run of windows named by one gram."""
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(places)) + 1))
+    return names[starts], starts, np.concatenate((starts[1:], [len(places)])) - 1
 
 
 def _distinct_texts(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +129,7 @@ def _pieces(texts: DataFrame, window: int) -> DataFrame:
             for digest, body, n in zip(frame["digest"], frame["body"], frame["n"]):
                 raw = np.frombuffer(body.encode(), np.uint8)
                 if len(raw) >= window:
-                    h, s, e = runs(window_names(raw, window), window - window // 2 + 1)
+                    h, s, e = runs(*window_grams(raw, window))
                     out.append((digest, n, h.view(np.int64), s.astype(np.int32), e.astype(np.int32)))
             yield pd.DataFrame(out, columns=["digest", "n", "h", "s", "e"])
 
@@ -166,10 +166,10 @@ _MEMBER = ["h", "x", "n", "digest", "s", "piece"]
 _MEMBER_KIND = "h bigint, x binary, n bigint, digest binary, s int, piece binary"
 
 
-def shorter(piece: bytes, name: int, window: int, step: int) -> Iterator[tuple[int, int, int]]:
+def shorter(piece: bytes, window: int, step: int) -> Iterator[tuple[int, int, int]]:
     """Cuts of a piece: new name, first and last window.
 
-    Windows go together by their distance from the first gram that has their name, in steps of ``step``; they share the
+    Windows go together by their distance from the gram that names them all, in steps of ``step``; they share the
     bytes that name the cut. The distance depends on a window's own bytes alone, so equal windows get equal names.
     """
     raw = np.frombuffer(piece, np.uint8)
@@ -178,10 +178,9 @@ def shorter(piece: bytes, name: int, window: int, step: int) -> Iterator[tuple[i
         for p in starts.tolist():
             yield xxhash.xxh3_64_intdigest(piece[p : p + window]), p, p
         return
-    marks = np.flatnonzero(_hasher(window)(raw) == np.uint64(name & (2**64 - 1)))
-    mark = marks[np.searchsorted(marks, starts)]
+    mark = window_grams(raw, window)[0]
     part = (mark - starts) // step
-    cuts = np.flatnonzero((np.diff(mark) != 0) | (np.diff(part) != 0)) + 1
+    cuts = np.flatnonzero(np.diff(part)) + 1
     edges = [0, *cuts.tolist(), len(starts)]
     for low, high in zip(edges, edges[1:]):
         first = int(mark[low] - part[low] * step)  # the last window that the step can hold
@@ -193,8 +192,8 @@ def _cut_crowded(members: DataFrame, crowded: DataFrame, window: int, step: int)
         for frame in batches:
             for low in range(0, len(frame), 100):
                 out = []
-                for h, n, digest, s, piece in frame.iloc[low : low + 100][["h", "n", "digest", "s", "piece"]].itertuples(index=False):
-                    for name, first, last in shorter(piece, h, window, step):
+                for n, digest, s, piece in frame.iloc[low : low + 100][["n", "digest", "s", "piece"]].itertuples(index=False):
+                    for name, first, last in shorter(piece, window, step):
                         part = piece[first : last + window]
                         signed = name - (1 << 64) if name >> 63 else name
                         out.append((signed, xxhash.xxh3_128_digest(part), n, digest, s + first, part))

@@ -53,7 +53,7 @@ def corpus(rng):
     for _ in range(60):
         parts = [rng.choice(passages) if rng.random() < 0.4 else "".join(rng.choice("abcdefghé") for _ in range(rng.randint(0, 60))) for _ in range(4)]
         texts.append("".join(parts))
-    return texts + [texts[0], texts[1], "ab" * 100, "zab" + "ab" * 60, "q" * 300, "", None, "short", "short"]
+    return texts + [texts[0], texts[1], "ab" * 100, "zab" + "ab" * 60, "q" * 300, "0123456" * 20 + "9", "", None, "short", "short"]
 
 
 @pytest.mark.parametrize("group", [2000, 2])
@@ -68,9 +68,10 @@ def test_random_corpus_with_and_without_crowded_names(spark, group, window):
 def test_long_texts_are_hashed_in_slices(spark, monkeypatch):
     rng = random.Random(1)
     raw = bytes(rng.choice(b"abcd") for _ in range(5000))
-    whole = sd.window_names(np.frombuffer(raw, np.uint8), 400)
+    whole = sd.window_grams(np.frombuffer(raw, np.uint8), 400)
     monkeypatch.setattr(sd, "SLICE", 700)
-    assert (sd.window_names(np.frombuffer(raw, np.uint8), 400) == whole).all()
+    sliced = sd.window_grams(np.frombuffer(raw, np.uint8), 400)
+    assert (sliced[0] == whole[0]).all() and (sliced[1] == whole[1]).all() and len(whole[0]) == 4601
 
 
 def test_query_against_brute_force(spark, sf_dir):
