@@ -118,7 +118,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, doc
     """Encode ``docs`` into shards below ``folder`` (default: a new one in the shared folder); returns the shard table."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "llm-tokens")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("body"))
+    # a null id would make pandas read all ids as floats, which large ids do not survive
+    number = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID))
+    rows = docs.select(number.alias("doc_id"), F.col(f"`{text}`").cast("string").alias("body"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +140,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, doc
                     stops = at + np.cumsum(sizes)
                     offsets.append(stops.astype("<u8"))
                     at = int(stops[-1])
-                ids.append(frame["doc_id"].fillna(NULL_ID).astype("<i8").to_numpy() if frame["doc_id"].isna().any() else frame["doc_id"].to_numpy("<i8"))
+                ids.append(frame["doc_id"].to_numpy("<i8"))
         found = np.concatenate(ids) if ids else np.empty(0, "<i8")
         for ending, values in (("off", np.concatenate(offsets)), ("doc", found)):
             with store.open_output_stream(f"{base}/{name}.{ending}") as out:
@@ -185,7 +187,7 @@ def read_tokens(spark: SparkSession, shards: DataFrame, step: int = 2000) -> Dat
                     part = docs[low : low + step]
                     yield pd.DataFrame(
                         {
-                            "doc_id": pd.array(part, dtype="Int64").where(pd.array(part) != NULL_ID) if (part == NULL_ID).any() else part,
+                            "doc_id": pd.Series(part).astype("Int64").mask(part == NULL_ID) if (part == NULL_ID).any() else part,
                             "start": ends[:-1] + r.id_base,
                             "n_tokens": np.diff(ends),
                             "ids_crc32": [zlib.crc32(raw[a:b]) for a, b in zip(cuts, cuts[1:])],

@@ -77,5 +77,5 @@ def test_mixed_rows_hold_the_words_taken(spark):
 def test_many_rows_of_one_source_are_cut_into_buckets(spark):
     rows = spark.range(3000).selectExpr("id doc_id", "'s' source", "id % 7 size")
     out = mixing.taken_words(rows, rows, (1,), 1.25, 2.0, "seed", bucket_rows=10).collect()
-    assert sum(r["taken"] for r in out) == round(1.25 * sum(r["size"] for r in out))
+    assert abs(sum(r["taken"] for r in out) - 1.25 * sum(r["size"] for r in out)) <= 0.5
     assert {r["taken"] / r["size"] for r in out if r["size"] and r["part"] in (0, r["size"])} == {1.0, 2.0}

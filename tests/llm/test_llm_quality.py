@@ -42,7 +42,7 @@ def test_odd_rows(spark):
     assert quality.keep_good(empty(spark)).count() == 0
     kept = quality.keep_good(odd(spark))
     assert kept.columns == odd(spark).columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [6, 7]
+    assert kept.count() == 0  # all are short or repeat themselves
 
 
 def test_bad_host_takes_its_good_documents_along(spark):

@@ -35,6 +35,7 @@ def test_odd_rows(spark):
 
 def test_encoder_equals_the_library_on_white_space_and_marks():
     texts = ["a  b", " a\n\n b\t\tc ", " x y\x1cz\x1fq", "it's 'tis we'll", "١٢٣ ½ Ⅷ x²", "<|endoftext|>", "éa​b", "\n", " ", "a \n b"]
+    texts += ["Plain words, with marks: and two\nlines... of 'text'!", "x", "?!", "a.\n.b (c), d;", "é,\u2028f", "'s it's\n're", "²! ½. x_. <a>."]
     enc, tokenizer = token_files.Encoder(PATH), Tokenizer.from_file(PATH)
     for text, packed in zip(texts, enc.encode(texts)):
         assert np.frombuffer(packed, enc.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
