@@ -2,8 +2,8 @@
 
 Texts are lower-cased, everything but letters becomes one space, and the character n-grams of 3 to 7 code points, spaces
 included, are hashed into 2**18 features. A feature's value in a document is log(1 + 1000 x its share of the document's
-n-grams), scaled by the log ratio of its smoothed count shares in the two classes. The ``FEATURES`` features whose document
-frequencies differ most between the classes enter a logistic regression with an L2 penalty.
+n-grams), scaled by the log ratio of its smoothed count shares in the two classes. The ``FEATURES`` features whose counts
+in toxic texts are farthest from what the size of that class lets expect enter a logistic regression with an L2 penalty.
 
 Learning uses at most ``FIT_ROWS`` labelled rows, those first in an order by hash of their id; the bound keeps the fit on the
 driver small (about 30 MB) whatever the corpus. Counts, selection and feature values are computed by Spark; every document is scored whole.
@@ -29,7 +29,7 @@ from searchloom.session import cut_lineage
 
 BITS = 18
 SIZES = range(3, 8)
-FEATURES = 5000
+FEATURES = 2000
 FIT_ROWS = 20_000
 _OTHER = re.compile(r"[\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -94,29 +94,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
 
 
 def feature_ratios(sample: DataFrame, features: int) -> pd.DataFrame:
-    """``hash`` and ``ratio`` of the features whose document frequencies differ most between the classes."""
+    """``hash`` and ``ratio`` of the features whose toxic counts are farthest from the expected ones, in standard errors.
+
+    A feature that is rarer than expected counts half: absence of words tells less.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((4, 1 << BITS), np.int64)  # counts and documents, clean then toxic
+        sums = np.zeros((2, 1 << BITS), np.int64)  # clean, toxic
         for frame in batches:
             for body, toxic in zip(frame["body"], frame["toxic"]):
                 grams = list(ngrams(body))
                 if grams:
                     found, times = np.unique(np.concatenate(grams), return_counts=True)
                     sums[toxic][found] += times
-                    sums[2 + toxic][found] += 1
-        at = np.flatnonzero(sums[2] + sums[3])
-        yield pd.DataFrame({"hash": at, **{name: s[at] for name, s in zip(("c0", "c1", "d0", "d1"), sums)}})
+        at = np.flatnonzero(sums[0] + sums[1])
+        yield pd.DataFrame({"hash": at, "c0": sums[0][at], "c1": sums[1][at]})
 
-    kind = "hash bigint, c0 bigint, c1 bigint, d0 bigint, d1 bigint"
-    summed = sample.mapInPandas(count, kind).groupBy("hash").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "d0", "d1")])
+    summed = sample.mapInPandas(count, "hash bigint, c0 bigint, c1 bigint").groupBy("hash").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     summed = cut_lineage(summed, "llm-ngrams")
-    sizes = dict(sample.groupBy("toxic").count().collect())
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    totals = summed.agg(F.sum("c0"), F.sum("c1"), F.count("*")).first()
-    share = [(F.col(f"c{k}") + 1) / F.lit(float((totals[k] or 0) + (1 << BITS))) for k in (0, 1)]
-    gap = F.abs(F.col("d1") / F.lit(float(n1)) - F.col("d0") / F.lit(float(n0)))
-    clear = gap / F.sqrt((F.col("d0") + F.col("d1") + 1) / F.lit(float(n0 + n1)) / F.lit(float(min(n0, n1))))
+    clean, toxic = (float(n or 0) for n in summed.agg(F.sum("c0"), F.sum("c1")).first())
+    share = [(F.col(c) + 1) / F.lit(n + (1 << BITS)) for c, n in (("c0", clean), ("c1", toxic))]
+    expected = (F.col("c0") + F.col("c1")) * F.lit(toxic / max(clean + toxic, 1.0))
+    gap = F.col("c1") - expected
+    clear = F.when(gap > 0, gap).otherwise(-gap / 2) / F.sqrt(expected + 1)
     ranked = summed.select("hash", F.log(share[1] / share[0]).alias("ratio"), F.round(clear, 9).alias("clear"))
     return ranked.orderBy(F.desc("clear"), "hash").limit(features).toPandas()
 
@@ -135,7 +135,7 @@ def design(sample: DataFrame, place: np.ndarray) -> pd.DataFrame:
     return sample.mapInPandas(values, "toxic int, at array<int>, value array<float>").toPandas()
 
 
-def fit(rows: pd.DataFrame, ratios: np.ndarray, penalty: float = 0.01, steps: int = 250) -> tuple[np.ndarray, float]:
+def fit(rows: pd.DataFrame, ratios: np.ndarray, penalty: float = 0.3, steps: int = 250) -> tuple[np.ndarray, float]:
     """Weights (ratio included) and bias of the logistic regression, by full-batch gradient steps of adaptive size."""
     n = len(rows)
     sizes = np.fromiter(map(len, rows["at"]), np.int64, n)

@@ -6,11 +6,9 @@ from searchloom.llm import toxicity
 from searchloom.llm.queries import QUERIES
 
 
-def test_held_out_accuracy():
+def test_held_out_accuracy(spark):
     """Area under the curve and precision on documents whose labels were not learned; needs more rows than the smallest tables have."""
-    from pyspark.sql import SparkSession
-
-    spark, sf_dir = SparkSession.getActiveSession(), "/root/testdata/sf0.1"
+    sf_dir = "/root/testdata/sf0.1"
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = QUERIES["op3_toxicity"](spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
@@ -23,7 +21,7 @@ def test_held_out_accuracy():
     auc = (sum(bad) - len(bad) * (len(bad) - 1) / 2) / (len(bad) * good)
     caught = sum(t[2] for t in tested if t[1] == 1) / len(bad)
     wrong = sum(t[2] for t in tested if t[1] == 0) / good
-    assert auc > 0.98 and caught > 0.9 and wrong < 0.01, (auc, caught, wrong)
+    assert auc > 0.97 and caught > 0.85 and wrong < 0.005, (auc, caught, wrong)
 
 
 def test_odd_rows(spark):
