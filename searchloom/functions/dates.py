@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,19 @@ def wall_in(instant: Column, zone: Column | str) -> Column:
     return F.convert_timezone(F.lit("UTC"), target, utc_wall(instant))
 
 
+def known_zone(zone: Column) -> Column:
+    """The zone if it is a name of the time-zone database or an offset, else NULL."""
+    return F.when(zone.isin(*sorted(available_timezones())) | zone.rlike(r"^[+-]\d{2}:\d{2}$"), zone)
+
+
+def as_of_day(text: Column, zone: Column | str) -> Column:
+    """Day in ``zone`` of an as-of time; one without an offset is read in that zone. NULL for malformed texts and unknown zones."""
+    raw, target = F.trim(text), F.lit(zone) if isinstance(zone, str) else known_zone(zone)
+    zoned = wall_in(F.when(raw.rlike(ZONED_TIMESTAMP), raw.try_cast("timestamp")), target)
+    local = F.when(~raw.rlike(ZONED_TIMESTAMP) & target.isNotNull(), raw.try_cast("timestamp_ntz"))
+    return F.coalesce(zoned, local).cast("date")
+
+
 def instant_of(wall: Column) -> Column:
     """The instant whose UTC wall clock shows ``wall`` (a time without zone)."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from searchloom.functions.dates import wall_in
+from searchloom.functions.dates import as_of_day
 from searchloom.functions.numbers import clean, ratio, sum_if
 from searchloom.session import cut_lineage
 
@@ -322,8 +322,9 @@ def report_gate(contracts: DataFrame, window_ends: Column, properties: DataFrame
     ``contracts`` has two rows per property (``source_id`` baseline and current); ``window_ends`` gives
     the last day each source must cover; ``properties`` carries the analysis-level facts.
     """
-    as_of_day = wall_in(F.to_timestamp("data_as_of"), F.col("source_timezone")).cast("date")
-    late = F.when(as_of_day < window_ends, F.array(F.lit("data_as_of_before_window_end"))).otherwise(
+    day = as_of_day(F.col("data_as_of"), F.col("source_timezone"))
+    wrong = F.col("data_as_of").isNotNull() & F.col("source_timezone").isNotNull() & day.isNull()
+    late = F.when(wrong, F.array(F.lit("data_as_of_invalid"))).when(day < window_ends, F.array(F.lit("data_as_of_before_window_end"))).otherwise(
         F.array().cast("array<string>")
     )
     own = F.transform(F.concat(F.col("issues"), late), lambda c: F.concat(F.col("source_id"), F.lit(":"), c))
@@ -434,12 +435,14 @@ def ai_source_contract(sources: DataFrame, row_limit: int = AI_ROW_LIMIT) -> Dat
     """Issues as ``severity:code`` for each AI-surface export, with status and completeness."""
     fin = F.col("finality")
     pre = F.coalesce(F.col("preliminary"), fin == "preliminary")
-    as_of_day = wall_in(F.to_timestamp("data_as_of"), SEARCH_TIMEZONE).cast("date")
+    day = as_of_day(F.col("data_as_of"), SEARCH_TIMEZONE)
     issues = issue_list(
         code(F.col("property_id").isNull(), "unknown:property_missing"),
         code(F.col("filters").isNull(), "unknown:filters_missing"),
-        F.when(F.col("data_as_of").isNull(), F.lit("unknown:data_as_of_missing")).when(
-            as_of_day < F.col("window_end"), F.lit("limited:data_as_of_before_window_end")
+        F.when(F.col("data_as_of").isNull(), F.lit("unknown:data_as_of_missing"))
+        .when(day.isNull(), F.lit("unknown:data_as_of_invalid"))
+        .when(
+            day < F.col("window_end"), F.lit("limited:data_as_of_before_window_end")
         ),
         F.when(fin == "unknown", F.lit("unknown:finality_unknown")).when(pre, F.lit("limited:data_preliminary")),
         F.when(F.col("completeness") == "unknown", F.lit("unknown:completeness_unknown")).when(

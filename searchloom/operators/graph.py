@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from searchloom.functions import urls
 from searchloom.session import cut_lineage, scratch_path
 
-# Fixed value: longest redirect chain that is followed.
+# Fixed value: hops beyond which a chain counts as too long.
 MAX_REDIRECTS = 10
 
 
@@ -29,67 +29,64 @@ def inbound_counts(pages: DataFrame, graph: DataFrame) -> DataFrame:
     return pages.select("site_id", "url").join(counts, ["site_id", "url"], "left").fillna(0, ["inbound"])
 
 
-def click_depth(graph: DataFrame, roots: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """Shortest click distance from each site's root, by frontier rounds.
+def click_depth(graph: DataFrame, roots: DataFrame) -> DataFrame:
+    """Shortest click distance from each site's root, by frontier rounds until no page is new.
 
-    All sites advance together. Each round is appended as one partition of a table in the shared folder
-    and re-read from there: plans stay short, and the visited set is scanned with ``depth`` pruned.
+    All sites advance together. Each round is appended as one partition of a table in the shared folder, so plans stay short and a
+    lost executor repeats one round; the next round reads that partition alone as its frontier.
     """
     spark = graph.sparkSession
     edges = cut_lineage(graph.select("site_id", "source", "target"), "graph")
     path = scratch_path(spark, "depth")
-    roots.select("site_id", "url").distinct().write.parquet(f"{path}/depth=0")
-    schema = "site_id string, url string, depth int"
-    for depth in range(1, max_depth + 1):
-        visited = spark.read.schema(schema).parquet(path)
-        frontier = visited.filter(F.col("depth") == depth - 1).select("site_id", F.col("url").alias("source"))
-        step = (
-            edges.join(frontier, ["site_id", "source"])
-            .select("site_id", F.col("target").alias("url"))
-            .distinct()
-            .join(visited.select("site_id", "url"), ["site_id", "url"], "left_anti")
-        )
-        step.write.parquet(f"{path}/depth={depth}")
-        if spark.read.schema("site_id string, url string").parquet(f"{path}/depth={depth}").isEmpty():
-            break
-    return spark.read.schema(schema).parquet(path)
+    frontier = roots.select("site_id", "url").distinct()
+    schema, row = "site_id string, url string, depth int", "site_id string, url string"
+    depth = 0
+    while True:
+        frontier.write.parquet(f"{path}/depth={depth}")
+        newest = spark.read.schema(row).parquet(f"{path}/depth={depth}")
+        if newest.isEmpty():
+            return spark.read.schema(schema).parquet(path)
+        visited = spark.read.schema(schema).parquet(path).select("site_id", "url")
+        step = edges.join(newest.withColumnRenamed("url", "source"), ["site_id", "source"])
+        found = step.select("site_id", F.col("target").alias("url")).distinct()
+        frontier = found.join(visited, ["site_id", "url"], "left_anti")
+        depth += 1
 
 
 def resolve_redirects(redirects: DataFrame, max_hops: int = MAX_REDIRECTS) -> DataFrame:
-    """Follow each URL's redirect to its end.
+    """Follow each URL's redirect to its end or until it returns to itself, however long the chain.
 
-    ``redirects``: ``url, location`` with one row per url. A chain returning to itself is a loop; one
-    longer than ``max_hops`` is too long. Rounds are equi-joins on the current location.
+    ``redirects``: ``url, location`` with one row per url. ``hops`` and ``final_url`` are those of the whole chain; ``state`` is
+    ``loop``, ``too_long`` for an ending chain of more than ``max_hops``, or ``resolved``. Rounds are equi-joins on the current
+    location. A round rewrites only the chains still open; closed ones are appended once.
     """
+    spark = redirects.sparkSession
     hop = redirects.select(F.col("url").alias("at"), F.col("location").alias("next"))
     walk = redirects.select(
         "url", F.col("location").alias("at"), F.array("url", "location").alias("path"), F.lit(1).alias("hops")
     ).withColumn("state", F.when(F.col("url") == F.col("at"), F.lit("loop")).otherwise(F.lit("open")))
-    walk = cut_lineage(walk, "redirects")
-    for _ in range(max_hops):
+    folder, schema = scratch_path(spark, "redirects"), walk.schema
+    turn = 0
+    while True:
+        walk.write.parquet(f"{folder}/round={turn}")
+        walk = spark.read.schema(schema).parquet(f"{folder}/round={turn}").filter("state = 'open'")
+        if walk.isEmpty():
+            break
         moved = walk.join(hop, "at", "left")
-        going = (F.col("state") == "open") & F.col("next").isNotNull()
+        going = F.col("next").isNotNull()
         again = F.array_contains("path", F.col("next"))
-        stepped = moved.select(
+        walk = moved.select(
             "url",
-            F.when(going, F.col("next")).otherwise(F.col("at")).alias("at"),
+            F.coalesce("next", "at").alias("at"),
             F.when(going, F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
             (F.col("hops") + going.cast("int")).alias("hops"),
-            F.when(F.col("state") != "open", F.col("state"))
-            .when(F.col("next").isNull(), F.lit("resolved"))
-            .when(again, F.lit("loop"))
-            .otherwise(F.lit("open"))
-            .alias("state"),
+            F.when(~going, F.lit("resolved")).when(again, F.lit("loop")).otherwise(F.lit("open")).alias("state"),
         )
-        walk = cut_lineage(stepped, "redirects")
-        if walk.filter("state = 'open'").isEmpty():
-            break
-    return walk.select(
-        "url",
-        F.col("at").alias("final_url"),
-        "path",
-        F.least("hops", F.lit(max_hops)).alias("hops"),
-        F.when((F.col("state") == "open") | (F.col("hops") > max_hops), F.lit("too_long")).otherwise(F.col("state")).alias("state"),
+        turn += 1
+    closed = spark.read.schema(schema).parquet(folder).filter("state <> 'open'")
+    long = (F.col("state") == "resolved") & (F.col("hops") > max_hops)
+    return closed.select(
+        "url", F.col("at").alias("final_url"), "path", "hops", F.when(long, F.lit("too_long")).otherwise(F.col("state")).alias("state")
     )
 
 

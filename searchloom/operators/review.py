@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from searchloom.functions.dates import wall_in
+from searchloom.functions.dates import as_of_day
 from searchloom.functions.numbers import clean
 from searchloom.operators.compare import (
     SEARCH_TIMEZONE,
@@ -343,7 +343,7 @@ def mapping_coverage(labelled: DataFrame, alignment: DataFrame, examples: int =
 def review_source_contract(sources: DataFrame) -> DataFrame:
     """Issue codes of each review source; ``window_end`` is the last day it must cover."""
     kind, zone = F.col("kind"), F.col("source_timezone")
-    as_of_day = wall_in(F.to_timestamp("data_as_of"), zone).cast("date")
+    day = as_of_day(F.col("data_as_of"), zone)
     analytics = kind == "analytics"
     issues = issue_list(
         code(zone.isNull(), "source_timezone_missing"),
@@ -358,7 +358,8 @@ def review_source_contract(sources: DataFrame) -> DataFrame:
         code((kind != "search") & F.col("attribution_model").isNull(), "attribution_model_missing"),
         quality_issue(),
     )
-    late = F.when(as_of_day < F.col("window_end"), F.array(F.lit("data_as_of_before_current_window_end"))).otherwise(
+    wrong = F.col("data_as_of").isNotNull() & zone.isNotNull() & day.isNull()
+    late = F.when(wrong, F.array(F.lit("data_as_of_invalid"))).when(day < F.col("window_end"), F.array(F.lit("data_as_of_before_current_window_end"))).otherwise(
         F.array().cast("array<string>")
     )
     return (

@@ -32,16 +32,17 @@ def read_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def reachable_documents(documents: DataFrame, roots: DataFrame, max_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+def reachable_documents(documents: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents found from ``roots`` (``site_id, doc_url``) by following index files, and index errors.
 
-    Each round joins the newly named documents by URL and drops those seen; every round is written to
+    Rounds go on until no document is new, however deep the index. Each joins the newly named documents by URL and drops
+    those seen; every round is written to
     the shared folder, so a lost executor repeats one round only. Other-origin children are errors.
     """
     parsed = cut_lineage(read_documents(documents), "sitemap-docs")
     found = cut_lineage(roots.select("site_id", "doc_url").distinct(), "sitemap-round")
     frontier, errors = found, None
-    for _ in range(max_rounds):
+    while True:
         children = (
             parsed.filter("kind = 'sitemapindex' AND error IS NULL")
             .join(frontier, ["site_id", "doc_url"], "left_semi")

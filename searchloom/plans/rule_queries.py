@@ -17,7 +17,7 @@ VARIANT = """EXISTS (SELECT 1 FROM known k WHERE k.site_id = {0}.site_id AND (k.
   OR (suffix(regexp_replace({1}, '[?].*$', ''), '/') AND k.url = regexp_replace({1}, '[?].*$', '') || 'index.html')
   OR (NOT suffix(regexp_replace({1}, '[?].*$', ''), '/') AND NOT contains(regexp_extract(regexp_replace({1}, '[?].*$', ''), '[^/]*$', 0), '.')
      AND (k.url = regexp_replace({1}, '[?].*$', '') || '/' OR k.url = regexp_replace({1}, '[?].*$', '') || '/' || regexp_extract({1}, '[?].*$', 0)))))"""
-PER_SOURCE = "SELECT site_id, source AS url, array_to_string(list_slice(list_sort(list(DISTINCT target)), 1, 20), ', ') AS evidence FROM ({0}) p GROUP BY site_id, source"
+PER_SOURCE = "SELECT site_id, source AS url, array_to_string(list_sort(list(DISTINCT target)), ', ') AS evidence FROM ({0}) p GROUP BY site_id, source"
 
 
 def _register(number, name, code, severity, category, rows, views=("site_pages",), ctes=(), static=False, check=True):

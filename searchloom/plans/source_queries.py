@@ -7,7 +7,7 @@ from searchloom.functions import dates, numbers, urls
 from searchloom.operators import gates
 from searchloom.plans import sqltext as q
 from searchloom.plans.registry import query
-from searchloom.plans.tables import load_spread, load_view, table, with_views
+from searchloom.plans.tables import load_view, table, with_views
 from searchloom.session import scratch_path
 from searchloom.sources import exports, files
 
@@ -16,7 +16,7 @@ BASE = "https://shop.example.com/catalog/"
 
 
 def _raw(spark, sf):
-    return load_spread(spark, sf, "raw_search")
+    return load_view(spark, sf, "raw_search")
 
 
 @query(
@@ -30,7 +30,7 @@ def a1(spark, sf):
     """Round trip: the search rows written as CSV and read by the export reader."""
     rows = load_view(spark, sf, "search_daily")
     path = scratch_path(spark, "export")
-    rows.select(
+    columns = [
         F.col("day").cast("string").alias("Date"),
         F.concat_ws("|", "property_id", "page").alias("Top pages"),
         F.col("query").alias("查询"),
@@ -39,7 +39,11 @@ def a1(spark, sf):
         F.col("clicks").cast("string").alias("Clicks"),
         F.col("impressions").cast("string").alias("展示次数"),
         F.col("position").cast("string").alias("Average position"),
-    ).write.option("header", True).option("sep", ";").csv(path)
+    ]
+    # two kinds of files in one folder: other order, other delimiter
+    odd = F.dayofmonth("day") % 2 == 1
+    rows.filter(odd).select(*columns).write.option("header", True).option("escape", '"').option("sep", ";").csv(path)
+    rows.filter(~odd).select(*columns[::-1]).write.mode("append").option("header", True).option("escape", '"').csv(path)
     back = exports.read_search_csv(spark, path)
     typed = gates.typed_search_rows(back)
     return typed.groupBy(F.substring_index("page", "|", 1).alias("property_id")).agg(
@@ -117,12 +121,15 @@ def a6(spark, sf):
 def a7(spark, sf):
     rows = load_view(spark, sf, "search_daily").groupBy("day", "country", "device").agg(F.sum("impressions").alias("n"))
     path = scratch_path(spark, "ai-export")
-    rows.select(
+    columns = [
         F.col("day").cast("string").alias("日期"),
         F.col("country").alias("Top countries"),
         F.col("device").alias("Top devices"),
         F.col("n").cast("string").alias("Impression"),
-    ).write.option("header", True).csv(path)
+    ]
+    odd = F.dayofmonth("day") % 2 == 1
+    rows.filter(odd).select(*columns).write.option("header", True).csv(path)
+    rows.filter(~odd).select(*columns[::-1]).write.mode("append").option("header", True).csv(path)
     back = exports.read_ai_csv(spark, path)
     back = numbers.with_numbers(back, {"n": F.col("impressions")})
     value = numbers.non_negative("n")

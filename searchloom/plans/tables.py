@@ -10,8 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from searchloom.session import spread
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -61,11 +59,6 @@ def load_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_rename_sha(text) + f"SELECT * FROM {name}")
 
 
-def load_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``load_view`` for queries with costly per-row work (patterns, parsing)."""
-    return spread(load_view(spark, sf_dir, name))
-
-
 def _rename_sha(text: str) -> str:
     out, marker = [], "searchloom_sha("
     while marker in text:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "sea
 def shared_dir(spark: SparkSession) -> str:
     """The reliable folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made.
+    Only a session on one machine (a ``local`` master, as in tests) may do without: it gets a temporary folder. Anywhere else a
+    missing setting raises, since executors would not see each other's files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[[^,\]]*(,\s*\d+)?\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     fallback = getattr(spark, "_searchloom_dir", None)
     if fallback is None:
         fallback = tempfile.mkdtemp(prefix="spark-searchloom-", dir="/tmp")
@@ -54,14 +58,3 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input enough tasks for expensive per-row work.
-
-    An input that already has two tasks per core is returned unchanged, so large data is never shuffled
-    for this; only a handful of file splits is. Meant for inputs read straight from files: asking a plan
-    with shuffles for its partitions would run them.
-    """
-    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -197,6 +199,24 @@ def refuse_sensitive_headers(headers: Sequence[str], crm: bool = False) -> None:
             raise ValueError(f"row-level CRM column refused: {header!r}")
 
 
+def header_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """First line that is not blank -> files that begin with it; one row per file comes back."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_at"))
+    filled = lines.filter(F.trim(F.regexp_replace("value", "\ufeff", "")) != "")
+    first = filled.groupBy("file_path").agg(F.min_by("value", F.struct("file_block_start", "_at")).alias("header"))
+    files: dict[str, list[str]] = {}
+    for row in first.orderBy("file_path").toLocalIterator():
+        files.setdefault(row["header"].lstrip("\ufeff"), []).append(unquote(row["file_path"]))
+    return files
+
+
+def split_header(line: str) -> tuple[str, list[str]]:
+    """Delimiter and column names of a header line; names may be quoted and hold delimiters."""
+    outside = re.sub(r'"(?:[^"]|"")*"', "", line)
+    delimiter = max(DELIMITERS, key=outside.count)
+    return delimiter, [name.strip() for name in next(csv.reader([line], delimiter=delimiter))]
+
+
 def read_export_csv(
     spark: SparkSession,
     path: str,
@@ -204,17 +224,26 @@ def read_export_csv(
     required: Sequence[str] = ("clicks", "impressions"),
     forbidden: Sequence[str] = (),
 ) -> DataFrame:
-    """All-string rows under canonical names, plus ``row_issue`` for rows longer than the header.
+    """All-string rows under canonical names, plus ``row_issue`` for rows longer or shorter than their header.
 
-    The header line is the only thing read early. Lines stay splittable, blank rows are dropped.
+    Files are grouped by their own header, so columns may stand in any order in each. Quoted fields may hold doubled quotes,
+    delimiters and line breaks; the price is that one file is read by one task. Blank rows are dropped; a column that
+    only some headers have is NULL in the other files.
     """
-    header = spark.read.text(path).filter(F.trim("value") != "").first()
-    if header is None:
+    groups = header_lines(spark, path)
+    if not groups:
         raise ValueError("empty CSV")
-    line = header[0].lstrip("\ufeff")
-    delimiter = max(DELIMITERS, key=line.count)
-    names = [part.strip().strip('"') for part in line.split(delimiter)]
-    mapping = canonical_headers(names, aliases, required, forbidden)
+    parts = []
+    for line, files in groups.items():
+        delimiter, names = split_header(line)
+        parts.append(_read_group(spark, files, delimiter, names, canonical_headers(names, aliases, required, forbidden)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select(*[c for c in out.columns if c != "row_issue"], "row_issue")
+
+
+def _read_group(spark: SparkSession, files: list[str], delimiter: str, names: Sequence[str], mapping: Mapping[str, str]) -> DataFrame:
     # One spare column: a row filling it exactly is not malformed for the parser, yet too long for us.
     fields = [mapping[n] for n in names] + ["_spare", "_malformed"]
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
@@ -223,16 +252,20 @@ def read_export_csv(
         .option("header", True)
         .option("sep", delimiter)
         .option("encoding", "UTF-8")
+        .option("multiLine", True)
+        .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_malformed")
-        .csv(path)
+        .csv(files)
     )
     kept = [F.col(mapping[n]) for n in names]
-    too_long = F.col("_spare").isNotNull() | F.col("_malformed").isNull()
+    # every proper row lacks the spare field, so the parser keeps its text; its delimiters outside quotes tell its length
+    bare = F.regexp_replace("_malformed", r'"(?:[^"]|"")*"', "")
+    found = F.size(F.split(bare, re.escape(delimiter), -1))
+    too_long = F.col("_spare").isNotNull() | F.col("_malformed").isNull() | (found > len(names))
     blank = F.forall(F.array(*kept), lambda v: F.coalesce(F.trim(v), F.lit("")) == "")
-    return rows.filter(~blank | too_long).select(
-        *kept, F.when(too_long, F.lit("row_longer_than_header")).alias("row_issue")
-    )
+    issue = F.when(too_long, F.lit("row_longer_than_header")).when(found < len(names), F.lit("row_shorter_than_header"))
+    return rows.filter(~blank | too_long).select(*kept, issue.alias("row_issue"))
 
 
 def read_search_csv(spark: SparkSession, path: str) -> DataFrame:

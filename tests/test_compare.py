@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from searchloom.functions import dates
 from searchloom.operators import compare, gates
 from searchloom.operators.compare import DateWindow
 from searchloom.sources import exports
@@ -55,10 +56,45 @@ def test_chinese_headers_and_separators(spark, tmp_path):
     assert row[0].day == dt.date(2026, 6, 1)
 
 
-def test_long_row_is_reported_and_short_row_is_not(spark, tmp_path):
+def test_long_and_short_rows_are_reported(spark, tmp_path):
     text = "Date,Clicks,Impressions\n2026-06-01,1,2\n2026-06-02,1,2,9\n2026-06-03,1,2,9,9\n2026-06-04,1\n"
     issues = [r.row_issue for r in _read(spark, tmp_path, text).orderBy("date").collect()]
-    assert issues == [None, "row_longer_than_header", "row_longer_than_header", None]
+    assert issues == [None, "row_longer_than_header", "row_longer_than_header", "row_shorter_than_header"]
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Clicks,Impressions\n2026-01-01,1,10\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("\n\ufeffDate;Impressions;Clicks;Page\n2026-01-02;20;2;/x\n", encoding="utf-8")
+    rows = exports.read_search_csv(spark, str(tmp_path)).orderBy("date").collect()
+    assert [(r.date, r.clicks, r.impressions, r.page, r.row_issue) for r in rows] == [
+        ("2026-01-01", "1", "10", None, None), ("2026-01-02", "2", "20", "/x", None),
+    ]
+    (tmp_path / "c.csv").write_text("Date,Clicks,Impressions,Owner\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="unknown column"):
+        exports.read_search_csv(spark, str(tmp_path))
+
+
+def test_quotes_line_breaks_and_quoted_headers(spark, tmp_path):
+    text = '"Date","Query",Clicks,"Impressions"\n2026-06-01,"say ""hi"", now",1,2\n2026-06-02,"two\nlines, one field",3,4\n2026-06-03,"a,b"\n'
+    rows = _read(spark, tmp_path, text).orderBy("date").collect()
+    assert [(r.query, r.clicks, r.impressions, r.row_issue) for r in rows] == [
+        ('say "hi", now', "1", "2", None), ("two\nlines, one field", "3", "4", None), ("a,b", None, None, "row_shorter_than_header"),
+    ]
+    assert exports.split_header('"Date, local";Clicks;"a;b"') == (";", ["Date, local", "Clicks", "a;b"])
+
+
+def test_malformed_as_of_is_an_issue_in_every_session_zone(spark):
+    texts = ["2026-02-30", "2026-01-31T10:00:00", "2026-02-01T05:00:00Z", "soon", None]
+    frame = spark.createDataFrame([(t, z) for t in texts for z in ("America/Los_Angeles", "Mars/Base")], "t string, z string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            days = {(r.t, r.z): str(r.d) for r in frame.withColumn("d", dates.as_of_day(F.col("t"), F.col("z"))).collect()}
+            assert {t: days[t, "America/Los_Angeles"] for t in texts} == dict(zip(texts, ["None", "2026-01-31", "2026-01-31", "None", "None"]))
+            assert {days[t, "Mars/Base"] for t in texts} == {"None"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
 @pytest.mark.parametrize(

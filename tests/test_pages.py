@@ -101,7 +101,20 @@ def test_click_depth_and_redirects(spark):
     hops = [("a", "b"), ("b", "c"), ("l", "m"), ("m", "l"), ("s", "s")] + [(f"k{i}", f"k{i + 1}") for i in range(15)]
     out = {r.url: (r.final_url, r.hops, r.state) for r in graph.resolve_redirects(spark.createDataFrame(hops, "url string, location string")).collect()}
     assert out["a"] == ("c", 2, "resolved") and out["b"] == ("c", 1, "resolved") and out["l"][2] == "loop" and out["s"][2] == "loop"
-    assert out["k0"][2] == "too_long" and out["k5"] == ("k15", 10, "resolved")
+    assert out["k0"] == ("k15", 15, "too_long") and out["k5"] == ("k15", 10, "resolved")
+
+
+def test_deep_sitemap_indexes_and_long_chains_are_followed_to_the_end(spark):
+    def index(i, child):
+        return (SITE, f"{SITE}/s{i}.xml", f"<sitemapindex><sitemap><loc>{child}</loc></sitemap></sitemapindex>")
+
+    docs = [index(i, f"{SITE}/s{i + 1}.xml") for i in range(25)] + [(SITE, f"{SITE}/s25.xml", f"<urlset><url><loc>{SITE}/p</loc></url></urlset>")]
+    frame = spark.createDataFrame(docs, "site_id string, doc_url string, xml string")
+    found, errors = sitemaps.reachable_documents(frame, spark.createDataFrame([(SITE, f"{SITE}/s0.xml")], "site_id string, doc_url string"))
+    assert found.count() == 26 and errors.count() == 0 and sitemaps.sitemap_locations(found).count() == 1
+    chain = [(f"u{i}", f"u{i + 1}") for i in range(25)] + [("v0", "v1"), ("v1", "v2"), ("v2", "v1")]
+    ends = {r.url: (r.final_url, r.hops, r.state) for r in graph.resolve_redirects(spark.createDataFrame(chain, "url string, location string")).collect()}
+    assert ends["u0"] == ("u25", 25, "too_long") and ends["u24"] == ("u25", 1, "resolved") and ends["v0"][2] == "loop"
 
 
 def test_content_only_in_the_rendered_page(spark, site):
