@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm import decontaminate, extraction, licenses, mixing, quality, simhash, suffix_dedup, token_files, toxicity, url_filter
+from searchloom.llm import decontaminate, extraction, licenses, mixing, oracles, quality, simhash, suffix_dedup, token_files, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_quality_rules")
+@query("op1_quality_rules", oracles.OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, base verdict and host verdict of every document."""
     judged = quality.measures_by_id(_table(spark, sf_dir, "documents"))
@@ -44,7 +44,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, shards).drop("shard")
 
 
-@query("op6_mixing")
+@query("op6_mixing", oracles.OP6)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     return mixing.mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -57,7 +57,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op10_decontamination")
+@query("op10_decontamination", oracles.OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -80,14 +80,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "main.text", "main.n_chars")
 
 
-@query("op8_url_filter")
+@query("op8_url_filter", oracles.OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's URL; without a rule, mirror hosts are blocked."""
     pages = _table(spark, sf_dir, "pages")
     return url_filter.judge(pages, url_filter.mirror_hosts(pages)).select("page_id", "judged.*")
 
 
-@query("op9_license_scan")
+@query("op9_license_scan", oracles.OP9)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in every document."""
     found = licenses.scan(_table(spark, sf_dir, "documents"))
