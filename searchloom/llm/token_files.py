@@ -35,73 +35,113 @@ from searchloom.session import scratch_path
 
 NULL_ID = -(2**63)
 END_ID = 2
-# white space as the tokenizer's own pattern has it
-_WS = "\t-\r \x85\xa0  -     　"
+# white space as the tokenizer's own pattern has it, without and with the blank and the line feed
+_RARE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WS = f" \n{_RARE}"
+_ODD = re.compile(f"[{_RARE}]")
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# remembered chunks of one Python worker: about 150 bytes each
-MEMO = 400_000
+# marks at a word's end that are always a piece of their own behind a letter or digit
+_TAIL = ".,;:!?"
+# words that one Python worker remembers for good: about 200 bytes each
+MEMO = 1_000_000
 
 
 class Encoder:
     """Ids of whole texts from a byte-level tokenizer of the tokenizers library, as packed unsigned integers.
 
-    Such a tokenizer cuts a text at white space before anything else, so a chunk (an optional space and what follows up to
-    the next white space) always has the same ids. Chunks already encoded are remembered; the library encodes the new ones
-    of a batch in one call, cut into the pieces its pattern makes. Texts with one of the added tokens are encoded whole.
+    Such a tokenizer cuts a text at white space before anything else, so a word with the blank before it always has the
+    same ids wherever it stands. Words already encoded are remembered; the new ones of a batch go to the library as one text, a line for each.
+    Texts of words parted by single blanks and line feeds are split plainly, others by the tokenizer's
+    rule for white space; texts with one of its added tokens are encoded whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(_PIECE)
         self.line = self._ids("\n")
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}  # without a blank before it; also chunks, which bring their own
+        self.later: dict[str, bytes] = {}  # after a blank
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of every text, without the end id."""
-        whole = [any(map(text.__contains__, self.added)) for text in texts]
-        cut = [[] if alone else _CHUNK.findall(text) for text, alone in zip(texts, whole)]
-        new = set().union(*cut).difference(self.chunks)
-        if new:
-            self._learn(new)
-        get = self.chunks.__getitem__
-        out = [self._ids(t).tobytes() if alone else b"".join(map(get, chunks)) for t, alone, chunks in zip(texts, whole, cut)]
-        for memo in (self.chunks, self.parts):
+        found: list[list[list[bytes]] | None] = []
+        missing: tuple[list, list] = [], []  # places without a blank and with one: list, index, word
+        one, more = self.first.get, self.later.get
+        for text in texts:
+            lines = self._cut(text)
+            if lines is None:
+                found.append(None)
+                continue
+            own = []
+            for head, rest in lines:
+                values = [*map(one, head), *map(more, rest)]
+                if None in values:
+                    i = -1
+                    for _ in range(values.count(None)):
+                        i = values.index(None, i + 1)
+                        later = i >= len(head)
+                        missing[later].append((values, i, rest[i - len(head)] if later else head[i]))
+                own.append(values)
+            found.append(own)
+        for places, memo, blank in ((missing[0], self.first, ""), (missing[1], self.later, " ")):
+            new = {word for _, _, word in places}
+            self._learn(new, memo, blank)
+            for values, i, word in places:
+                values[i] = memo[word]
+            # what comes early comes often: a full memory keeps that and forgets the words of this batch
             if len(memo) > MEMO:
-                memo.clear()
-        return out
-
-    def _learn(self, chunks: set[str]) -> None:
-        cut = {c: self.pieces.findall(c) for c in chunks}
-        new = list(set().union(*cut.values()).difference(self.parts))
-        # pieces without a line feed go into one text, parted by line feeds, which are ids of their own
-        plain = [p for p in new if "\n" not in p and not p.isspace()]
-        for p in new:
-            if "\n" in p or p.isspace():
-                self.parts[p] = self._ids(p).tobytes()
-        for low in range(0, len(plain), 5000):
-            some = plain[low : low + 5000]
-            ids = self._ids("\n".join(some))
+                for word in new:
+                    memo.pop(word, None)
+        feed = self.line.tobytes()
+        return [
+            self._ids(text).tobytes() if lines is None else feed.join([b"".join(values) for values in lines]) for text, lines in zip(texts, found)
+        ]
+
+    def _cut(self, text: str) -> list[tuple[list[str], list[str]]] | None:
+        """Lines as words without, and words with, a blank before them; one line of chunks for other texts; None: encode whole."""
+        if any(map(text.__contains__, self.added)):
+            return None
+        plain = not _ODD.search(text) and not any(map(text.__contains__, ("  ", "\n\n", " \n", "\n ")))
+        if not plain or text[:1] in (" ", "\n", "") or text[-1] in " \n":
+            return [(_CHUNK.findall(text), [])]
+        lines = [line.split(" ") for line in text.split("\n")]
+        return [(words[:1], words[1:]) for words in lines]
+
+    def _learn(self, words: set[str], memo: dict[str, bytes], blank: str) -> None:
+        cores = {}
+        for word in words:
+            core = word.rstrip(_TAIL)
+            cores[word] = core if core and core[-1].isalnum() else word
+        memo.update(self._encoded({c for c in cores.values() if c not in memo}, blank))
+        tails = {word[len(core) :] for word, core in cores.items() if len(core) < len(word)}
+        self.first.update(self._encoded({t for t in tails if t not in self.first}, ""))
+        for word, core in cores.items():
+            if len(core) < len(word):
+                memo[word] = memo[core] + self.first[word[len(core) :]]
+
+    def _encoded(self, words: set[str], blank: str) -> dict[str, bytes]:
+        """Ids of words after ``blank``; words that are white space or hold a line feed are encoded one by one."""
+        alone = [w for w in words if "\n" in w or not w or w.isspace()]
+        out = {w: self._ids(w).tobytes() for w in alone}
+        lines = list(words.difference(alone))
+        for low in range(0, len(lines), 1000):
+            some = lines[low : low + 1000]
+            ids = self._ids("\n".join([blank + w for w in some]))
             ends = np.flatnonzero(ids == self.line[0]).tolist()
             if len(ends) != len(some) - 1:
                 raise ValueError("the tokenizer does not keep a line feed apart")
             raw, size, start = ids.tobytes(), self.kind.itemsize, 0
-            for piece, end in zip(some, [*ends, len(ids)]):
-                self.parts[piece] = raw[size * start : size * end]
+            for word, end in zip(some, [*ends, len(ids)]):
+                out[word] = raw[size * start : size * end]
                 start = end + 1
-        get = self.parts.__getitem__
-        for chunk, pieces in cut.items():
-            self.chunks[chunk] = b"".join(map(get, pieces))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
