@@ -20,7 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Element and attribute names the site checks read.
 SINGLE_TAGS = ("html", "meta", "link", "base", "img", "main")
-TEXT_TAGS = ("title", "a", "h1", "h2", "h3", "h4", "h5", "h6")
+HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+TEXT_TAGS = ("title", "a", *HEADING_TAGS)
 SILENT_TAGS = ("head", "script", "style", "template", "noscript")
 SKIPPED_SCHEMES = ("mailto", "tel", "javascript", "data", "blob")
 IMAGE_ATTRIBUTES = ("src", "data-src", "data-lazy-src", "data-original", "data-flickity-lazyload", "data-echo")
@@ -55,35 +56,43 @@ def one_line(text: str) -> str:
 
 
 class Elements(HTMLParser):
-    """Collects ``(tag, attributes, text)`` in document order."""
+    """Collects ``[tag, attributes, text]`` in document order.
+
+    A heading is recorded where it begins and gets its text where it ends; one that never ends, or that another of its kind
+    replaces, stays without text. Other texts are recorded where they end.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, dict[str, str], str]] = []
+        self.found: list[list] = []
         self.words: list[str] = []
         self.depth: Counter[str] = Counter()
-        self.reading: dict[str, tuple[dict[str, str], list[str]]] = {}
+        self.reading: dict[str, tuple[list, list[str]]] = {}
 
     def handle_starttag(self, tag, attrs):
         attributes = {name: value or "" for name, value in attrs}
         self.depth[tag] += 1
         if tag != "a" and attributes.get("role", "").lower() == "link":
-            self.found.append(("role-link", {"tag": tag}, ""))
+            self.found.append(["role-link", {"tag": tag}, ""])
         if tag in SINGLE_TAGS or (tag == "source" and self.depth["picture"] > 0):
-            self.found.append((tag, attributes, ""))
+            self.found.append([tag, attributes, ""])
         kind = attributes.get("type", "").split(";")[0].strip().lower()
         if tag in TEXT_TAGS or (tag == "script" and kind == "application/ld+json"):
-            self.reading[tag] = (attributes, [])
+            self.reading[tag] = ([tag, attributes, ""], [])
+            if tag in HEADING_TAGS:
+                self.found.append(self.reading[tag][0])
 
     def handle_endtag(self, tag):
         if self.depth[tag] > 0:
             self.depth[tag] -= 1
         if tag in self.reading:
-            attributes, parts = self.reading.pop(tag)
-            self.found.append((tag, attributes, "".join(parts)))
+            entry, parts = self.reading.pop(tag)
+            entry[2] = "".join(parts)
+            if tag not in HEADING_TAGS:
+                self.found.append(entry)
 
     def handle_data(self, data):
-        for _attributes, parts in self.reading.values():
+        for _entry, parts in self.reading.values():
             parts.append(data)
         if self.depth["body"] > 0 and not any(self.depth[t] for t in SILENT_TAGS):
             self.words.append(data)

@@ -238,11 +238,21 @@ def record_json_kind(text: Column) -> Column:
         r'(?i)"(?:[^"]*[_-])?(?:hash|sha(?:1|224|256|384|512)?|digest|checksum|changes_head|reviews_head)'
         r'(?:[_-][^"]*)?"\s*:\s*"[0-9a-f]{32,128}"'
     )
+    bare = F.regexp_replace(text, digest, '""')
     return F.when(F.exists(names, sensitive_key), F.lit("sensitive_key")).otherwise(
-        record_text_kind(F.regexp_replace(text, digest, '""'))
+        F.coalesce(record_text_kind(bare), record_text_kind(decoded_strings(bare)))
     )
 
 
+def decoded_strings(text: Column) -> Column:
+    """The strings of a JSON text with their escapes resolved, a line each; NULL without escapes or where they are broken."""
+    strings = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"'), F.lit(0))
+    array = F.from_json(F.concat(F.lit("["), F.array_join(strings, ","), F.lit("]")), "array<string>")
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(array, "\n"))
+
+
 def payload_json_kind(text: Column) -> Column:
     names = F.regexp_extract_all(text, F.lit(r'"([^"\\]*(?:\\.[^"\\]*)*)"\s*:'), F.lit(1))
-    return F.when(F.exists(names, payload_field), F.lit("credential_field")).otherwise(payload_text_kind(text))
+    return F.when(F.exists(names, payload_field), F.lit("credential_field")).otherwise(
+        F.coalesce(payload_text_kind(text), payload_text_kind(decoded_strings(text)))
+    )

@@ -223,14 +223,18 @@ def typed_panel(raw: DataFrame, assignments: DataFrame, metrics: Sequence[str])
         parse_flag(F.col("contaminated_text")).alias("contaminated"),
         parse_flag(F.col("applied_text")).alias("applied"),
     )
-    readable = (F.col("unit_id") != "") & F.col("day").isNotNull() & F.col("group").isNotNull()
-    order = Window.partitionBy("experiment_id", "unit_id", "day", readable).orderBy("row_id")
-    numbered = parsed.withColumns({"_readable": readable, "_n": F.row_number().over(order)})
+    readable = F.coalesce((F.col("unit_id") != "") & F.col("day").isNotNull() & F.col("group").isNotNull(), F.lit(False))
+    parsed = parsed.withColumn("_readable", readable)
+    # unreadable rows, all those with a blank unit among them, take no part in finding the first row of a unit-day
+    known = parsed.filter("_readable")
+    firsts = known.groupBy(*UNIT, "day").agg(F.min("row_id").alias("_first"))
+    numbered = known.join(firsts, [*UNIT, "day"]).unionByName(parsed.filter("NOT _readable").withColumn("_first", F.col("row_id")))
     joined = numbered.join(assignments.select(*UNIT, F.col("group").alias("assigned")), UNIT, "left")
-    first = F.col("_readable") & (F.col("_n") == 1)
+    repeated = F.col("row_id") != F.col("_first")
+    first = F.col("_readable") & ~repeated
     issues = F.when(F.col("unit_id") == "", F.array(F.lit("missing_unit_id"))).when(
         ~F.col("_readable"), F.array(F.lit("invalid_dimension"))
-    ).when(F.col("_n") > 1, F.array(F.lit("duplicate_unit_date"))).otherwise(
+    ).when(repeated, F.array(F.lit("duplicate_unit_date"))).otherwise(
         issue_list(
             F.when(F.col("assigned").isNull(), F.lit("unknown_unit")).when(
                 F.col("assigned") != F.col("group"), F.lit("assignment_mismatch")

@@ -15,12 +15,40 @@ from searchloom.operators import graph
 VITAL_LIMITS = {"LCP": (2.5, 4.0), "INP": (200.0, 500.0), "CLS": (0.1, 0.25)}
 
 
+def _steps(value: Column) -> Column:
+    """Ordered buckets of a number: 64 to each doubling, negative numbers mirrored."""
+    size = F.floor(F.log2(F.abs(value)) * 64) + F.lit(80_000)
+    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, size).otherwise(-size)
+
+
 def quantiles(rows: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles. Equal values are counted before the shuffle, so what a group's
-    task holds is its distinct values and not its rows."""
+    """Exact interpolated quantiles of groups of any size.
+
+    Equal values are counted before the shuffle. Ordered buckets tell which of them holds each wanted place; only those
+    buckets' values are ordered, so no task sees a whole group.
+    """
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    return counted.groupBy(*keys).agg(
-        F.sum("_n").alias("samples"), *[F.percentile(value, p, F.col("_n")).alias(name) for name, p in points.items()]
+    counted = counted.withColumn("_b", _steps(F.col(value)))
+    sums = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_c"))
+    along = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sums.select(*keys, "_b", (F.sum("_c").over(along) - F.col("_c")).alias("_before"), "_c", F.sum("_c").over(Window.partitionBy(*keys)).alias("samples"))
+    # the places below and above each point, from 0
+    spots = F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("samples") - 1) * F.lit(p)).alias("at")) for name, p in points.items()])
+    wanted = placed.select("*", F.inline(spots))
+    holds = lambda place: (place >= F.col("_before")) & (place < F.col("_before") + F.col("_c"))
+    wanted = wanted.filter(holds(F.floor("at")) | holds(F.ceil("at"))).drop("_c")
+    inside = Window.partitionBy(*keys, "_b", "name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    sought = wanted.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_b").alias("_wb"), "name", "at", "samples", "_before")
+    on = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_wb")]
+    near = counted.join(sought, on)
+    ended = near.withColumn("_end", F.sum("_n").over(inside) + F.col("_before"))
+    begun = F.col("_end") - F.col("_n")
+    hit = lambda place: F.max(F.when((place >= begun) & (place < F.col("_end")), F.col(value)))
+    ends = ended.groupBy(*keys, "name", "at", "samples").agg(hit(F.floor("at")).alias("_low"), hit(F.ceil("at")).alias("_high"))
+    part = F.col("at") - F.floor("at")
+    read = ends.withColumn("_q", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") * (1 - part) + F.col("_high") * part))
+    return read.groupBy(*keys).agg(
+        F.max("samples").alias("samples"), *[F.max(F.when(F.col("name") == name, F.col("_q"))).alias(name) for name in points]
     )
 
 

@@ -1,5 +1,7 @@
 """Page facts, robots, sitemaps, link graph and site reports over the crawled pages."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from searchloom.operators import graph, pages, robots, rules, sitemaps
@@ -8,47 +10,46 @@ from searchloom.plans.registry import query
 from searchloom.plans.tables import load_view, table, with_views
 from searchloom.session import cut_lineage
 
-_TABLES: dict[tuple[str, str, str], object] = {}
-
-
 def _input(spark, sf, view):
     header = F.when(F.col("x_robots") == "", F.array().cast("array<string>")).otherwise(F.array("x_robots"))
     return load_view(spark, sf, view).withColumn("x_robots_tag", header).drop("x_robots")
 
 
-def _once(spark, sf, name, build):
-    """A derived table shared by many queries of one application: written once, then read."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _TABLES:
-        _TABLES[key] = cut_lineage(build(), name)
-    return _TABLES[key]
-
-
 def facts(spark, sf):
-    return _once(spark, sf, "facts", lambda: pages.page_facts(_input(spark, sf, "site_pages")))
+    """Page facts, written once per query: the rules read them several times."""
+    return cut_lineage(pages.page_facts(_input(spark, sf, "site_pages")), "facts")
 
 
 def rendered(spark, sf):
-    return _once(spark, sf, "rendered", lambda: pages.page_facts(_input(spark, sf, "rendered_pages")))
+    return cut_lineage(pages.page_facts(_input(spark, sf, "rendered_pages")), "rendered")
 
 
 def sitemap_docs(spark, sf):
-    return _once(spark, sf, "sitemaps", lambda: sitemaps.read_documents(load_view(spark, sf, "sitemap_docs")))
+    return cut_lineage(sitemaps.read_documents(load_view(spark, sf, "sitemap_docs")), "sitemaps")
+
+
+class LazySite(rules.Site):
+    """Rule inputs over the supplied tables; each is built when a rule first reads it, and lives as long as the query."""
+
+    def __init__(self, spark, sf, static):
+        self._spark, self._sf, self.static = spark, sf, static
+
+    def _view(self, name):
+        return load_view(self._spark, self._sf, name)
+
+    facts = cached_property(lambda self: facts(self._spark, self._sf))
+    rendered = cached_property(lambda self: rendered(self._spark, self._sf))
+    sites = cached_property(lambda self: self._view("sites"))
+    fetches = cached_property(lambda self: self._view("fetches"))
+    assets = cached_property(lambda self: self._view("assets"))
+    robots = cached_property(lambda self: robots.parse_robots(self._view("robots_docs")))
+    documents = cached_property(lambda self: sitemap_docs(self._spark, self._sf))
+    sitemap = cached_property(lambda self: sitemaps.sitemap_locations(self.documents))
+    sitemap_errors = cached_property(lambda self: sitemaps.sitemap_errors(self.documents))
 
 
 def site(spark, sf, static=False):
-    docs = sitemap_docs(spark, sf)
-    return rules.Site(
-        facts=facts(spark, sf),
-        sites=load_view(spark, sf, "sites"),
-        fetches=load_view(spark, sf, "fetches"),
-        sitemap=sitemaps.sitemap_locations(docs),
-        sitemap_errors=sitemaps.sitemap_errors(docs),
-        robots=robots.parse_robots(load_view(spark, sf, "robots_docs")),
-        assets=load_view(spark, sf, "assets"),
-        rendered=rendered(spark, sf),
-        static=static,
-    )
+    return LazySite(spark, sf, static)
 
 
 def listed(column):

@@ -81,3 +81,10 @@ def test_site_tree_reader(spark, tmp_path):
     assert got == {("page", "https://h.example/"), ("page", "https://h.example/de/"), ("page", "https://h.example/de/a.htm"), ("asset", "https://h.example/img/x.png")}
     digests = {r.path: r.sha256 for r in files.with_digest(files.read_site_tree(spark, str(tmp_path))).collect()}
     assert digests["index.html"] == hashlib.sha256(b"index.html").hexdigest()
+
+
+def test_escaped_json_strings_are_scanned_decoded(spark):
+    plain, escaped = '{"note": "write to ann@example.org"}', '{"note": "write to ann\\u0040example.org"}'
+    df = spark.createDataFrame([(plain,), (escaped,), ('{"note": "a\\\\b \\"q\\""}',), ('{"broken": "\\u00"',)], "j string")
+    kinds = [r[0] for r in df.select(privacy.record_json_kind(F.col("j"))).collect()]
+    assert kinds[0] == kinds[1] == "email" and kinds[2] is None and kinds[3] is None

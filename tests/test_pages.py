@@ -94,6 +94,15 @@ def test_srcset_and_text():
     assert page["visible_text"] == "A B & C"
 
 
+def test_headings_count_where_they_begin():
+    def heads(html):
+        return [(e["tag"], e["text"]) for e in read_page("https://h/", html)["elements"] if e["tag"][0] == "h" and e["tag"] != "html"]
+
+    assert heads("<body><h1>Open<p>text</p>") == [("h1", "")]
+    assert heads("<h1>A<h1>B</h1><h2>C <b>d</b></h2>") == [("h1", ""), ("h1", "B"), ("h2", "C d")]
+    assert heads("<h2><a href='/x'>linked</a></h2><h1>T</h1>") == [("h2", "linked"), ("h1", "T")]
+
+
 def test_click_depth_and_redirects(spark):
     chain = spark.createDataFrame([("s", f"n{i}", f"n{i + 1}") for i in range(6)] + [("s", "n0", "n4"), ("s", "x", "n1")], "site_id string, source string, target string")
     depth = {r.url: r.depth for r in graph.click_depth(chain, spark.createDataFrame([("s", "n0")], "site_id string, url string")).collect()}

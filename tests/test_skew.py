@@ -1,11 +1,14 @@
 """Bucketed forms against plain windows, with one key holding a third of the rows."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from searchloom.functions.dates import wall_in
-from searchloom.operators import planning
+from searchloom.operators import experiment, planning
 from searchloom.operators.skew import bucketed_lag, bucketed_rank, tree_digest
 
 
@@ -49,3 +52,30 @@ def test_wall_clock_does_not_follow_the_session(spark):
             assert day == "1998-12-31"
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_quantiles_of_one_large_group_are_exact(spark):
+    rng = random.Random(4)
+    rows = [("hot", rng.choice([-1, 1]) * rng.random() ** 3) for _ in range(3000)] + [("hot", 0.0)] * 50
+    rows += [("one", 7.0), ("two", 1.0), ("two", 2.0), (None, 5.0), ("hot", None)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    points = {"q": 0.25, "m": 0.5, "p": 0.75, "lo": 0.0, "hi": 1.0}
+    got = {r.k: r for r in planning.quantiles(frame, ["k"], "v", points).collect()}
+    assert set(got) == {"hot", "one", "two", None}
+    for key, row in got.items():
+        values = sorted(v for k, v in rows if k == key and v is not None)
+        assert row.samples == len(values)
+        for name, p in points.items():
+            at = (len(values) - 1) * p
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            assert abs(row[name] - (low * (1 - at % 1) + high * (at % 1))) < 1e-12
+
+
+def test_blank_units_take_no_part_in_finding_first_rows(spark):
+    rows = [(i, "e", "", None, "treatment") for i in range(400)] + [(500, "e", "u", "2024-01-01", "treatment"), (501, "e", "u", "2024-01-01", "treatment")]
+    raw = spark.createDataFrame(rows, "row_id long, experiment_id string, unit_id string, d string, group_text string")
+    raw = raw.selectExpr("row_id", "experiment_id", "unit_id", "cast(d as date) day", "group_text", "'1' m", "'no' contaminated_text", "'yes' applied_text")
+    units = spark.createDataFrame([("e", "u", "treatment")], "experiment_id string, unit_id string, group string")
+    got = {r.row_id: (r.usable, list(r.issues)) for r in experiment.typed_panel(raw, units, ["m"]).collect()}
+    assert got[500] == (True, []) and got[501] == (False, ["duplicate_unit_date"])
+    assert all(got[i] == (False, ["missing_unit_id"]) for i in range(400))
