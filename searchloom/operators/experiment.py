@@ -269,7 +269,21 @@ def with_period(panel: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def panel_completeness(panel: DataFrame, assignments: DataFrame, specs: DataFrame) -> DataFrame:
-    """Per assigned unit and period: observed and missing days, with the first five missing ones.
+    """Per assigned unit and period: observed and missing days, with the first five missing ones as a sample.
+
+    ``panel_gaps`` has every missing day.
+    """
+    sides = _panel_days(panel, assignments, specs)
+    return sides.withColumn("missing_examples", F.slice("gaps", 1, 5)).drop("gaps")
+
+
+def panel_gaps(panel: DataFrame, assignments: DataFrame, specs: DataFrame) -> DataFrame:
+    """A row for every missing day of an assigned unit and period."""
+    return _panel_days(panel, assignments, specs).select(*UNIT, "period", F.explode("gaps").alias("day"))
+
+
+def _panel_days(panel: DataFrame, assignments: DataFrame, specs: DataFrame) -> DataFrame:
+    """Day counts and missing days of each unit and period.
 
     A unit's day set is bounded by its window, so the gap list comes from a set difference and no
     unit x date table is built.
@@ -295,7 +309,7 @@ def panel_completeness(panel: DataFrame, assignments: DataFrame, specs: DataFram
             F.size(expected).alias("expected_days"),
             F.size(have).alias("observed_days"),
             F.size(gaps).alias("missing_count"),
-            F.slice(gaps, 1, 5).alias("missing_examples"),
+            gaps.alias("gaps"),
         )
 
     return base.select(

@@ -12,12 +12,10 @@ from searchloom.functions.html_tokens import FACT_DDL, read_batches
 # Robots directives that carry a value, and crawler scopes that count.
 VALUE_DIRECTIVES = ("max-image-preview", "max-snippet", "max-video-preview", "unavailable_after")
 SCOPES = ("googlebot",)
-BATCH_BYTES = str(64 * 1024 * 1024)
 
 
 def read_elements(pages: DataFrame) -> DataFrame:
-    """Parse ``html`` in Arrow batches limited by bytes, so large documents do not pile up in a worker."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Parse ``html`` in Arrow batches, which Spark limits by bytes, so large documents do not pile up in a worker."""
     hashed = pages.withColumn("html_sha256", F.sha2("html", 256))
     kept = T.StructType([f for f in hashed.schema.fields if f.name != "html"])
     schema = T.StructType(kept.fields + T.StructType.fromDDL(FACT_DDL).fields)

@@ -537,7 +537,8 @@ def site_summary(s: Site, findings: DataFrame, depths: DataFrame | None = None)
     if depths is not None:
         reach = depths.groupBy("site_id").agg(F.count("*").alias("reachable_pages"), F.max("depth").alias("max_depth"))
         out = out.join(reach, "site_id", "left")
-    return out.fillna(0)
+    # counts are zero without a finding; an unknown depth or reach stays NULL
+    return out.fillna(0, [c for c in out.columns if c not in ("max_depth", "reachable_pages")])
 
 
 def finding_group(code: Column, category: Column) -> Column:

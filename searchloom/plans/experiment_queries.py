@@ -218,6 +218,18 @@ def f9(spark, sf):
     return out.withColumn("missing_examples", F.array_join(days, ","))
 
 
+@query(
+    "f9_panel_gaps",
+    FULL
+    + f""", {COMPLETE} SELECT d.experiment_id, d.unit_id, d.period, d.day::STRING AS day FROM days d
+    WHERE NOT EXISTS (SELECT 1 FROM panel p WHERE p.usable AND p.experiment_id = d.experiment_id AND p.unit_id = d.unit_id AND p.day = d.day)""",
+)
+def f9_gaps(spark, sf):
+    assigned = _assigned(spark, sf)
+    panel = ex.typed_panel(load_view(spark, sf, "panel_rows"), assigned, METRICS)
+    return ex.panel_gaps(panel, assigned, _specs(spark, sf)).withColumn("day", F.col("day").cast("string"))
+
+
 ADHERENCE = """adherence AS (SELECT row_id, experiment_id, unit_id, unnest(list_filter([CASE WHEN period IS NULL THEN 'outside_preregistered_windows' END,
     CASE WHEN period IS NOT NULL AND contaminated THEN 'contamination_detected' END,
     CASE WHEN period IS NOT NULL AND applied <> (period = 'current' AND coalesce(assigned = 'treatment', FALSE)) THEN 'treatment_contamination' END],

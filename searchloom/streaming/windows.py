@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from searchloom.functions.dates import utc_wall
 from searchloom.functions.numbers import clean, ratio
@@ -13,7 +16,8 @@ from searchloom.session import scratch_path
 def daily_metrics(rows: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Clicks, impressions, ratio and weighted position per page and day.
 
-    Rows later than the watermark are dropped by Spark; a day is emitted once it is complete.
+    Rows later than the watermark are dropped by Spark. In append mode a day is emitted once it is complete; ``run_windows_to_end``
+    also gives the days still open when the input ends.
     """
     ranked = F.col("position").isNotNull() & (F.col("impressions") > 0)
     weight = F.when(ranked, F.col("impressions"))
@@ -64,3 +68,29 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
+
+
+def run_windows_to_end(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Process all available input of a windowed aggregation, the windows still open at its end included.
+
+    Every trigger writes the windows it changed under its number in the shared folder; a repeated trigger overwrites its own. The last
+    state of each window, known by ``keys``, is the result.
+    """
+    spark = stream.sparkSession
+    path = scratch_path(spark, name)
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/data/batch={batch}")
+
+    query = (
+        stream.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/data")
+    values = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in values]).select(*stream.columns)
