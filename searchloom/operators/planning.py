@@ -225,6 +225,32 @@ def decline_candidates(daily: DataFrame, history: int, deviations: float) -> Dat
     )
 
 
+def group_decline_candidates(daily: DataFrame, group: Column, history: int, deviations: float) -> DataFrame:
+    """Months in which a page's share of its page group's impressions falls below the share of its preceding months.
+
+    Seasons and outages that move the whole group leave shares alone. ``group`` is an expression over ``page``.
+    """
+    by_page = (
+        daily.filter("trim(page) <> ''")
+        .groupBy("property_id", group.alias("page_group"), "page", F.date_format("day", "yyyy-MM").alias("month"))
+        .agg(F.sum("impressions").alias("impressions"))
+    )
+    totals = by_page.groupBy("property_id", "page_group", "month").agg(F.sum("impressions").alias("group_impressions"))
+    monthly = by_page.join(totals, ["property_id", "page_group", "month"])
+    share = clean(ratio(F.col("impressions"), F.col("group_impressions")))
+    before = Window.partitionBy("property_id", "page_group", "page").orderBy("month").rowsBetween(-history, -1)
+    staged = monthly.withColumn("share", share).withColumns(
+        {"months_before": F.count("share").over(before), "_mean": F.avg("share").over(before), "_sd": F.stddev_samp("share").over(before)}
+    )
+    mean, spread = clean(F.col("_mean"), 6), clean(F.col("_sd"), 6)
+    below = F.col("share") < mean - deviations * spread
+    return staged.select(
+        "property_id", "page_group", "page", "month", "impressions", "group_impressions", "share", "months_before",
+        mean.alias("mean_before"), spread.alias("sd_before"),
+        F.when(F.col("months_before") < history, F.lit("no-comparable-baseline")).when(below, F.lit("candidate")).otherwise(F.lit("in-range")).alias("state"),
+    )
+
+
 def paid_organic_overlap(organic: DataFrame, paid: DataFrame) -> DataFrame:
     """Full outer comparison on the normalised query; both sides are summed before they meet.
 

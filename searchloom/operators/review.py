@@ -258,19 +258,11 @@ def cross_source_alignment(sources: DataFrame) -> DataFrame:
     )
 
 
-def mapping_coverage(labelled: DataFrame, alignment: DataFrame, examples: int = 10) -> DataFrame:
-    """Share of each source's rows that meet a search row on the shared grain.
+def _page_matches(inside: DataFrame) -> DataFrame:
+    """Rows of each analytics and CRM page that meet a search row on the shared grain, and rows that do not.
 
-    Both sides are reduced to distinct grain keys before the join, so a repeated key crosses the
-    shuffle once; example pages are ranked on distinct pages, never collected whole.
+    Both sides are reduced to distinct grain keys before the join, so a repeated key crosses the shuffle once.
     """
-    inside = labelled.filter(F.col("period").isin(*PERIODS))
-    keys = ["property_id", "kind", "period"]
-    base = inside.groupBy(*keys).agg(
-        F.count("*").alias("rows"),
-        F.count_if(_full_grain()).alias("eligible_rows"),
-        F.count_if("explicitly_mapped").alias("explicit_url_mapping_rows"),
-    )
     search = inside.filter("kind = 'search'")
     matched_parts = []
     for kind in ("analytics", "crm"):
@@ -286,10 +278,33 @@ def mapping_coverage(labelled: DataFrame, alignment: DataFrame, examples: int =
             )
         )
     joined = matched_parts[0].unionByName(matched_parts[1])
-    per_page = joined.groupBy(*keys, "landing_page").agg(
+    return joined.groupBy("property_id", "kind", "period", "landing_page").agg(
         F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("hit_rows"),
         F.sum(F.when(F.col("hit"), 0).otherwise(F.col("n"))).alias("miss_rows"),
     )
+
+
+def unmatched_pages(labelled: DataFrame, alignment: DataFrame) -> DataFrame:
+    """Every page of a source that may be joined by day, with its rows that meet no search row."""
+    misses = _page_matches(labelled.filter(F.col("period").isin(*PERIODS))).filter("miss_rows > 0")
+    allowed = alignment.filter("daily_join_allowed").select("property_id")
+    return misses.join(allowed, "property_id", "left_semi").select("property_id", "kind", "period", "landing_page", "miss_rows")
+
+
+def mapping_coverage(labelled: DataFrame, alignment: DataFrame, examples: int = 10) -> DataFrame:
+    """Share of each source's rows that meet a search row on the shared grain.
+
+    Example pages are ranked on distinct pages, never collected whole; ``unmatched_pages`` has all of them.
+    """
+    inside = labelled.filter(F.col("period").isin(*PERIODS))
+    keys = ["property_id", "kind", "period"]
+    base = inside.groupBy(*keys).agg(
+        F.count("*").alias("rows"),
+        F.count_if(_full_grain()).alias("eligible_rows"),
+        F.count_if("explicitly_mapped").alias("explicit_url_mapping_rows"),
+    )
+    search = inside.filter("kind = 'search'")
+    per_page = _page_matches(inside)
     matched = per_page.groupBy(*keys).agg(F.sum("hit_rows").alias("matched_rows"))
     order = Window.partitionBy(*keys).orderBy("landing_page")
     shown = (

@@ -91,12 +91,18 @@ def _regex(pattern: Column) -> Column:
 
 
 def rule_table(rules: DataFrame) -> DataFrame:
-    """One row per site with its usable rules; a rule list is bounded by one robots document."""
+    """One row per site with its usable rules; a rule list is bounded by one robots document.
+
+    ``start`` is what stands before the first wildcard; a rule without ``*`` and ``$`` is nothing else and needs no pattern.
+    """
+    body = F.regexp_replace("pattern", r"\$$", "")
+    plain = ~F.contains(F.col("pattern"), F.lit("*")) & ~F.col("pattern").endswith("$")
     specificity = F.length(F.regexp_replace(F.regexp_replace("pattern", r"\$$", ""), r"\*", ""))
     shaped = rules.filter("pattern <> ''").select(
         "site_id",
         F.struct(
-            specificity.alias("len"), (F.col("directive") == "allow").alias("allow"), _regex(F.col("pattern")).alias("rx")
+            specificity.alias("len"), (F.col("directive") == "allow").alias("allow"),
+            F.substring_index(body, "*", 1).alias("start"), F.when(~plain, _regex(F.col("pattern"))).alias("rx"),
         ).alias("rule"),
     )
     return shaped.groupBy("site_id").agg(F.collect_list("rule").alias("rules"))
@@ -114,6 +120,9 @@ def blocked(targets: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame
     staged = joined.withColumn(
         "_pq", F.when(query == "", path).otherwise(F.concat(path, F.lit("?"), query))
     )
-    hits = F.filter(F.coalesce("rules", F.array().cast("array<struct<len:int,allow:boolean,rx:string>>")), lambda r: F.rlike(F.col("_pq"), r["rx"]))
+    none = F.array().cast("array<struct<len:int,allow:boolean,start:string,rx:string>>")
+    # a pattern is compiled only for the rules with wildcards whose literal beginning fits
+    fits = lambda r: F.startswith(F.col("_pq"), r["start"]) & (r["rx"].isNull() | F.rlike(F.col("_pq"), r["rx"]))
+    hits = F.filter(F.coalesce("rules", none), fits)
     winner = F.array_max(F.transform(hits, lambda r: F.struct(r["len"], r["allow"])))
     return staged.withColumn("blocked", F.coalesce(~winner["allow"], F.lit(False))).drop("_pq", "rules")

@@ -164,6 +164,23 @@ def k9(spark, sf):
     return planning.decline_candidates(load_view(spark, sf, "search_daily"), history=3, deviations=1.0)
 
 
+@query(
+    "k9_group_decline",
+    with_views("search_daily")
+    + f"""SELECT *, CASE WHEN months_before < 3 THEN 'no-comparable-baseline' WHEN share < mean_before - 1.0 * sd_before THEN 'candidate' ELSE 'in-range' END AS state FROM (
+      SELECT property_id, page_group, page, month, impressions, group_impressions, share, count(share) OVER w AS months_before,
+        round_even((avg(share) OVER w)::DOUBLE, 6) AS mean_before, round_even((stddev_samp(share) OVER w)::DOUBLE, 6) AS sd_before FROM (
+        SELECT *, {q.r10("impressions / group_impressions")} AS share FROM (
+          SELECT *, sum(impressions) OVER (PARTITION BY property_id, page_group, month) AS group_impressions FROM (
+            SELECT property_id, regexp_extract(page, '^(.*/)[^/]*$', 1) AS page_group, page, strftime(day, '%Y-%m') AS month, sum(impressions) AS impressions
+            FROM search_daily WHERE trim(page) <> '' GROUP BY ALL) g) a) b
+      WINDOW w AS (PARTITION BY property_id, page_group, page ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) c""",
+)
+def k9_group(spark, sf):
+    folder = F.regexp_extract("page", r"^(.*/)[^/]*$", 1)
+    return planning.group_decline_candidates(load_view(spark, sf, "search_daily"), folder, history=3, deviations=1.0)
+
+
 @query(
     "k10_paid_organic_overlap",
     with_views("search_daily", "paid_terms")

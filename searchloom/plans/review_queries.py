@@ -200,6 +200,16 @@ def e9(spark, sf):
     )
 
 
+@query(
+    "e9_unmatched_pages",
+    BOTH
+    + """SELECT property_id, kind, period, landing_page, count(*) AS miss_rows FROM flagged JOIN alignment USING (property_id)
+    WHERE daily_join_allowed AND kind <> 'search' AND NOT hit GROUP BY ALL""",
+)
+def e9_pages(spark, sf):
+    return review.unmatched_pages(_labelled(spark, sf), review.cross_source_alignment(load_view(spark, sf, "review_sources")))
+
+
 CONTRACTS = f"""contracts AS (SELECT *, CASE WHEN len(late) > 0 THEN 'degraded' WHEN len(own) = 0 THEN 'complete'
     WHEN len(list_filter(own, lambda x: suffix(x, '_missing') OR suffix(x, '_unknown'))) > 0 THEN 'unknown' ELSE 'degraded' END AS status,
     list_concat(own, late) AS issues FROM (SELECT *, {issue_list(
