@@ -24,6 +24,7 @@ from searchloom.operators.compare import (
     issue_status,
     quality_issue,
 )
+from searchloom.session import cut_lineage
 
 KINDS = ("search", "analytics", "crm")
 METRICS = {
@@ -258,12 +259,18 @@ def cross_source_alignment(sources: DataFrame) -> DataFrame:
     )
 
 
-def _page_matches(inside: DataFrame) -> DataFrame:
-    """Rows of each analytics and CRM page that meet a search row on the shared grain, and rows that do not.
+def _grain_counts(labelled: DataFrame) -> DataFrame:
+    """Rows (``n``) and explicitly mapped rows per grain of all sources, read once and written."""
+    inside = labelled.filter(F.col("period").isin(*PERIODS))
+    counts = inside.groupBy("property_id", "kind", "period", *GRAIN["search"]).agg(
+        F.count("*").alias("n"), F.count_if("explicitly_mapped").alias("mapped")
+    )
+    return cut_lineage(counts, "coverage")
 
-    Both sides are reduced to distinct grain keys before the join, so a repeated key crosses the shuffle once.
-    """
-    search = inside.filter("kind = 'search'")
+
+def _page_matches(grains: DataFrame) -> DataFrame:
+    """Rows of each analytics and CRM page that meet a search row on the shared grain, and rows that do not."""
+    search = grains.filter("kind = 'search'")
     matched_parts = []
     for kind in ("analytics", "crm"):
         grain = ["property_id", "period", *GRAIN[kind]]
@@ -271,7 +278,7 @@ def _page_matches(inside: DataFrame) -> DataFrame:
         for d in GRAIN[kind]:
             complete = complete & F.col(d).isNotNull()
         marks = search.filter(complete).select(*grain).distinct().withColumn("hit", F.lit(True))
-        mine = inside.filter((F.col("kind") == kind) & complete).groupBy(*grain).agg(F.count("*").alias("n"))
+        mine = grains.filter((F.col("kind") == kind) & complete).groupBy(*grain).agg(F.sum("n").alias("n"))
         matched_parts.append(
             mine.join(marks, grain, "left").select(
                 "property_id", F.lit(kind).alias("kind"), "period", "landing_page", "n", F.col("hit").isNotNull().alias("hit")
@@ -286,7 +293,7 @@ def _page_matches(inside: DataFrame) -> DataFrame:
 
 def unmatched_pages(labelled: DataFrame, alignment: DataFrame) -> DataFrame:
     """Every page of a source that may be joined by day, with its rows that meet no search row."""
-    misses = _page_matches(labelled.filter(F.col("period").isin(*PERIODS))).filter("miss_rows > 0")
+    misses = _page_matches(_grain_counts(labelled)).filter("miss_rows > 0")
     allowed = alignment.filter("daily_join_allowed").select("property_id")
     return misses.join(allowed, "property_id", "left_semi").select("property_id", "kind", "period", "landing_page", "miss_rows")
 
@@ -294,17 +301,17 @@ def unmatched_pages(labelled: DataFrame, alignment: DataFrame) -> DataFrame:
 def mapping_coverage(labelled: DataFrame, alignment: DataFrame, examples: int = 10) -> DataFrame:
     """Share of each source's rows that meet a search row on the shared grain.
 
-    Example pages are ranked on distinct pages, never collected whole; ``unmatched_pages`` has all of them.
+    All figures come from one table of counts per grain, so the sources are read once and a repeated key crosses later
+    shuffles once. Example pages are ranked on distinct pages, never collected whole; ``unmatched_pages`` has all of them.
     """
-    inside = labelled.filter(F.col("period").isin(*PERIODS))
+    grains = _grain_counts(labelled)
     keys = ["property_id", "kind", "period"]
-    base = inside.groupBy(*keys).agg(
-        F.count("*").alias("rows"),
-        F.count_if(_full_grain()).alias("eligible_rows"),
-        F.count_if("explicitly_mapped").alias("explicit_url_mapping_rows"),
+    rows_if = lambda held: F.sum(F.when(held, F.col("n")).otherwise(0))
+    base = grains.groupBy(*keys).agg(
+        F.sum("n").alias("rows"), rows_if(_full_grain()).alias("eligible_rows"), F.sum("mapped").alias("explicit_url_mapping_rows")
     )
-    search = inside.filter("kind = 'search'")
-    per_page = _page_matches(inside)
+    search = grains.filter("kind = 'search'")
+    per_page = _page_matches(grains)
     matched = per_page.groupBy(*keys).agg(F.sum("hit_rows").alias("matched_rows"))
     order = Window.partitionBy(*keys).orderBy("landing_page")
     shown = (
@@ -315,10 +322,8 @@ def mapping_coverage(labelled: DataFrame, alignment: DataFrame, examples: int =
         .agg(F.array_sort(F.collect_list("landing_page")).alias("unmatched_examples"))
     )
     has_reference = search.groupBy("property_id", "period").agg(
-        F.count_if(_full_grain()).alias("reference_device"),
-        F.count_if(F.col("day").isNotNull() & F.col("landing_page").isNotNull() & F.col("country").isNotNull()).alias(
-            "reference_country"
-        ),
+        rows_if(_full_grain()).alias("reference_device"),
+        rows_if(F.col("day").isNotNull() & F.col("landing_page").isNotNull() & F.col("country").isNotNull()).alias("reference_country"),
     )
     wide = (
         base.join(alignment, "property_id")
