@@ -42,8 +42,8 @@ _ODD = re.compile(f"[{_RARE}]")
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 # marks at a word's end that are always a piece of their own behind a letter or digit
 _TAIL = ".,;:!?"
-# words that one Python worker remembers for good: about 200 bytes each
-MEMO = 1_000_000
+# words that one Python worker remembers for good, about 200 bytes each: workers live on, so this stays out of the other stages' memory
+MEMO = 300_000
 
 
 class Encoder:
