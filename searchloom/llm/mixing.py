@@ -22,7 +22,7 @@ from searchloom.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
 # documents that one bucket of the seeded order should hold
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 1_000
 
 
 @F.pandas_udf(LONG)

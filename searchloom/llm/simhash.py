@@ -190,7 +190,8 @@ def _labels(rows: DataFrame, distance: int, blocks: int) -> DataFrame:
     reach = smallest_reachable(edges)  # node, root: a fingerprint that stands for the component
     named = reach.join(prints, reach["node"] == prints["fp"]).groupBy("root").agg(F.min("own").alias("component"))
     members = reach.join(named, "root").select(F.col("node").alias("fp"), "component")
-    return prints.join(members, "fp", "left")
+    # written, so that both sides of the join with all rows are plain exchanges: the planner then splits a crowded fingerprint
+    return cut_lineage(prints.join(members, "fp", "left"), "llm-labels")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, blocks: int = 5) -> DataFrame:
