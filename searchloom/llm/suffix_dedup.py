@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom.llm.suffixes import common_prefixes, suffix_order, words_at
@@ -39,7 +39,7 @@ GROUP = 2000
 # windows that share a name after the first and the second cut of a crowded name
 STEPS = (32, 1)
 # bytes that one suffix array covers; one group more at the most
-ARRAY_BYTES = 1 << 21
+ARRAY_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 # bits for a place inside a slice
@@ -106,8 +106,8 @@ def runs(places: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return names[starts], starts, np.concatenate((starts[1:], [len(places)])) - 1
 
 
-def _distinct_texts(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts with their number of rows, bucketed by digest; and every row's digest."""
+def _distinct_texts(docs: DataFrame, text: str) -> tuple[str, DataFrame]:
+    """Name of a table of the distinct texts with their number of rows, bucketed by digest; and every row with its ``_digest``."""
     spark = docs.sparkSession
     rows = docs.withColumn("_body", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     digest = F.substring(F.unhex(F.sha2("_body", 256)), 1, 16)
@@ -117,7 +117,15 @@ def _distinct_texts(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = fresh("llm_texts").replace("-", "_")
     counted.write.bucketBy(buckets, "digest").option("path", scratch_path(spark, "llm-texts")).saveAsTable(name)
-    return spark.table(name), rows.select(*docs.columns, digest.alias("_digest"))
+    return name, rows.select(*docs.columns, digest.alias("_digest"))
+
+
+def _judged(spark: SparkSession, table: str, window: int, group: int) -> DataFrame:
+    """What ``_removed`` finds for every distinct text, written; the table of texts is then forgotten."""
+    texts = spark.table(table)
+    found = cut_lineage(_removed(texts, _spans(_members(texts, window), window, group)), "llm-removed")
+    spark.sql(f"DROP TABLE {table}")
+    return found
 
 
 def _pieces(texts: DataFrame, window: int) -> DataFrame:
@@ -141,7 +149,8 @@ def _members(texts: DataFrame, window: int) -> DataFrame:
     """Pieces whose name occurs at least twice: ``h``, ``x`` (digest of the bytes), ``n``, ``digest``, ``s``, ``piece``."""
     pieces = _pieces(texts, window)
     named = pieces.select("digest", "n", F.explode(F.arrays_zip("h", "s", "e")).alias("p")).select("digest", "n", "p.h", "p.s", "p.e")
-    repeated = named.groupBy("h").agg(F.sum("n").alias("c")).where("c > 1").select("h")
+    # written, so that both sides of the join are plain exchanges: the planner then splits a crowded name
+    repeated = cut_lineage(named.groupBy("h").agg(F.sum("n").alias("c")).where("c > 1").select("h"), "llm-names")
     chosen = named.join(repeated, "h", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("h", "s", "e")).alias("p"))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +163,7 @@ def _members(texts: DataFrame, window: int) -> DataFrame:
                     piece = raw[p["s"] : p["e"] + window]
                     out.append((p["h"], xxhash.xxh3_128_digest(piece), n, digest, p["s"], piece))
                     size += len(piece)
-                if size > 1 << 24:
+                if size > 1 << 22:
                     yield pd.DataFrame(out, columns=_MEMBER)
                     out, size = [], 0
             yield pd.DataFrame(out, columns=_MEMBER)
@@ -323,15 +332,15 @@ def without(raw: bytes, runs_: list[int]) -> bytes:
 
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``removed`` (maximal byte runs, start and end in turn) and ``kept_sha256`` of every row."""
-    texts, rows = _distinct_texts(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text")
-    found = cut_lineage(_removed(texts, _spans(_members(texts, window), window, group)), "llm-removed")
+    table, rows = _distinct_texts(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text")
+    found = _judged(docs.sparkSession, table, window, group)
     return rows.select("doc_id", "_digest").join(found, F.col("_digest") == F.col("digest")).drop("_digest", "digest")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """``docs`` with the repeated bytes gone from ``text``; bytes of a character cut in two become a replacement sign."""
-    texts, rows = _distinct_texts(docs, text)
-    found = cut_lineage(_removed(texts, _spans(_members(texts, window), window, group)), "llm-removed").select("digest", "removed")
+    table, rows = _distinct_texts(docs, text)
+    found = _judged(docs.sparkSession, table, window, group).select("digest", "removed")
 
     @F.pandas_udf("string")
     def cut(bodies: pd.Series, removed: pd.Series) -> pd.Series:
