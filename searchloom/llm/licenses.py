@@ -1,6 +1,8 @@
 """License notices in text blocks by an exact set-similarity join with templates.
 
-A text block is a line, or a paragraph (lines up to a blank one) for templates too long for one line. A block matches a template where at least ``threshold`` of the template's distinct tokens are among the
+A text block is a line; a paragraph (lines up to a blank one) for templates of more than ``WRAP`` distinct tokens; and for shorter
+ones, whose few tokens a long paragraph holds by chance (``mit`` is a German word), a run of consecutive words of a paragraph that goes
+over a line end. A run has at most the template's words and one more per line end, what may lead a line. A block matches a template where at least ``threshold`` of the template's distinct tokens are among the
 block's (containment). Tokens are ordered by their frequency in the corpus, rarest first. A match needs
 ceil(threshold x size) common tokens, so one of the template's first size - needed + 1 tokens must be in the block (prefix
 filter); the block must have as many tokens at all (length filter); and from a common prefix token on, enough tokens
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from searchloom.llm.text import LONG, STRING, plain_words, record
 
 THRESHOLD = 0.8
-# distinct tokens up to which a template is met within one line only
+# distinct tokens up to which a template is met by runs of words over line ends, not by whole paragraphs
 WRAP = 12
 
 # Phrases and the label each one gives.
@@ -65,11 +67,13 @@ class Templates:
     rank: dict[bytes, int]
     opens: dict[int, list[tuple[int, int]]]
     prefix: set[bytes]
+    words: list[int]
 
     @staticmethod
     def of(pairs: list[tuple[str, str]], counts: dict[bytes, int], threshold: float) -> Templates:
         sets = [(label, sorted(set(plain_words(text)))) for label, text in pairs]
         sets = [(label, tokens) for label, tokens in sets if tokens]
+        lengths = [n for _, text in pairs if (n := len(plain_words(text)))]
         every = sorted({t for _, tokens in sets for t in tokens}, key=lambda t: (counts.get(t, 0), t))
         rank = {t: i for i, t in enumerate(every)}
         ranked = [sorted(rank[t] for t in tokens) for _, tokens in sets]
@@ -78,7 +82,7 @@ class Templates:
         for i, (own, need) in enumerate(zip(ranked, needed)):
             for place, token in enumerate(own[: len(own) - need + 1]):
                 opens.setdefault(token, []).append((i, place))
-        return Templates([label for label, _ in sets], ranked, needed, rank, opens, {every[t] for t in opens})
+        return Templates([label for label, _ in sets], ranked, needed, rank, opens, {every[t] for t in opens}, lengths)
 
     def matches(self, words: set[bytes]) -> dict[int, float]:
         """Template number and containment of every template that a block with these words meets."""
@@ -147,7 +151,7 @@ FOUND = record(
 
 
 def scan_text(text: str | None, templates: Templates, phrases: dict[str, str]) -> tuple:
-    """One value per field of ``FOUND``. ``blocks`` has the number of each matching line, or of a matching paragraph's first line."""
+    """One value per field of ``FOUND``. ``blocks`` has the number of each matching line, or the first line of a matching run or paragraph."""
     words = plain_words(text)
     places = phrase_places(words, phrases)
     blocks = []
@@ -156,7 +160,7 @@ def scan_text(text: str | None, templates: Templates, phrases: dict[str, str]) -
         for number, line in enumerate(lines):
             blocks += [(number, templates.labels[i], c) for i, c in templates.matches(set(plain_words(line))).items()]
         if len(lines) > 1:
-            blocks += wrapped(lines, templates, {b[1] for b in blocks})
+            blocks += wrapped(lines, templates)
     base = {label for _, label in places}
     starts = [at for at, _ in places]
     return (
@@ -167,8 +171,8 @@ def scan_text(text: str | None, templates: Templates, phrases: dict[str, str]) -
     )
 
 
-def wrapped(lines: list[str], templates: Templates, known: set[str]) -> list[tuple[int, str, float]]:
-    """Templates of more than ``WRAP`` tokens met by a paragraph though by none of its lines; the line is its first."""
+def wrapped(lines: list[str], templates: Templates) -> list[tuple[int, str, float]]:
+    """Templates met by several lines of a paragraph together: the first line's number, label and containment."""
     out = []
     start, held = 0, []
     for number, line in enumerate([*lines, ""]):
@@ -176,15 +180,36 @@ def wrapped(lines: list[str], templates: Templates, known: set[str]) -> list[tup
         if words:
             if not held:
                 start = number
-            held.append(set(words))
+            held.append(words)
             continue
         if 1 < len(held):
-            found = templates.matches(set().union(*held))
-            out += [(start, templates.labels[i], c) for i, c in found.items() if len(templates.tokens[i]) > WRAP and templates.labels[i] not in known]
+            # what a run of words holds, its paragraph holds as well
+            for i, c in templates.matches({w for words in held for w in words}).items():
+                if len(templates.tokens[i]) > WRAP:
+                    out.append((start, templates.labels[i], c))
+                else:
+                    out += [(start + at, templates.labels[i], c) for at, c in runs(held, templates, i)]
         held = []
     return out
 
 
+def runs(held: list[list[bytes]], templates: Templates, i: int) -> list[tuple[int, float]]:
+    """Lines in which runs of words over line ends begin that meet a short template, each with its best containment."""
+    own, size = set(templates.tokens[i]), templates.words[i]
+    flat = [(line, templates.rank.get(word)) for line, words in enumerate(held) for word in words]
+    places = [(at, line, token) for at, (line, token) in enumerate(flat) if token in own]
+    best: dict[int, int] = {}
+    for k, (at, line, token) in enumerate(places):
+        common = {token}
+        for end, last, other in places[k + 1 :]:
+            if end - at >= 2 * size:
+                break
+            common.add(other)
+            if last > line and end - at < size + last - line:
+                best[line] = max(best.get(line, 0), len(common))
+    return [(line, n / len(own)) for line, n in best.items() if n >= templates.needed[i]]
+
+
 def scan(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None,
     phrases: dict[str, str] | None = None, threshold: float = THRESHOLD,

@@ -73,3 +73,36 @@ def test_filters_lose_no_match(spark):
     assert found[0]["labels"] == "cc-by-nc" and found[2]["n_base"] == 3 and found[2]["base_labels"] == "apache,mit"
     assert found[6]["labels"] == found[3]["labels"] != "" and found[5]["labels"] == "" and found[7]["score"] == 0.0
     assert [b["line"] for b in found[0]["blocks"]] == [1]
+
+
+def scanned(text):
+    ready = licenses.Templates.of(licenses.TEMPLATES, {}, licenses.THRESHOLD)
+    return dict(zip(licenses.FOUND.names, licenses.scan_text(text, ready, {})))
+
+
+def test_templates_wrapped_at_every_word():
+    for label, notice in licenses.TEMPLATES:
+        words = notice.split()
+        broken = [" ".join(words[:i]) + "\n" + " ".join(words[i:]) for i in range(1, len(words))]
+        broken += ["\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n)) for n in (1, 2, 3, 5)]
+        for body in broken:
+            for lead in ("", "# ", "rem "):
+                text = "Some words before\n" + "\n".join(lead + line for line in body.split("\n")) + "\nand some after."
+                got = scanned(text)
+                assert label in got["labels"].split(",") and got["score"] == 1.0, text
+
+
+def test_short_templates_need_words_that_stand_together():
+    apart = "Das ist mit.\nEiner im dem da.\nLicensed under the Apache License, Version 2.0"
+    assert scanned(apart)["labels"] == "apache-2.0"
+    far = "Licensed under CC\n" + "many other words stand here\n" * 20 + "BY-NC 4.0"
+    assert scanned(far)["labels"] == "" and scanned("Licensed under CC\n\nBY-NC 4.0")["labels"] == ""
+
+
+def test_lines_do_not_hide_what_several_lines_hold():
+    got = scanned("Licensed under CC BY-NC 4\n0")
+    assert [(b["line"], b["label"]) for b in got["blocks"]] == [(0, "cc-by-nc")] * 2 and got["score"] == 1.0
+    notice = next(t for label, t in licenses.TEMPLATES if label == "bsd")
+    words = notice.split()
+    got = scanned(" ".join(words[:-2]) + "\n" + " ".join(words[-2:]))
+    assert got["score"] == 1.0 and {b["containment"] for b in got["blocks"] if b["label"] == "bsd"} > {1.0}
