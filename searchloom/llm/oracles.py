@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from searchloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, WRAP
 from searchloom.llm.mixing import WEIGHTS
+from searchloom.llm.sharding import ROUNDS, SEED, SHARDS
 from searchloom.llm.text import plain_words
 from searchloom.llm.url_filter import RULES
 
@@ -108,3 +109,27 @@ named AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+_ADDED = f"(('0x' || substr(md5('{SEED}:' || (turn % {ROUNDS}) || ':' || CASE WHEN turn % 2 = 0 THEN r ELSE l END), 1, 12))::BIGINT)"
+OP11 = f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, k: xor(t[(xor(c, k) & 255) + 1], c >> 8))) AS crc FROM d, tab),
+m AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, floor(sqrt(greatest(count(*) - 1, 0)::DOUBLE))::BIGINT + 1 AS a FROM documents) x),
+numbered AS (SELECT doc_id, size, crc, row_number() OVER (ORDER BY doc_id IS NULL, doc_id, crc, size) - 1 AS num FROM c),
+w AS (SELECT doc_id, size, crc, n, a, b, num // b AS l, num % b AS r, 0 AS turn FROM numbered, m
+  UNION ALL SELECT doc_id, size, crc, n, a, b, CASE WHEN turn % 2 = 0 THEN (l + {_ADDED}) % a ELSE l END, CASE WHEN turn % 2 = 0 THEN r ELSE (r + {_ADDED}) % b END, turn + 1
+  FROM w WHERE turn = 0 OR turn % {ROUNDS} > 0 OR l * b + r >= n)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, ((l * b + r) % {SHARDS})::INT AS shard, (l * b + r) // {SHARDS} AS slot, NULL::INT AS grown_shard
+FROM w WHERE turn > 0 AND turn % {ROUNDS} = 0 AND l * b + r < n"""
+
+OP13 = """
+WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same, list_dot_product(a.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id))::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm import decontaminate, extraction, licenses, mixing, oracles, quality, simhash, suffix_dedup, token_files, toxicity, url_filter
+from searchloom.llm import (
+    decontaminate, extraction, hard_negatives, licenses, mixing, oracles, quality, sharding, simhash, suffix_dedup, token_files, toxicity, url_filter, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +103,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = toxicity.scores(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op11_sharding", oracles.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by a seeded permutation of row numbers; counts at most one apart."""
+    dealt = sharding.sharded(_table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    found = whitening.whitened(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query("op13_hard_negatives", oracles.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; ids divisible by 7 carry a wrong label, ids divisible by 50 are anchors."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=moved)
