@@ -3,8 +3,8 @@
 Every source asks for a share of the budget by its weight. Sources whose share exceeds ``epochs`` times their own size
 are clamped there, the excess is shared by weight among the rest, and so on until no source is above its
 cap. A source then takes every document floor(target / size) times, and one more time those that a seeded order of the
-source puts before the remaining amount; the document on that edge is taken in part, so a source takes its
-target to the word.
+source puts before the remaining amount. The plan counts the document on that edge in part, so a source's words meet its target; ``mixed`` takes
+it whole or not at all.
 
 Defined results: a null text has size 0 and takes nothing; null is a source of its own and comes last; a source of size 0 has
 target 0; repeated rows stand side by side in the seeded order and are taken one by one; an empty table gives an empty
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from searchloom.llm.text import LONG, STRING, packed, space_words, unpacked
+from searchloom.llm.text import LONG, packed, space_words, unpacked
 from searchloom.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -123,39 +123,16 @@ def mixture(
     return taken_words(rows, rows, weights, share, epochs, seed)
 
 
-@F.pandas_udf(STRING)
-def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
-    """Text up to the end of its n-th word; separators inside stay as they are."""
-    out = []
-    for text, n in zip(texts, counts):
-        raw = text.encode()
-        rest = raw.split(None, n)
-        tail = rest[n] if len(rest) > n else b""
-        out.append(raw[: len(raw) - len(tail)].rstrip().decode())
-    return pd.Series(out, dtype=object)
-
-
 def mixed(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars",
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0, seed: str = "mix-1",
 ) -> DataFrame:
-    """The mixed rows themselves, with the columns of ``docs``: every row ``whole`` times, and once in part where the mix asks for it.
+    """The mixed rows themselves, with the columns of ``docs``: every row ``whole`` times, and once more where its part of the mix is a half or more.
 
-    A part is the first ``part`` words with the separators between them; ``n_chars``, where there is such a column,
-    is counted anew for it.
+    Rows are taken whole: the one row on the edge of a source's target is taken or left, whichever comes closer to the target.
     """
     sized = cut_lineage(docs.select(*_sized(docs, doc_id, text, source)), "llm-sizes")
     planned = taken_words(sized, packed(docs, *_sized(docs, doc_id, text, source)), weights, share, epochs, seed)
-    wanted = F.concat(
-        F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")),
-        F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")),
-    )
-    copies = planned.select("_row", F.explode(wanted).alias("_take"))
-    body = F.col("_row").getField(text)
-    cut = F.when(F.col("_take") >= 0, first_words(F.when(F.col("_take") >= 0, body).otherwise(""), F.greatest("_take", F.lit(0)))).otherwise(body)
-    copies = copies.withColumn("_text", cut)
-    out = unpacked(copies.withColumn("_row", F.col("_row").withField(text, F.col("_text"))), docs.columns)
-    if n_chars in docs.columns:
-        kind = docs.schema[n_chars].dataType
-        out = out.withColumn(n_chars, F.when(F.col(f"`{text}`").isNotNull(), F.char_length(F.col(f"`{text}`"))).otherwise(F.col(f"`{n_chars}`")).cast(kind))
-    return out
+    more = ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("int")
+    copies = F.col("whole").cast("int") + more
+    return unpacked(planned.where(copies > 0).select("_row", F.explode(F.sequence(F.lit(1), copies))), docs.columns)

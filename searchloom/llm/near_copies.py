@@ -1,21 +1,27 @@
-"""Near-duplicate groups by the exact Jaccard similarity of word shingles.
+"""Near-duplicate groups: SimHash blocks find candidates, the exact Jaccard similarity of word shingles decides.
 
-Equal texts are one node, so a group of a million exact copies is one row. Nodes of which a band of ``ROWS`` shingle minima agrees
-are candidates: two texts at similarity s share one of the ``BANDS`` bands with probability 1 - (1 - s^ROWS)^BANDS, which is
-0.99993 at 0.8 and more above. SimHash bits reach that only with keys too short to tell texts apart: at similarity 0.8 two
-fingerprints differ in about 15 % of their bits. Every link is verified on the shingle sets, so none is below ``similar``.
+Equal texts are one node, so a group of a million exact copies is one row. A node's fingerprint has one bit for each of many
+random halvings of the shingles: the half that most of its shingles fall in. Two texts at similarity s differ in a share
+acos(2 s / (1 + s)) / pi of the bits, 0.15 at 0.8. The fingerprint is cut into blocks; nodes that share a block and differ in
+at most ``FAR`` of the ``SKETCH`` first bits are joined to a candidate group. A block has about as many bits as the number of nodes
+has digits in base two, so chance fills a bucket with few nodes at any size, and there are as many blocks as keep the
+chance that a pair at exactly 0.8 shares none below ``MISSED``.
 
-In a bucket each node is first verified against the smallest one, which joins a crowd of copies by as many pairs as it
-has members. Then all candidates whose components still differ are verified, so no link between candidates is lost; that
-step grows with the square of a bucket only where its members are not similar after all.
+A bucket hands on a spanning forest, never pairs, and a node lies in one candidate group only, so each text travels once: to the
+cell of its group, where the shingle sets are compared and again only a forest is handed on. A group beyond a cell's size is cut
+into chunks. Its nodes are first compared with one of them; those it is similar to belong together and need no comparison
+among themselves; the open ones then meet all chunks, a cell for each pair of chunks. So crowds of copies cost their size, and
+only a crowd whose members are alike but not similar costs its square, spread over cells of bounded size.
 
 Defined results: null texts and texts without words are one node without shingles; fewer words than a shingle give one shingle of all words;
-of repeated rows one stays; null ids come last, and a group that has only null ids keeps one row; an empty table gives an
-empty result.
+of repeated rows one stays; null ids come last, and a group that has only null ids keeps one row; very long texts are read whole, in
+pieces of bounded memory, and fill a chunk of their own; an empty table gives an empty result. Columns are packed away,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,20 +29,24 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from searchloom.llm.components import smallest_reachable
-from searchloom.llm.simhash import groups_of
-from searchloom.llm.text import LONG, lower_space_words, packed, unpacked
+from searchloom.llm.simhash import groups_of, spanning
+from searchloom.llm.text import lower_space_words, packed, unpacked
 from searchloom.session import cut_lineage
 
 WIDTH = 5
 SIMILAR = 0.8
-BANDS, ROWS = 24, 5
 SEED = 42
-
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
-_FACTORS, _SHIFTS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
+# chance that a pair at the required similarity shares no block
+MISSED = 0.01
+SHORTEST = 16
+# bits that verify a shared block, and how many of them may differ: unrelated texts differ in half of them
+SKETCH, FAR = 128, 32
+# fingerprints of a bucket that are compared all at once
+DIRECT = 2048
+# nodes and bytes of text in a chunk of a group
+CHUNK_NODES, CHUNK_BYTES = 512, 8 << 20
 
 
 def shingle_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
@@ -52,87 +62,235 @@ def shingle_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist())), np.uint64, len(starts))
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(lower_space_words(text)))
+
+
 def node_of(body: Column) -> Column:
     """Number that stands for a text; 0 for all texts without words."""
     return F.when(body.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(body)).otherwise(F.lit(0).cast("long"))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of minima."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for low in range(0, len(hashes), 512):  # bounded memory for very long texts
-        np.minimum(least, (hashes[low : low + 512, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
-    return np.fromiter((xxhash.xxh64_intdigest(band.tobytes(), SEED) for band in least.reshape(BANDS, ROWS)), np.uint64, BANDS).view(np.int64)
+def differing(similar: float) -> float:
+    """Share of fingerprint bits in which two sets of one size differ at a Jaccard similarity."""
+    return math.acos(2 * similar / (1 + similar)) / math.pi
+
+
+def blocks_for(nodes: int, similar: float = SIMILAR) -> tuple[int, int]:
+    """Number of blocks and bits of each for a table of so many nodes."""
+    bits = max(SHORTEST, (max(nodes, 1) - 1).bit_length() - 1)
+    shared = (1 - differing(similar)) ** bits
+    return math.ceil(math.log(MISSED) / math.log1p(-shared)), bits
+
+
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many ``rows`` (n, words) of 64-bit words have each bit: full adders work on whole columns of words."""
+    counts = np.zeros(rows.shape[1] * 64, np.int64)
+    weight, current = 0, rows
+    while len(current):
+        carried = []
+        while len(current) >= 3:
+            m = len(current) // 3
+            a, b, c = current[:m], current[m : 2 * m], current[2 * m : 3 * m]
+            odd = a ^ b
+            carried.append((a & b) | (odd & c))
+            current = np.concatenate([odd ^ c, current[3 * m :]])
+        bytes_of = np.ascontiguousarray(current).astype("<u8").view(np.uint8)
+        counts += np.unpackbits(bytes_of, axis=1, bitorder="little").sum(axis=0, dtype=np.int64) << weight
+        current = np.concatenate(carried) if carried else current[:0]
+        weight += 1
+    return counts
+
+
+def wide_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Fingerprint of a set of shingle hashes: ``bits`` zeros and ones."""
+    words = -(-bits // 64)
+    salts = np.random.default_rng(SEED).integers(0, 1 << 63, (2, words), np.uint64)
+    counts = np.zeros(words * 64, np.int64)
+    for low in range(0, len(hashes), 4096):  # bounded memory for very long texts
+        mixed = (hashes[low : low + 4096, None] ^ salts[0]) * (salts[1] | np.uint64(1))
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        counts += bit_counts(mixed)
+    return (2 * counts[:bits] > len(hashes)).astype(np.uint8)
+
+
+def block_keys(bits: np.ndarray, blocks: int, width: int) -> np.ndarray:
+    """One number per block, with the block's own number above its bits."""
+    values = bits[: blocks * width].reshape(blocks, width).astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
+    return values | np.arange(blocks, dtype=np.int64) << width
+
+
+def signer(blocks: int, width: int):
+    """Column function: block keys and sketch of each text; no keys for a text without words, which has no shingle to share."""
+
+    @F.pandas_udf("struct<keys: array<bigint>, s0: bigint, s1: bigint>")
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        keys, sketches = [], np.zeros((len(texts), SKETCH // 64), np.int64)
+        for at, text in enumerate(texts):
+            hashes = shingle_set(text)
+            if not len(hashes):
+                keys.append([])
+                continue
+            bits = wide_bits(hashes, max(blocks * width, SKETCH))
+            keys.append(block_keys(bits, blocks, width))
+            sketches[at] = np.packbits(bits[:SKETCH], bitorder="little").view("<i8")
+        return pd.DataFrame({"keys": pd.Series(keys, dtype=object), "s0": sketches[:, 0], "s1": sketches[:, 1]})
 
+    return signed
 
-@F.pandas_udf(T.ArrayType(LONG))
-def bands(texts: pd.Series) -> pd.Series:
-    """Band keys of each text; none for a text without words, which has no shingle to share."""
-    return pd.Series([band_keys(shingle_hashes(words)) if (words := lower_space_words(t)) else [] for t in texts], dtype=object)
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int16)
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted sets of shingle hashes."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
 
+def close_groups(sketches: np.ndarray, far: int = FAR) -> np.ndarray:
+    """For each sketch the smallest member of its group: members within ``far`` bits, directly or not, share one.
 
-@F.pandas_udf(T.DoubleType())
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Jaccard similarity of the shingle sets of two texts; rows with one left text stand together, so it is cut once."""
-    last, own, out = None, np.empty(0, np.uint64), []
-    for a, b in zip(left, right):
-        if a != last:
-            last, own = a, np.unique(shingle_hashes(lower_space_words(a)))
-        out.append(jaccard(own, np.unique(shingle_hashes(lower_space_words(b)))))
-    return pd.Series(out, dtype="float64")
+    Beyond ``DIRECT`` members they are first gathered round centres, within half of ``far``; centres join when members of theirs
+    could be within ``far``. That can only make groups larger, and costs members x centres.
+    """
+    m = len(sketches)
+    if m <= DIRECT:
+        left, right = np.nonzero(np.triu(_distances(sketches, sketches) <= far, 1))
+        return spanning(m, left, right)
+    centre, near = np.full(m, -1), far // 2
+    centres: list[int] = []
+    while len(rest := np.flatnonzero(centre < 0)):
+        for low in range(0, len(rest), 1 << 20):
+            part = rest[low : low + (1 << 20)]
+            centre[part[_distances(sketches[rest[:1]], sketches[part])[0] <= near]] = rest[0]
+        centres.append(int(rest[0]))
+    spots = np.array(centres)
+    left, right = [np.flatnonzero(centre != np.arange(m))], []
+    right.append(centre[left[0]])
+    for low in range(0, len(spots), 256):
+        a, b = np.nonzero(_distances(sketches[spots[low : low + 256]], sketches[spots]) <= far + 2 * near)
+        left.append(spots[low + a])
+        right.append(spots[b])
+    return spanning(m, np.concatenate(left), np.concatenate(right))
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, similar: float) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``) of nodes that are at least ``similar``; ``bodies``: ``node`` and ``body`` of every row."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = cut_lineage(bodies.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "llm-near-texts")
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("body").alias("_right")), "b")
-    both = both.join(texts.select(F.col("node").alias("a"), F.col("body").alias("_left")), "a")
-    return cut_lineage(both.where(similarity("_left", "_right") >= similar - 1e-12).select("a", "b"), "llm-near-links")
+def _forest(nodes: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+    other = np.flatnonzero(root != np.arange(len(root)))
+    ends = np.sort(np.stack([nodes[root[other]], nodes[other]]), axis=0)
+    return pd.DataFrame({"a": ends[0], "b": ends[1]})
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a bucket's nodes whose components differ."""
-    for frame in groups_of(batches, ["band", "key"]):
-        frame = frame.sort_values("root", kind="stable")
-        node, root = frame["node"].to_numpy(), frame["root"].to_numpy()
-        later = np.searchsorted(root, root, "right")  # members from here on are of other components
-        for at in np.flatnonzero(later < len(node)).tolist():
-            others = node[later[at] :]
-            yield pd.DataFrame({"a": np.minimum(node[at], others), "b": np.maximum(node[at], others)})
+def _bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forest of a bucket's candidate links."""
+    for frame in groups_of(batches, ["key"]):
+        root = close_groups(frame[["s0", "s1"]].to_numpy().view(np.uint64))
+        if (root != np.arange(len(root))).any():
+            yield _forest(frame["node"].to_numpy(), root)
+
+
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """``node``, ``root``: candidate groups of the ``nodes`` (``node``, ``keys``, ``s0``, ``s1``); nodes without a candidate are left out."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "s0", "s1")
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
+    return smallest_reachable(cut_lineage(dealt.mapInPandas(_bucketed, "a bigint, b bigint").distinct(), "llm-near-blocks"))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of shared hashes of every set of ``left`` with every one of ``right``."""
+    if len(left) * len(right) <= 64:
+        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left])
+    sides = [np.concatenate(s) for s in (left, right)]
+    shared = np.intersect1d(*map(np.unique, sides), assume_unique=True)
+    total = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for sets, flat in zip((left, right), sides):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        kept = np.isin(flat, shared)
+        places.append((row[kept], np.searchsorted(shared, flat[kept])))
+    for low in range(0, len(shared), 4096):  # counts stay far below 2^24, so single precision is exact
+        tables = []
+        for sets, (row, column) in zip((left, right), places):
+            inside = (column >= low) & (column < low + 4096)
+            table = np.zeros((len(sets), 4096), np.float32)
+            table[row[inside], column[inside] - low] = 1
+            tables.append(table)
+        total += tables[0] @ tables[1].T
+    return total.astype(np.int64)
+
+
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], similar: float) -> tuple[np.ndarray, np.ndarray]:
+    both = overlaps(left, right)
+    union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - both
+    return np.nonzero(both >= similar * union - 1e-9)
+
+
+def compared(similar: float):
+    """Compares the two sides of every cell (side 1 missing: the cell with itself) and hands on a forest of its links."""
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in groups_of(batches, ["root", "i", "j"]):
+            side = frame["side"].to_numpy()
+            if side.min() > 0:
+                continue
+            nodes, sets = frame["node"].to_numpy(), [shingle_set(t) for t in frame["body"]]
+            first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if side.max() > 0 else np.flatnonzero(side == 0)
+            a, b = similar_pairs([sets[k] for k in first], [sets[k] for k in second], similar)
+            # a node may stand on both sides: its places are one
+            places, index = np.unique(nodes, return_inverse=True)
+            yield _forest(places, spanning(len(places), index[first[a]], index[second[b]]))
+
+    return within
+
+
+def _cells(rows: DataFrame, similar: float) -> DataFrame:
+    """Links of all cells (``root``, ``i``, ``j``) of ``rows`` (``side``, ``node``, ``body``)."""
+    cut = rows.select("root", "i", "j", "side", "node", "body").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node")
+    return cut.mapInPandas(compared(similar), "a bigint, b bigint")
 
 
 def links(nodes: DataFrame, bodies: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Verified links (``a`` < ``b``) whose transitive closure joins all candidate ``nodes`` (``node``, ``bands``) that are ``similar``."""
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("_n"), F.min("node").alias("low")).where("_n > 1").drop("_n")
-    members = cut_lineage(keyed.join(shared, ["band", "key"]), "llm-near-members")
-    stars = cut_lineage(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "llm-near-stars")
-    first = _verified(stars, bodies, similar)
-    reach = smallest_reachable(first)
-    rooted = members.join(reach, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-    rooted = cut_lineage(rooted, "llm-near-rooted")
-    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high")
-    dealt = rooted.join(mixed.select("band", "key"), ["band", "key"], "left_semi").repartition("band", "key").sortWithinPartitions("band", "key")
-    across = dealt.mapInPandas(_across, "a bigint, b bigint").distinct().join(stars, ["a", "b"], "left_anti")
-    return first.unionByName(_verified(cut_lineage(across, "llm-near-across"), bodies, similar))
+    """Verified links (``a`` < ``b``) whose transitive closure joins all ``nodes`` of a candidate group that are ``similar``.
+
+    ``bodies`` has ``node``, ``own`` and ``body`` of every row; of a node's rows those with its smallest id give the text.
+    """
+    groups = cut_lineage(candidate_groups(nodes).join(nodes.select("node", "own"), "node"), "llm-near-groups")
+    asked = groups.select("root", F.col("node").alias("_node"), F.col("own").alias("_own"))
+    found = bodies.join(asked, (F.col("node") == F.col("_node")) & F.col("own").eqNullSafe(F.col("_own")))
+    texts = cut_lineage(found.groupBy("root", "node").agg(F.first("body").alias("body")), "llm-near-texts")
+    sizes = texts.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.octet_length("body")).alias("bytes"), F.min("node").alias("centre"))
+    chunks = F.greatest(F.ceil(F.col("m") / CHUNK_NODES), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("long").alias("c")
+    large = cut_lineage(sizes.select("root", "centre", chunks).where("c > 1"), "llm-near-large")
+    small = texts.join(large.select("root"), "root", "left_anti").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "body")
+    near = _cells(small, similar)
+    if large.isEmpty():
+        return near
+    own = F.pmod(F.xxhash64("node"), F.col("c"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))
+    many = texts.join(large, "root").withColumn("at", own)
+    # one node of a large group meets all others of it, chunk by chunk
+    heads = many.where("node = centre").select("root", each.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "body")
+    rest = many.where("node <> centre").select("root", F.col("at").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"), "node", "body")
+    stars = cut_lineage(_cells(heads.unionByName(rest), similar), "llm-near-stars")
+    # nodes without a link so far are in no component with the centre yet
+    settled = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    still = many.where("node <> centre").select("root", "node").join(settled, "node", "left_anti")
+    still = cut_lineage(still, "llm-near-open")
+    wanted = many.join(still.select("root").distinct(), "root", "left_semi")
+    asks = wanted.join(still.select("node"), "node", "left_semi").select("root", F.col("at").alias("i"), each.alias("j"), F.lit(0).alias("side"), "node", "body")
+    meets = wanted.select("root", each.alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), "node", "body")
+    return near.unionByName(stars).unionByName(_cells(asks.unionByName(meets), similar)).distinct()
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row of each group of near-duplicates, that of its smallest id (null ids last); exactly the columns of ``docs``."""
     body = F.col(f"`{text}`").cast("string")
-    signed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), node_of(body).alias("node"), bands(body).alias("bands"))
-    nodes = cut_lineage(signed.groupBy("node").agg(F.min("doc_id").alias("own"), F.first("bands").alias("bands")), "llm-near-nodes")
-    reach = smallest_reachable(links(nodes, docs.select(node_of(body).alias("node"), body.alias("body")), similar))
+    own = F.col(f"`{doc_id}`").alias("own")
+    counted = docs.select(F.approx_count_distinct(node_of(body)).alias("n")).first()["n"]
+    signed = docs.select(own, node_of(body).alias("node"), signer(*blocks_for(counted, similar))(body).alias("p"))
+    nodes = signed.groupBy("node").agg(F.min("own").alias("own"), F.first("p").alias("p")).select("node", "own", "p.*")
+    nodes = cut_lineage(nodes, "llm-near-nodes")
+    reach = smallest_reachable(links(nodes, docs.select(node_of(body).alias("node"), own, body.alias("body")), similar))
     named = nodes.select("node", "own").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("own").isNull().alias("none"), F.col("own").alias("own"), F.col("node").alias("node"))).alias("b"))
     chosen = cut_lineage(best.select(F.col("b.node").alias("_node"), F.col("b.own").alias("_own")), "llm-near-chosen")
-    rows = packed(docs, F.col(f"`{doc_id}`").alias("doc_id"), node_of(body).alias("node"))
-    joined = rows.join(chosen, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_own")), "left_semi")
-    return unpacked(joined.groupBy("doc_id", "node").agg(F.first("_row").alias("_row")), docs.columns)
+    rows = packed(docs, own, node_of(body).alias("node"))
+    joined = rows.join(chosen, (F.col("node") == F.col("_node")) & F.col("own").eqNullSafe(F.col("_own")), "left_semi")
+    return unpacked(joined.groupBy("own", "node").agg(F.first("_row").alias("_row")), docs.columns)

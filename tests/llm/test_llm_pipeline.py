@@ -11,8 +11,8 @@ import public_tokenizers
 from llm_data import empty, odd
 from test_llm_decontaminate import windows, words_of
 from test_llm_mixing import naive_targets
+from test_llm_near_copies import kept_ids
 from test_llm_quality import naive as measures
-from test_llm_simhash import naive_components, naive_print
 from tokenizers import Tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -27,11 +27,9 @@ def good(docs):
 
 
 def distinct(docs):
-    least = {}
-    for i, t, _ in docs:
-        least[naive_print(t)] = min(i, least.get(naive_print(t), i))
-    component = naive_components(least)
-    return [d for d in docs if component[naive_print(d[1])] == d[0]]
+    """docs with ids of their own: the smallest of every group by the similarity of all pairs."""
+    kept = set(kept_ids([d[:2] for d in docs]))
+    return [d for d in docs if d[0] in kept]
 
 
 def clean(docs, items):
@@ -57,8 +55,7 @@ def mix(docs):
         for i, t, _ in sorted((d for d in docs if d[2] == s), key=lambda d: (hashlib.md5(f"mix-1{d[0]}".encode()).hexdigest(), d[0])):
             part = min(size[i], rest)
             rest -= part
-            ends = [m.end() for m in WORD.finditer(t)]
-            out += [(i, t)] * whole + ([(i, t[: ends[part - 1]])] if part else [])
+            out += [(i, t)] * (whole + (part > 0 and 2 * part >= size[i]))
     return out
 
 
