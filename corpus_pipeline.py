@@ -23,7 +23,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group whose five-word shingles are similar by 0.8 or more."""
+    """The document with the smallest id of every group whose five-word shingles are similar by 0.8 or more; candidates share SimHash blocks."""
     return near_copies.keep_one(docs)
 
 
@@ -33,7 +33,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one on the edge of a source's target in part."""
+    """Documents as often as the mix takes them, always whole."""
     return mixing.mixed(docs)
 
 
