@@ -33,7 +33,8 @@ def a1(spark, sf):
     columns = [
         F.col("day").cast("string").alias("Date"),
         F.concat_ws("|", "property_id", "page").alias("Top pages"),
-        F.col("query").alias("查询"),
+        # line breaks and quotes inside a field, so that records and lines differ
+        F.when(F.dayofmonth("day") % 3 == 0, F.concat_ws("\n", "query", F.lit('the "second", line'))).otherwise(F.col("query")).alias("查询"),
         F.col("country").alias("Country"),
         F.col("device").alias("Device"),
         F.col("clicks").cast("string").alias("Clicks"),

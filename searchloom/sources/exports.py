@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from searchloom.sources import csv_records
+
 # Header names of search-performance exports.
 SEARCH_HEADERS = {
     "date": "date",
@@ -227,7 +229,7 @@ def read_export_csv(
     """All-string rows under canonical names, plus ``row_issue`` for rows longer or shorter than their header.
 
     Files are grouped by their own header, so columns may stand in any order in each. Quoted fields may hold doubled quotes,
-    delimiters and line breaks; the price is that one file is read by one task. Blank rows are dropped; a column that
+    delimiters and line breaks, and a file is read by as many tasks as it has splits. Blank rows are dropped; a column that
     only some headers have is NULL in the other files.
     """
     groups = header_lines(spark, path)
@@ -247,17 +249,9 @@ def _read_group(spark: SparkSession, files: list[str], delimiter: str, names: Se
     # One spare column: a row filling it exactly is not malformed for the parser, yet too long for us.
     fields = [mapping[n] for n in names] + ["_spare", "_malformed"]
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("sep", delimiter)
-        .option("encoding", "UTF-8")
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_malformed")
-        .csv(files)
-    )
+    options = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed", "multiLine": "true"}
+    records = csv_records.read_records(spark, files, delimiter)
+    rows = records.where(F.trim("record") != "").select(F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
     kept = [F.col(mapping[n]) for n in names]
     # every proper row lacks the spare field, so the parser keeps its text; its delimiters outside quotes tell its length
     bare = F.regexp_replace("_malformed", r'"(?:[^"]|"")*"', "")
