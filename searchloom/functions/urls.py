@@ -169,8 +169,10 @@ def landing_page(
     *,
     force_https: bool = True,
     trailing_slash: str = "remove",
+    strip_query: bool = True,
+    strip_fragment: bool = True,
 ) -> Column:
-    """Comparable landing-page URL: query and fragment dropped; NULL when not http(s)."""
+    """Comparable landing-page URL: query and fragment dropped unless asked for; NULL when not http(s)."""
     resolved = join_url(base, raw)
 
     def shape(u: Column) -> Column:
@@ -180,7 +182,12 @@ def landing_page(
             tidy = F.when(tidy == "/", tidy).otherwise(F.regexp_replace(tidy, "/+$", ""))
         elif trailing_slash == "add":
             tidy = F.when(tidy == "/", tidy).otherwise(F.concat(F.regexp_replace(tidy, "/+$", ""), F.lit("/")))
-        return F.when(is_http(u), F.concat(_site(out_scheme, u), tidy))
+        out = F.concat(_site(out_scheme, u), tidy)
+        if not strip_query:
+            out = _with_query(out, query_string(u))
+        if not strip_fragment:
+            out = F.when(fragment(u) == "", out).otherwise(F.concat(out, F.lit("#"), fragment(u)))
+        return F.when(is_http(u), out)
 
     return F.when(F.trim(raw) != "", _let(resolved, shape))
 

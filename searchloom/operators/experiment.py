@@ -69,9 +69,17 @@ def spec_issues(specs: DataFrame) -> DataFrame:
 
 
 def baseline_units(rows: DataFrame, specs: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Per-unit baseline means, and the unit's issue when its days are incomplete or repeated."""
+    """Per-unit baseline means, and the unit's issue when its days are incomplete or repeated.
+
+    Rows of files without days (``dated`` false, where there is such a column) are aggregates of the window: one row a unit.
+    """
     length = F.datediff("baseline_end", "baseline_start") + 1
     inside = F.col("day").between(F.col("baseline_start"), F.col("baseline_end"))
+    one_day = F.col("day")
+    if "dated" in rows.columns:
+        length = F.when(F.col("dated"), length).otherwise(1)
+        inside = ~F.col("dated") | F.coalesce(inside, F.lit(False))
+        one_day = F.when(F.col("dated"), F.col("day")).otherwise(F.col("baseline_start"))
     units = (
         rows.join(specs.select("experiment_id", "baseline_start", "baseline_end"), "experiment_id")
         .groupBy(*UNIT, length.alias("expected_days"))
@@ -80,7 +88,7 @@ def baseline_units(rows: DataFrame, specs: DataFrame, metrics: Sequence[str]) ->
             F.count_if(inside).alias("source_rows"),
             F.count_if(~inside).alias("outside_rows"),
             # A unit's days are bounded by its window and its pairs by one, so sets stay small.
-            F.size(F.collect_set(F.when(inside, F.col("day")))).cast("bigint").alias("days"),
+            F.size(F.collect_set(F.when(inside, one_day))).cast("bigint").alias("days"),
             F.collect_set("pair_id").alias("_pairs"),
         )
         .withColumns({"pair_id": F.array_max("_pairs"), "pairs": F.size("_pairs").cast("bigint")})
@@ -208,7 +216,8 @@ def parse_flag(text: Column) -> Column:
 
 
 def typed_panel(raw: DataFrame, assignments: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Typed unit-days with ``issues`` per row; repeats of a unit-day keep the first row only as data.
+    """Typed unit-days with ``issues`` per row; repeats of a unit-day keep the first row only as data. A flag text that is NULL says that its file
+    has no such column, which is no issue of the row.
 
     ``usable`` marks rows that enter estimates: a known unit-day, first of its kind.
     """
@@ -222,6 +231,7 @@ def typed_panel(raw: DataFrame, assignments: DataFrame, metrics: Sequence[str])
         *[number(m).alias(m) for m in metrics],
         parse_flag(F.col("contaminated_text")).alias("contaminated"),
         parse_flag(F.col("applied_text")).alias("applied"),
+        *[F.col(f"{n}_text").isNotNull().alias(f"_has_{n}") for n in ("contaminated", "applied")],
     )
     readable = F.coalesce((F.col("unit_id") != "") & F.col("day").isNotNull() & F.col("group").isNotNull(), F.lit(False))
     parsed = parsed.withColumn("_readable", readable)
@@ -240,8 +250,8 @@ def typed_panel(raw: DataFrame, assignments: DataFrame, metrics: Sequence[str])
                 F.col("assigned") != F.col("group"), F.lit("assignment_mismatch")
             ),
             *[code(F.col(m).isNull(), f"missing_or_invalid_metric:{m}") for m in metrics],
-            code(F.col("contaminated").isNull(), "invalid_contamination_flag"),
-            code(F.col("applied").isNull(), "invalid_treatment_flag"),
+            code(F.col("_has_contaminated") & F.col("contaminated").isNull(), "invalid_contamination_flag"),
+            code(F.col("_has_applied") & F.col("applied").isNull(), "invalid_treatment_flag"),
         )
     )
     return joined.select(

@@ -9,7 +9,8 @@ from searchloom.plans import sqltext as q
 from searchloom.plans.compare_queries import COLLECTION, QUALITY, issue_list
 from searchloom.plans.registry import query
 from searchloom.plans.tables import load_view, with_views
-from searchloom.session import cut_lineage
+from searchloom.session import cut_lineage, scratch_path
+from searchloom.sources import experiment_files
 
 METRICS = ("clicks", "views", "errors")
 SPECS = ("exp_specs",)
@@ -59,6 +60,26 @@ def a17(spark, sf):
     return _units(spark, sf).drop("pair_id", "pairs")
 
 
+def _written(rows, name):
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.partitionBy("experiment").option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+@query(
+    "a17_read_baseline_csv",
+    with_views("baseline_rows", "exp_specs", extra=UNITS)
+    + "SELECT experiment_id, unit_id, pair_id, pairs, expected_days, clicks, views, errors, source_rows, outside_rows, days, issue FROM units",
+)
+def a17_files(spark, sf):
+    """Baseline files, one folder an experiment, read to the units that assignment takes."""
+    rows = load_view(spark, sf, "baseline_rows")
+    texts = [F.col(m).cast("string").alias(m) for m in METRICS]
+    path = _written(rows.select("pair_id", F.col("day").alias("date"), *texts, F.col("unit_id").alias("page"), F.col("experiment_id").alias("experiment")), "baseline")
+    read = experiment_files.read_baseline_csv(spark, path, METRICS, "page", matched=True, experiment_from_path="experiment=([^/]+)/")
+    return ex.baseline_units(read.where(F.size("issues") == 0), _specs(spark, sf), METRICS)
+
+
 @query(
     "f1_spec_issues",
     with_views("draft_specs")
@@ -185,6 +206,28 @@ def a18(spark, sf):
     )
 
 
+@query(
+    "a18_read_panel_csv",
+    FULL
+    + """SELECT row_id, experiment_id, unit_id, day::STRING AS day, "group", clicks, views, errors, contaminated, applied, usable, array_to_string(issues, ',') AS issues FROM panel""",
+)
+def a18_files(spark, sf):
+    """Panel files, one folder an experiment, read to typed unit-days."""
+    rows = load_view(spark, sf, "panel_rows")
+    path = _written(
+        rows.select(
+            "row_id", F.col("unit_id").alias("page"), F.col("group_text").alias("group"), F.col("day").alias("date"), *METRICS,
+            F.col("contaminated_text").alias("contaminated"), F.col("applied_text").alias("treatment_applied"), F.col("experiment_id").alias("experiment"),
+        ),
+        "panel",
+    )
+    read = experiment_files.read_panel_csv(spark, path, METRICS, "page", experiment_from_path="experiment=([^/]+)/", row_column="row_id")
+    return ex.typed_panel(read, _assigned(spark, sf), METRICS).select(
+        "row_id", "experiment_id", "unit_id", F.col("day").cast("string").alias("day"), "group", *METRICS,
+        "contaminated", "applied", "usable", F.array_join("issues", ",").alias("issues"),
+    )
+
+
 @query(
     "f7_panel_issues",
     FULL + "SELECT row_id, experiment_id, unit_id, unnest(issues) AS code FROM panel",

@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from searchloom.operators import review
+from searchloom.operators.landing_pages import UrlRules
 from searchloom.plans import sqltext as q
 from searchloom.plans.compare_queries import AS_OF, BASELINE, COLLECTION, CURRENT, IN_B, IN_C, QUALITY, issue_list
 from searchloom.plans.registry import query
 from searchloom.plans.tables import load_view, with_views
-from searchloom.session import cut_lineage
+from searchloom.session import cut_lineage, scratch_path
+from searchloom.sources.review_files import ReviewColumns, read_review_csv
 
 PERIOD = f"CASE WHEN day IS NULL THEN 'blank_date' WHEN {IN_B} THEN 'baseline' WHEN {IN_C} THEN 'current' ELSE 'outside' END"
 LABELLED = f"""labelled AS (SELECT *, {PERIOD} AS period,
@@ -46,6 +48,63 @@ def e2(spark, sf):
     return review.dataset_quality(_labelled(spark, sf))
 
 
+METRIC_NAMES = [(k, m) for k in review.KINDS for m in review.METRICS[k]]
+RULES = UrlRules("https://shop.example.com/")
+
+
+def _review_files(spark, sf):
+    """The review rows written as exports of three sources with headers, spellings and layouts of their own, and read back."""
+    rows = load_view(spark, sf, "review_rows")
+    path = scratch_path(spark, "review-files")
+    page = F.when(F.col("landing_page") == "/part/11", F.lit("/old//11/?utm_source=x")).otherwise(
+        F.concat(F.lit("HTTP://Shop.Example.com:443"), "landing_page", F.lit("/#top"))
+    )
+    day = F.col("day").cast("string")
+    text = (
+        F.when(F.col("temporal_grain") == "timestamp", F.concat(day, F.lit("T05:00:00+08:00")))
+        .when(F.col("landing_page") == "/part/7", F.replace(day, F.lit("-"), F.lit("/")))
+        .otherwise(day)
+    )
+    names = {"search": ("Day", "Landing page", "Country/Region", "Device"), "analytics": ("日期", "Page", "Country", "device_category"), "crm": ("date", "Lead Page", "Market")}
+    url_map = spark.createDataFrame([("/old/11", "/part/11")], "source string, target string")
+    parts = []
+    for kind in review.KINDS:
+        dims = ("date", "landing_page", "country", "device")[: len(names[kind])]
+        values = {"date": text, "landing_page": page, "country": F.concat(F.lit(" "), F.lower("country")), "device": F.initcap("device")}
+        columns = [values[d].alias(n) for d, n in zip(dims, names[kind])] + [F.col(m).cast("string").alias(m.title()) for m in review.METRICS[kind]]
+        if kind == "search":
+            columns.append(F.lit("9%").alias("Average CTR"))
+        writer = rows.where(F.col("kind") == kind).select(*columns[::-1] if kind == "crm" else columns, F.col("property_id").alias("property"))
+        writer.write.partitionBy("property").option("header", True).option("escape", '"').option("sep", {"crm": ";"}.get(kind, ",")).csv(f"{path}/{kind}")
+        source = ReviewColumns(kind, dict(zip(dims, names[kind])), {m: m.title() for m in review.METRICS[kind]}, source_timezone="Asia/Shanghai")
+        parts.append(read_review_csv(spark, f"{path}/{kind}", source, RULES, "Asia/Shanghai", url_map))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.withColumn("property_id", F.regexp_extract("file", "property=([^/]+)/", 1))
+
+
+@query(
+    "a9_read_review_csv",
+    with_views("review_rows")
+    + f"""SELECT property_id, kind, count(*) AS rows, count(DISTINCT day) AS days, count(DISTINCT landing_page) AS pages, count(DISTINCT country) AS countries,
+    count(DISTINCT device) AS devices, count(*) FILTER (explicitly_mapped) AS mapped, count(*) FILTER (landing_page IS NULL) AS without_page, count(*) FILTER (temporal_grain = 'timestamp') AS timed,
+    {", ".join(f"count({m}) AS known_{m}, sum({m}) AS {m}" for _, m in METRIC_NAMES)}, 0::BIGINT AS issues FROM review_rows GROUP BY property_id, kind""",
+)
+def a9(spark, sf):
+    distinct = lambda n, to: F.countDistinct(n).alias(to)
+    return _review_files(spark, sf).groupBy("property_id", "kind").agg(
+        F.count("*").alias("rows"), distinct("day", "days"), distinct("landing_page", "pages"), distinct("country", "countries"),
+        distinct("device", "devices"), F.count_if("explicitly_mapped").alias("mapped"),
+        F.count_if(F.col("url_reason") == "blank_landing_page").alias("without_page"), F.count_if(F.col("temporal_grain") == "timestamp").alias("timed"),
+        *[f for _, m in METRIC_NAMES for f in (F.count(m).alias(f"known_{m}"), F.sum(m).alias(m))], F.sum(F.size("issues")).cast("bigint").alias("issues"),
+    )
+
+
+@query("a10_review_files_quality", ROWS + f", {QUALITY_CTE} SELECT * FROM quality")
+def a10(spark, sf):
+    """Files of three sources, read by their own mappings, reach the review's quality counts."""
+    return review.dataset_quality(review.label_periods(_review_files(spark, sf), BASELINE, CURRENT))
+
+
 ISSUES = "issues AS (" + " UNION ALL ".join(
     [f"SELECT property_id, kind, 'blank_or_invalid_{d}' AS code, blank_{d} AS n FROM quality WHERE blank_{d} > 0" for d in ("day", "landing_page", "country", "device")]
     + [f"SELECT property_id, kind, 'blank_metric_{m}', blank_metric_{m} FROM quality WHERE blank_metric_{m} > 0" for k in review.KINDS for m in review.METRICS[k]]

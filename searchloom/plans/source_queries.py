@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import searchloom.plans.views  # noqa: F401
 from searchloom.functions import dates, numbers, urls
-from searchloom.operators import gates
+from searchloom.operators import gates, landing_pages
 from searchloom.plans import sqltext as q
 from searchloom.plans.registry import query
 from searchloom.plans.tables import load_view, table, with_views
@@ -244,28 +244,18 @@ def a13(spark, sf):
     GROUP BY ALL""",
 )
 def a14(spark, sf):
-    """Normalise first, count the distinct spellings, then look the few up in the URL map."""
-    text = F.col("url_text")
-    rows = _raw(spark, sf).select("url_text", urls.landing_page(text, F.lit(BASE)).alias("v"))
-    counted = rows.groupBy("url_text", "v").agg(F.count("*").alias("rows"))
-    url_map = (
+    """Distinct spellings are counted first, so each is normalised and looked up once."""
+    counted = _raw(spark, sf).groupBy("url_text").agg(F.count("*").alias("rows"))
+    pairs = (
         table(spark, sf, "part")
         .filter("p_size <= 10")
         .select(
-            F.concat(F.lit("https://shop.example.com/part/"), F.col("p_partkey").cast("string")).alias("v"),
+            F.concat(F.lit("/part/"), F.col("p_partkey").cast("string")).alias("source"),
             F.concat(F.lit("https://shop.example.com/family/"), F.col("p_size").cast("string")).alias("target"),
         )
     )
-    reason = F.when(F.trim(text) == "", F.lit("blank_landing_page")).when(
-        F.col("v").isNull(), F.lit("invalid_landing_page")
-    )
-    return counted.join(url_map, "v", "left").select(
-        "url_text",
-        F.coalesce("target", "v").alias("landing_page"),
-        reason.alias("reason"),
-        F.col("target").isNotNull().alias("explicitly_mapped"),
-        "rows",
-    )
+    found = landing_pages.with_landing_pages(counted, "url_text", landing_pages.UrlRules(BASE), pairs)
+    return found.select("url_text", "landing_page", F.col("url_reason").alias("reason"), "explicitly_mapped", "rows")
 
 
 @query(

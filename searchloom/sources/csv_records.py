@@ -98,29 +98,30 @@ def _started(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 RECORD, HEAD, TAIL = 0, 1, 2
-_PIECES = pa.schema([("path", pa.string()), ("start", pa.int64()), ("kind", pa.int64()), ("closed", pa.bool_()), ("record", pa.string())])
+_PIECES = pa.schema([("path", pa.string()), ("start", pa.int64()), ("kind", pa.int64()), ("at", pa.int64()), ("record", pa.string())])
 
 
 def _joined(delimiter: str):
     """Whole records of each split, and the pieces at its edges; the file's first record with text is its header and left out."""
 
-    def row(key: tuple[str, int], kind: int, closed: bool, text: str) -> tuple:
-        return (*key, kind, closed, text)
+    def row(key: tuple[str, int], kind: int, at: int, text: str) -> tuple:
+        # a record is a byte long at least, so the split's offset and the record's number in it give a place in the file
+        return (*key, kind, key[1] + at, text)
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows) if rows else [()] * len(_PIECES)
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PIECES)], schema=_PIECES)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, parts, head, header = None, 0, [], False, False
+        key, state, parts, head, header, count = None, 0, [], False, False, 0
         for batch in batches:
             rows: list[tuple] = []
             for own, run in _runs(batch):
                 new = own != key
                 if new:
                     if parts:
-                        rows.append(row(key, HEAD if head else TAIL, False, "\n".join(parts)))
-                    key, parts = own, []
+                        rows.append(row(key, HEAD if head else TAIL, count, "\n".join(parts)))
+                    key, parts, count = own, [], 0
                     state = int(run.column("inside")[0].as_py())
                     head, header = bool(state), own[1] == 0
                 lines, values = _lines(run, new and own[1] == 0)
@@ -130,8 +131,9 @@ def _joined(delimiter: str):
                         rows = []
                     n = len(values)
                     yield pa.RecordBatch.from_arrays(
-                        [run.column("path").cast(pa.string()), run.column("start").cast(pa.int64()), pa.array([RECORD] * n, pa.int64()), pa.array([True] * n), values.cast(pa.string())], schema=_PIECES
+                        [run.column("path").cast(pa.string()), run.column("start").cast(pa.int64()), pa.array([RECORD] * n, pa.int64()), pa.array(range(own[1] + count, own[1] + count + n), pa.int64()), values.cast(pa.string())], schema=_PIECES
                     )
+                    count += n
                     continue
                 for line in lines if lines is not None else values.to_pylist():
                     parts.append(line)
@@ -142,22 +144,26 @@ def _joined(delimiter: str):
                     text = "\n".join(parts)
                     parts = []
                     if head:
-                        rows.append(row(key, HEAD, True, text))
+                        rows.append(row(key, HEAD, count, text))
                         head = False
                     elif header and text.strip():
                         header = False
                     elif not header:
-                        rows.append(row(key, RECORD, True, text))
+                        rows.append(row(key, RECORD, count, text))
+                    count += 1
             if rows:
                 yield out(rows)
         if parts:
-            yield out([row(key, HEAD if head else TAIL, False, "\n".join(parts))])
+            yield out([row(key, HEAD if head else TAIL, count, "\n".join(parts))])
 
     return records
 
 
 def read_records(spark: SparkSession, files: list[str], delimiter: str) -> DataFrame:
-    """``record``: one row per record below each file's header, without the line end; quoted line breaks stay in it."""
+    """``record``, ``path`` and ``at``: a row per record below each file's header, without the line end; quoted line breaks stay in it.
+
+    ``at`` orders the records of a file and is different for each.
+    """
     lines = spark.read.option("lineSep", "\n").text(files).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
     )
@@ -177,10 +183,11 @@ def read_records(spark: SparkSession, files: list[str], delimiter: str) -> DataF
         numbered = lines.withColumn("_at", F.monotonically_increasing_id())
         placed = numbered.join(opened.withColumn("inside", F.lit(1)), ["path", "start"], "left").sortWithinPartitions("path", "start", "_at")
     placed = placed.select("value", "path", "start", F.coalesce("inside", F.lit(0)).alias("inside"))
-    pieces = placed.mapInArrow(_joined(delimiter), "path string, start bigint, kind bigint, closed boolean, record string")
-    whole = pieces.where(F.col("kind") == RECORD).select("record")
+    pieces = placed.mapInArrow(_joined(delimiter), "path string, start bigint, kind bigint, at bigint, record string")
+    whole = pieces.where(F.col("kind") == RECORD).select("path", "at", "record")
     along = Window.partitionBy("path").orderBy("start", "kind")
     edge = pieces.where(F.col("kind") != RECORD).withColumn("_of", F.sum((F.col("kind") == TAIL).cast("int")).over(along))
     ordered = F.sort_array(F.collect_list(F.struct("start", "kind", "record")))
-    crossed = edge.groupBy("path", "_of").agg(F.array_join(F.transform(ordered, lambda p: p["record"]), "\n").alias("record")).select("record")
-    return whole.unionByName(crossed).select(F.regexp_replace("record", r"\r$", "").alias("record"))
+    joined = F.array_join(F.transform(ordered, lambda p: p["record"]), "\n").alias("record")
+    crossed = edge.groupBy("path", "_of").agg(F.min("at").alias("at"), joined).drop("_of")
+    return whole.unionByName(crossed).withColumn("record", F.regexp_replace("record", r"\r$", ""))

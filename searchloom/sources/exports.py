@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import csv
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from searchloom.sources import csv_records
 
@@ -151,6 +150,11 @@ def canonical_headers(
     return mapped
 
 
+def review_key(name: str) -> str:
+    """Header key of configured columns: letters, digits and Chinese characters, all else one underscore."""
+    return re.sub(r"[^0-9a-z\u4e00-\u9fff]+", "_", name.strip().lstrip("\ufeff").casefold()).strip("_")
+
+
 def review_headers(
     kind: str, headers: Sequence[str], dimensions: Mapping[str, str], metrics: Mapping[str, str]
 ) -> dict[str, str]:
@@ -166,18 +170,20 @@ def review_headers(
     refuse_sensitive_headers(headers, crm=kind == "crm")
     by_key: dict[str, str] = {}
     for header in headers:
-        if header_key(header) in by_key:
+        if not review_key(header):
+            raise ValueError("blank column name")
+        if review_key(header) in by_key:
             raise ValueError(f"duplicate column {header!r}")
-        by_key[header_key(header)] = header
+        by_key[review_key(header)] = header
     wanted = {**dimensions, **metrics}
-    missing = [name for name, header in wanted.items() if header_key(header) not in by_key]
+    missing = [name for name, header in wanted.items() if review_key(header) not in by_key]
     if missing:
         raise ValueError(f"missing configured columns {missing}")
-    resolved = {name: by_key[header_key(header)] for name, header in wanted.items()}
+    resolved = {name: by_key[review_key(header)] for name, header in wanted.items()}
     if len(set(resolved.values())) != len(resolved):
         raise ValueError("one column is mapped twice")
     extra = [
-        h for h in headers if h not in resolved.values() and header_key(h) not in REVIEW_IGNORED[kind]
+        h for h in headers if h not in resolved.values() and review_key(h) not in map(review_key, REVIEW_IGNORED[kind])
     ]
     if extra:
         raise ValueError(f"undeclared columns may change the grain: {extra}")
@@ -186,7 +192,7 @@ def review_headers(
 
 def sensitive_header_kind(header: str) -> str | None:
     """Why a column name is refused: ``query``, ``personal`` or None."""
-    snake = header_key(header).replace(" ", "_").replace("-", "_")
+    snake = review_key(header)
     if snake in QUERY_COLUMNS:
         return "query"
     return "personal" if snake in PERSONAL_COLUMNS else None
@@ -197,7 +203,7 @@ def refuse_sensitive_headers(headers: Sequence[str], crm: bool = False) -> None:
         kind = sensitive_header_kind(header)
         if kind:
             raise ValueError(f"{kind} column refused: {header!r}")
-        if crm and header_key(header).replace(" ", "_") in CRM_RAW_COLUMNS:
+        if crm and review_key(header) in CRM_RAW_COLUMNS:
             raise ValueError(f"row-level CRM column refused: {header!r}")
 
 
@@ -232,34 +238,43 @@ def read_export_csv(
     delimiters and line breaks, and a file is read by as many tasks as it has splits. Blank rows are dropped; a column that
     only some headers have is NULL in the other files.
     """
+    return read_mapped_csv(spark, path, lambda names: canonical_headers(names, aliases, required, forbidden)).drop("file", "at")
+
+
+def read_mapped_csv(spark: SparkSession, path: str, resolve: Callable[[Sequence[str]], Mapping[str, str]]) -> DataFrame:
+    """All-string rows of the columns that ``resolve`` names, with ``file``, ``at`` (order in the file) and ``row_issue``.
+
+    ``resolve`` gets the column names of a header and gives header -> name; it raises for headers it refuses. It is asked once per
+    different header line, before any row is read.
+    """
     groups = header_lines(spark, path)
     if not groups:
         raise ValueError("empty CSV")
-    parts = []
-    for line, files in groups.items():
-        delimiter, names = split_header(line)
-        parts.append(_read_group(spark, files, delimiter, names, canonical_headers(names, aliases, required, forbidden)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out.select(*[c for c in out.columns if c != "row_issue"], "row_issue")
+    split = [(files, *split_header(line)) for line, files in groups.items()]
+    mapped = [(files, delimiter, names, resolve(names)) for files, delimiter, names in split]
+    out = None
+    for files, delimiter, names, mapping in mapped:
+        part = _read_group(spark, files, delimiter, names, mapping)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    last = ("file", "at", "row_issue")
+    return out.select(*[c for c in out.columns if c not in last], *last)
 
 
 def _read_group(spark: SparkSession, files: list[str], delimiter: str, names: Sequence[str], mapping: Mapping[str, str]) -> DataFrame:
-    # One spare column: a row filling it exactly is not malformed for the parser, yet too long for us.
-    fields = [mapping[n] for n in names] + ["_spare", "_malformed"]
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    options = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed", "multiLine": "true"}
-    records = csv_records.read_records(spark, files, delimiter)
-    rows = records.where(F.trim("record") != "").select(F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
-    kept = [F.col(mapping[n]) for n in names]
+    # One spare field: a row filling it exactly is not malformed for the parser, yet too long for us.
+    fields = [*(f"c{k}" for k in range(len(names))), "spare", "malformed"]
+    options = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed", "multiLine": "true"}
+    records = csv_records.read_records(spark, files, delimiter).where(F.trim("record") != "")
+    rows = records.select("path", "at", F.from_csv("record", ", ".join(f"{f} string" for f in fields), options).alias("r"))
+    cells = [F.col("r").getField(f"c{k}") for k in range(len(names))]
     # every proper row lacks the spare field, so the parser keeps its text; its delimiters outside quotes tell its length
-    bare = F.regexp_replace("_malformed", r'"(?:[^"]|"")*"', "")
-    found = F.size(F.split(bare, re.escape(delimiter), -1))
-    too_long = F.col("_spare").isNotNull() | F.col("_malformed").isNull() | (found > len(names))
-    blank = F.forall(F.array(*kept), lambda v: F.coalesce(F.trim(v), F.lit("")) == "")
+    malformed = F.col("r").getField("malformed")
+    found = F.size(F.split(F.regexp_replace(malformed, r'"(?:[^"]|"")*"', ""), re.escape(delimiter), -1))
+    too_long = F.col("r").getField("spare").isNotNull() | malformed.isNull() | (found > len(names))
+    blank = F.forall(F.array(*cells), lambda v: F.coalesce(F.trim(v), F.lit("")) == "")
     issue = F.when(too_long, F.lit("row_longer_than_header")).when(found < len(names), F.lit("row_shorter_than_header"))
-    return rows.filter(~blank | too_long).select(*kept, issue.alias("row_issue"))
+    kept = [cell.alias(mapping[name]) for cell, name in zip(cells, names) if name in mapping]
+    return rows.filter(~blank | too_long).select(*kept, F.col("path").alias("file"), "at", issue.alias("row_issue"))
 
 
 def read_search_csv(spark: SparkSession, path: str) -> DataFrame:
