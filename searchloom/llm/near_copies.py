@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +44,10 @@ MISSED = 0.01
 SHORTEST = 16
 # bits that verify a shared block, and how many of them may differ: unrelated texts differ in half of them
 SKETCH, FAR = 128, 32
-# fingerprints of a bucket that are compared all at once
-DIRECT = 2048
+# fingerprints of a bucket that are compared all at once, and up to which buckets are compared together
+DIRECT, FEW = 2048, 16
+# bits within which members of a crowded bucket are taken for their centre
+NEAR = 4
 # nodes and bytes of text in a chunk of a group
 CHUNK_NODES, CHUNK_BYTES = 512, 8 << 20
 
@@ -148,25 +151,25 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def close_groups(sketches: np.ndarray, far: int = FAR) -> np.ndarray:
     """For each sketch the smallest member of its group: members within ``far`` bits, directly or not, share one.
 
-    Beyond ``DIRECT`` members they are first gathered round centres, within half of ``far``; centres join when members of theirs
+    Beyond ``DIRECT`` members they are first gathered round centres, within ``NEAR`` bits; centres join when members of theirs
     could be within ``far``. That can only make groups larger, and costs members x centres.
     """
     m = len(sketches)
     if m <= DIRECT:
         left, right = np.nonzero(np.triu(_distances(sketches, sketches) <= far, 1))
         return spanning(m, left, right)
-    centre, near = np.full(m, -1), far // 2
+    centre = np.full(m, -1)
     centres: list[int] = []
     while len(rest := np.flatnonzero(centre < 0)):
         for low in range(0, len(rest), 1 << 20):
             part = rest[low : low + (1 << 20)]
-            centre[part[_distances(sketches[rest[:1]], sketches[part])[0] <= near]] = rest[0]
+            centre[part[_distances(sketches[rest[:1]], sketches[part])[0] <= NEAR]] = rest[0]
         centres.append(int(rest[0]))
     spots = np.array(centres)
     left, right = [np.flatnonzero(centre != np.arange(m))], []
     right.append(centre[left[0]])
     for low in range(0, len(spots), 256):
-        a, b = np.nonzero(_distances(sketches[spots[low : low + 256]], sketches[spots]) <= far + 2 * near)
+        a, b = np.nonzero(_distances(sketches[spots[low : low + 256]], sketches[spots]) <= far + 2 * NEAR)
         left.append(spots[low + a])
         right.append(spots[b])
     return spanning(m, np.concatenate(left), np.concatenate(right))
@@ -178,19 +181,60 @@ def _forest(nodes: np.ndarray, root: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": ends[0], "b": ends[1]})
 
 
-def _bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Forest of a bucket's candidate links."""
-    for frame in groups_of(batches, ["key"]):
-        root = close_groups(frame[["s0", "s1"]].to_numpy().view(np.uint64))
-        if (root != np.arange(len(root))).any():
-            yield _forest(frame["node"].to_numpy(), root)
+def _close_pairs(keys: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that link the close rows of every bucket; ``keys`` are sorted.
+
+    Buckets of a few rows, nearly all of them, are compared together: every row with the one so many places on.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.append(starts, len(keys)))
+    small = np.repeat(sizes <= FEW, sizes)
+    left, right = [], []
+    for step in range(1, min(FEW, int(sizes[sizes <= FEW].max(initial=1)))):
+        a = np.flatnonzero(small[:-step] & (keys[:-step] == keys[step:]))
+        a = a[np.bitwise_count(sketches[a] ^ sketches[a + step]).sum(axis=1, dtype=np.int16) <= FAR]
+        left.append(a)
+        right.append(a + step)
+    for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        root = close_groups(sketches[start : start + size])
+        other = np.flatnonzero(root != np.arange(size))
+        left.append(start + root[other])
+        right.append(start + other)
+    return np.concatenate([*left, np.empty(0, np.int64)]), np.concatenate([*right, np.empty(0, np.int64)])
+
+
+def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forest of the candidate links of all buckets that a batch completes."""
+    held: list[list[np.ndarray]] = []
+
+    def linked() -> Iterator[pa.RecordBatch]:
+        if held:
+            key, node, s0, s1 = (np.concatenate(column) for column in zip(*held))
+            held.clear()
+            a, b = _close_pairs(key, np.stack([s0, s1], axis=1).view(np.uint64))
+            if len(a):
+                places, index = np.unique(np.concatenate([node[a], node[b]]), return_inverse=True)
+                found = _forest(places, spanning(len(places), index[: len(a)], index[len(a) :]))
+                yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+    for batch in batches:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        if not len(batch):
+            continue
+        # rows of the batch's last key wait for the next batch
+        last = int(np.searchsorted(columns[0], columns[0][-1]))
+        if last or (held and held[-1][0][-1] != columns[0][0]):
+            held.append([c[:last] for c in columns])
+            yield from linked()
+        held.append([c[last:] for c in columns])
+    yield from linked()
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
     """``node``, ``root``: candidate groups of the ``nodes`` (``node``, ``keys``, ``s0``, ``s1``); nodes without a candidate are left out."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "s0", "s1")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
-    return smallest_reachable(cut_lineage(dealt.mapInPandas(_bucketed, "a bigint, b bigint").distinct(), "llm-near-blocks"))
+    return smallest_reachable(cut_lineage(dealt.mapInArrow(_bucketed, "a bigint, b bigint").distinct(), "llm-near-blocks"))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
