@@ -11,19 +11,36 @@ from searchloom.streaming import stateful, windows
 WEEK = 7 * 86_400
 
 
+# events of the budgets: keys are users, seven addresses, some events without one
+ADDRESS = "CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'address-' || (user_id % 7) END"
+
+
+def _windows(name: str, source: str, owner: str) -> str:
+    """SQL for fixed windows opened by an owner's first event after the last one; ``<name>`` has the rank inside each."""
+    return f"""{name}_w(owner, start_us) AS (SELECT {owner}, min(us) FROM {source} GROUP BY {owner}
+      UNION ALL SELECT owner, (SELECT min(us) FROM {source} e WHERE e.{owner} = owner AND e.us >= start_us + {WEEK}000000) FROM {name}_w WHERE start_us IS NOT NULL),
+    {name} AS (SELECT *, row_number() OVER (PARTITION BY {owner}, start_us ORDER BY us, event_id) AS k FROM (
+      SELECT e.*, (SELECT max(start_us) FROM {name}_w w WHERE w.owner = e.{owner} AND start_us <= e.us) AS start_us FROM {source} e) p)"""
+
+
+WAIT = f"greatest(1, ceil((start_us + {WEEK}000000 - us) / 1000000.0))"
+
+
 @query(
     "l1_request_budget",
-    f"""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, (epoch_us(ts))::BIGINT AS us FROM events),
-    w(user_id, start_us) AS (SELECT user_id, min(us) FROM e GROUP BY user_id
-      UNION ALL SELECT w.user_id, (SELECT min(us) FROM e WHERE e.user_id = w.user_id AND e.us >= w.start_us + {WEEK}000000) FROM w WHERE w.start_us IS NOT NULL),
-    placed AS (SELECT e.*, (SELECT max(start_us) FROM w WHERE w.user_id = e.user_id AND w.start_us <= e.us) AS start_us FROM e),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, start_us ORDER BY us, event_id) AS k FROM placed)
-    SELECT user_id::VARCHAR AS key, event_id, k <= 6 AS allowed, CASE WHEN k <= 6 THEN 0 ELSE greatest(1, ceil((start_us + {WEEK}000000 - us) / 1000000.0)) END::INT AS retry_after FROM ranked""",
+    f"""WITH RECURSIVE e AS (SELECT event_id, user_id, {ADDRESS} AS address, (epoch_us(ts))::BIGINT AS us FROM events),
+    {_windows("first", "e", "user_id")},
+    passed AS (SELECT event_id, user_id, address, us FROM first WHERE k <= 6 AND address IS NOT NULL),
+    {_windows("second", "passed", "address")}
+    SELECT f.user_id::VARCHAR AS key, f.address, f.event_id, f.k <= 6 AND coalesce(s.k <= 20, TRUE) AS allowed,
+      (CASE WHEN f.k > 6 THEN {WAIT.replace("start_us", "f.start_us").replace(" us)", " f.us)")} WHEN s.k > 20 THEN {WAIT.replace("start_us", "s.start_us").replace(" us)", " f.us)")} ELSE 0 END)::INT AS retry_after,
+      CASE WHEN f.k > 6 THEN 'key' WHEN s.k > 20 THEN 'address' END AS refused_by
+    FROM first f LEFT JOIN second s ON s.event_id = f.event_id""",
 )
 def l1(spark, sf):
-    """Six events per user and week-long window, so the limit binds on this event rate."""
-    events = windows.read_table_stream(spark, sf, "events")
-    return windows.run_to_end(stateful.request_budget(events, "user_id", window_seconds=WEEK), "budget")
+    """Six events per user, then twenty per address, in windows of a week, so that both limits bind on this event rate."""
+    events = windows.read_table_stream(spark, sf, "events").withColumn("address", F.expr(ADDRESS))
+    return windows.run_to_end(stateful.request_budget(events, "user_id", "address", window_seconds=WEEK), "budget")
 
 
 @query(
@@ -63,5 +80,6 @@ def l3(spark, sf):
         F.concat(F.lit("change-"), F.col("user_id").cast("string")).alias("change_id"),
         F.col("event_id").alias("sequence"),
         F.expr(STATUS).alias("status"),
+        "ts",
     )
-    return windows.run_to_end(stateful.transition_check(records), "transitions")
+    return windows.run_timed_to_end(records, stateful.transition_check, "transitions")
