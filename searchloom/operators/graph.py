@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,65 +31,138 @@ def inbound_counts(pages: DataFrame, graph: DataFrame) -> DataFrame:
     return pages.select("site_id", "url").join(counts, ["site_id", "url"], "left").fillna(0, ["inbound"])
 
 
-def click_depth(graph: DataFrame, roots: DataFrame) -> DataFrame:
+def click_depth(graph: DataFrame, roots: DataFrame, buckets: int | None = None) -> DataFrame:
     """Shortest click distance from each site's root, by frontier rounds until no page is new.
 
-    All sites advance together. Each round is appended as one partition of a table in the shared folder, so plans stay short and a
-    lost executor repeats one round; the next round reads that partition alone as its frontier.
+    All sites advance together. Edges lie in buckets by their source and visited pages in buckets by their URL, so a round moves neither: edges are
+    followed where the newest pages lie, the pages found travel once to their buckets, and what was visited before is taken out there. Each
+    round is appended to a table in the shared folder; a lost executor repeats one round.
     """
     spark = graph.sparkSession
-    edges = cut_lineage(graph.select("site_id", "source", "target"), "graph")
-    path = scratch_path(spark, "depth")
-    frontier = roots.select("site_id", "url").distinct()
-    schema, row = "site_id string, url string, depth int", "site_id string, url string"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"depth_{uuid.uuid4().hex}"
+
+    folder = scratch_path(spark, "depth")
+    edges_table, pages_table = f"{name}_edges", f"{name}_pages"
+
+    def keep(df: DataFrame, table: str, column: str, mode: str = "error") -> None:
+        df.write.mode(mode).bucketBy(n, "site_id", column).option("path", f"{folder}/{table}").saveAsTable(table)
+
+    keep(graph.select("site_id", "source", "target").repartition(n, "site_id", "source"), edges_table, "source")
+    keep(roots.select("site_id", "url").repartition(n, "site_id", "url").distinct().withColumn("depth", F.lit(0)), pages_table, "url")
     depth = 0
     while True:
-        frontier.write.parquet(f"{path}/depth={depth}")
-        newest = spark.read.schema(row).parquet(f"{path}/depth={depth}")
-        if newest.isEmpty():
-            return spark.read.schema(schema).parquet(path)
-        visited = spark.read.schema(schema).parquet(path).select("site_id", "url")
-        step = edges.join(newest.withColumnRenamed("url", "source"), ["site_id", "source"])
-        found = step.select("site_id", F.col("target").alias("url")).distinct()
-        frontier = found.join(visited, ["site_id", "url"], "left_anti")
+        visited = spark.table(pages_table)
+        # the bucketed table is scanned in place for both: the newest pages, and all of them
+        newest = visited.filter(F.col("depth") == depth).select("site_id", F.col("url").alias("source"))
+        found = spark.table(edges_table).join(newest, ["site_id", "source"]).select("site_id", F.col("target").alias("url"))
+        fresh = next_pages(found, visited, n).withColumn("depth", F.lit(depth + 1))
+        keep(fresh, pages_table, "url", "append")
+        spark.catalog.refreshTable(pages_table)
         depth += 1
+        if spark.table(pages_table).filter(F.col("depth") == depth).isEmpty():
+            break
+    spark.sql(f"DROP TABLE {edges_table}")
+    out = spark.read.schema("site_id string, url string, depth int").parquet(f"{folder}/{pages_table}")
+    spark.sql(f"DROP TABLE {pages_table}")
+    return out
 
 
-def resolve_redirects(redirects: DataFrame, max_hops: int = MAX_REDIRECTS) -> DataFrame:
-    """Follow each URL's redirect to its end or until it returns to itself, however long the chain.
+def next_pages(found: DataFrame, visited: DataFrame, buckets: int) -> DataFrame:
+    """Distinct pages of ``found`` that were not ``visited``, in the visited table's buckets."""
+    return found.repartition(buckets, "site_id", "url").distinct().join(visited.select("site_id", "url"), ["site_id", "url"], "left_anti")
 
-    ``redirects``: ``url, location`` with one row per url. ``hops`` and ``final_url`` are those of the whole chain; ``state`` is
-    ``loop``, ``too_long`` for an ending chain of more than ``max_hops``, or ``resolved``. Rounds are equi-joins on the current
-    location. A round rewrites only the chains still open; closed ones are appended once.
+
+def follow(hops: DataFrame) -> DataFrame:
+    """``url, at, hops, closed``: where each row of ``hops`` (``url, next``) leads to, by pointer doubling.
+
+    A round sends every row on to where its target's row has come, so a chain of n hops takes about log2 n rounds. ``closed`` rows ended at
+    a URL without a row of its own; when a round closes no further row the others lead into a circle.
     """
-    spark = redirects.sparkSession
-    hop = redirects.select(F.col("url").alias("at"), F.col("location").alias("next"))
-    walk = redirects.select(
-        "url", F.col("location").alias("at"), F.array("url", "location").alias("path"), F.lit(1).alias("hops")
-    ).withColumn("state", F.when(F.col("url") == F.col("at"), F.lit("loop")).otherwise(F.lit("open")))
-    folder, schema = scratch_path(spark, "redirects"), walk.schema
-    turn = 0
+    walk = cut_lineage(hops.select("url", F.col("next").alias("at"), F.lit(1).cast("bigint").alias("hops"), F.lit(False).alias("closed")), "redirects")
+    left = None
+    while left != (left := walk.filter("NOT closed").count()) and left:
+        on = walk.select(F.col("url").alias("_from"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("closed").alias("_closed"))
+        moved = walk.join(on, walk["at"] == on["_from"], "left")
+        step = ~F.col("closed") & F.col("_from").isNotNull()
+        walk = cut_lineage(
+            moved.select(
+                "url",
+                F.when(step, F.col("_at")).otherwise(F.col("at")).alias("at"),
+                (F.col("hops") + F.when(step, F.col("_hops")).otherwise(0)).alias("hops"),
+                (F.col("closed") | F.col("_from").isNull() | F.coalesce("_closed", F.lit(False))).alias("closed"),
+            ),
+            "redirects",
+        )
+    return walk
+
+
+def _circles(hops: DataFrame) -> DataFrame:
+    """``url, length`` of the URLs on circles of ``hops``, all of whose rows lead into circles.
+
+    Doubling keeps the smallest URL met on the way. A URL that is the smallest of those it met itself has come round: it marks its circle. The
+    circle's other URLs are those its mark meets, found by the same jumps.
+    """
+    jumps = [cut_lineage(hops.select("url", F.col("next").alias("at"), F.col("next").alias("low")), "circles")]
     while True:
-        walk.write.parquet(f"{folder}/round={turn}")
-        walk = spark.read.schema(schema).parquet(f"{folder}/round={turn}").filter("state = 'open'")
-        if walk.isEmpty():
+        last = jumps[-1]
+        marks = last.filter(F.col("low") == F.col("url")).select("url")
+        # a row is done when the jump leads to a row whose smallest URL is a mark
+        smallest = last.select(F.col("url").alias("at"), F.col("low").alias("mark"))
+        ahead = last.select("url", "at").join(smallest, "at")
+        if ahead.join(marks.select(F.col("url").alias("mark")), "mark", "left_anti").isEmpty():
             break
-        moved = walk.join(hop, "at", "left")
-        going = F.col("next").isNotNull()
-        again = F.array_contains("path", F.col("next"))
-        walk = moved.select(
-            "url",
-            F.coalesce("next", "at").alias("at"),
-            F.when(going, F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
-            (F.col("hops") + going.cast("int")).alias("hops"),
-            F.when(~going, F.lit("resolved")).when(again, F.lit("loop")).otherwise(F.lit("open")).alias("state"),
-        )
-        turn += 1
-    closed = spark.read.schema(schema).parquet(folder).filter("state <> 'open'")
-    long = (F.col("state") == "resolved") & (F.col("hops") > max_hops)
-    return closed.select(
-        "url", F.col("at").alias("final_url"), "path", "hops", F.when(long, F.lit("too_long")).otherwise(F.col("state")).alias("state")
-    )
+        on = last.select(F.col("url").alias("_from"), F.col("at").alias("_at"), F.col("low").alias("_low"))
+        joined = last.join(on, F.col("at") == F.col("_from"))
+        jumps.append(cut_lineage(joined.select("url", F.col("_at").alias("at"), F.least("low", "_low").alias("low")), "circles"))
+    reached = cut_lineage(marks.select("url", F.col("url").alias("mark")), "circles")
+    for jump in jumps:
+        there = reached.join(jump.select("url", "at"), "url").select(F.col("at").alias("url"), "mark")
+        reached = cut_lineage(reached.unionByName(there).distinct(), "circles")
+    length = reached.groupBy("mark").agg(F.count("*").alias("length"))
+    return reached.join(length, "mark").select("url", "length")
+
+
+def resolve_redirects(redirects: DataFrame, max_hops: int = MAX_REDIRECTS) -> DataFrame:
+    """Follow each URL's redirect to its end or until it returns to a URL met before, however long the chain.
+
+    ``redirects``: ``url, location`` with one row per url. ``hops`` and ``final_url`` are those of the whole chain; ``state`` is
+    ``loop``, ``too_long`` for an ending chain of more than ``max_hops``, or ``resolved``. A chain that runs into a circle ends where it enters
+    it, after once around. Rounds are equi-joins and their number is logarithmic in the longest chain; rows carry no paths (see
+    ``redirect_paths``).
+    """
+    hops = cut_lineage(redirects.select("url", F.col("location").alias("next")), "redirects")
+    walk = follow(hops)
+    long = F.when(F.col("hops") > max_hops, F.lit("too_long")).otherwise(F.lit("resolved"))
+    out = walk.filter("closed").select("url", F.col("at").alias("final_url"), F.col("hops").cast("int").alias("hops"), long.alias("state"))
+    rest = walk.filter("NOT closed").select("url")
+    if rest.isEmpty():
+        return out
+    open_hops = cut_lineage(hops.join(rest, "url", "left_semi"), "redirects")
+    circles = cut_lineage(_circles(open_hops), "circles")
+    on_circle = circles.select("url", F.col("url").alias("final_url"), F.col("length").alias("hops"))
+    # the rows before a circle end at its first URL they meet
+    before = follow(open_hops.join(circles, "url", "left_anti"))
+    entered = before.join(circles.select(F.col("url").alias("at"), "length"), "at").select("url", F.col("at").alias("final_url"), (F.col("hops") + F.col("length")).alias("hops"))
+    looped = on_circle.unionByName(entered).select("url", "final_url", F.col("hops").cast("int").alias("hops"), F.lit("loop").alias("state"))
+    return out.unionByName(looped)
+
+
+def redirect_paths(redirects: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``url, step, at`` of the chains in ``resolved`` (``url, hops``), from step 0, the URL itself, to its last hop.
+
+    Meant for the chains a report shows: a row per hop, found by doubling jumps, never one list per chain.
+    """
+    most = resolved.agg(F.max("hops")).first()[0]
+    steps = resolved.select("url", "hops", F.lit(0).alias("step"), F.col("url").alias("at"))
+    jump, length = cut_lineage(redirects.select("url", F.col("location").alias("next")), "paths"), 1
+    while most is not None and length <= most:
+        go = jump.select(F.col("url").alias("at"), "next")
+        there = steps.join(go, "at").select("url", "hops", (F.col("step") + length).alias("step"), F.col("next").alias("at"))
+        steps = cut_lineage(steps.unionByName(there.filter("step <= hops")), "paths")
+        doubled = jump.join(jump.select(F.col("url").alias("next"), F.col("next").alias("_on")), "next")
+        jump, length = cut_lineage(doubled.select("url", F.col("_on").alias("next")), "paths"), 2 * length
+    return steps.select("url", "step", "at")
 
 
 def match_routes(wanted: DataFrame, known: DataFrame) -> DataFrame:

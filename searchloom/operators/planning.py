@@ -108,10 +108,11 @@ def domain_gap(links: DataFrame, ours: Column, min_competitors: int) -> DataFram
     return per.filter((F.col("competitors") >= min_competitors) & ~F.col("links_to_us")).drop("links_to_us")
 
 
-def parameter_inventory(pages: DataFrame) -> DataFrame:
+def parameter_inventory(pages: DataFrame, reach: DataFrame | None = None) -> DataFrame:
     """URLs of one path with the same parameters in another order, and empty or repeated parameters.
 
-    ``pages``: ``site_id, url``.
+    ``pages``: ``site_id, url``. With ``reach`` (``site_id, url, inbound, depth``) each group also has the links into its spellings and the
+    smallest click depth of one of them; NULL where none is reached.
     """
     u = F.col("url")
     pairs = F.filter(F.split(urls.query_string(u), "&"), lambda p: p != "")
@@ -125,9 +126,13 @@ def parameter_inventory(pages: DataFrame) -> DataFrame:
         F.exists("pairs", lambda p: ~p.contains("=") | p.endswith("=")).alias("empty_value"),
         (F.size(F.array_distinct("names")) < F.size("names")).alias("repeated_name"),
     )
-    return keyed.groupBy("site_id", "path", "parameters").agg(
-        F.countDistinct("url").alias("spellings"), F.bool_or("empty_value").alias("empty_value"), F.bool_or("repeated_name").alias("repeated_name")
-    )
+    # one row a spelling first: the counts of links then meet each once
+    spelled = keyed.groupBy("site_id", "path", "parameters", "url").agg(F.bool_or("empty_value").alias("empty_value"), F.bool_or("repeated_name").alias("repeated_name"))
+    counts = [F.count("*").alias("spellings"), F.bool_or("empty_value").alias("empty_value"), F.bool_or("repeated_name").alias("repeated_name")]
+    if reach is not None:
+        spelled = spelled.join(reach.select("site_id", "url", "inbound", "depth"), ["site_id", "url"], "left")
+        counts += [F.coalesce(F.sum("inbound"), F.lit(0)).alias("inbound"), F.min("depth").alias("depth")]
+    return spelled.groupBy("site_id", "path", "parameters").agg(*counts)
 
 
 def parameter_share(pages: DataFrame) -> DataFrame:

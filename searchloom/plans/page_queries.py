@@ -375,4 +375,4 @@ def h16(spark, sf):
     FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY hops DESC) AS k FROM w) t WHERE k = 1""",
 )
 def h17(spark, sf):
-    return graph.resolve_redirects(load_view(spark, sf, "redirects")).drop("path")
+    return graph.resolve_redirects(load_view(spark, sf, "redirects"))

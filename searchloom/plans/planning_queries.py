@@ -8,6 +8,7 @@ from searchloom.plans.compare_queries import LABELLED, _labelled
 from searchloom.plans.page_queries import EDGES, FACTS, SITEMAP, facts, sitemap_docs
 from searchloom.plans.registry import query
 from searchloom.plans.tables import load_view, with_views
+from searchloom.session import cut_lineage
 
 LIMITS = " ".join(
     f"WHEN metric = '{m}' THEN CASE WHEN p <= {a} THEN 'good' WHEN p <= {b} THEN 'needs-improvement' ELSE 'poor' END"
@@ -83,16 +84,28 @@ PAIRS = r"list_filter(string_split(regexp_extract(url, '[?](.*)$', 1), '&'), lam
 
 @query(
     "k5_parameter_inventory",
-    with_views("faceted_urls")
+    with_views(
+        "faceted_urls", "faceted_links", recursive=True,
+        extra="""e AS (SELECT * FROM faceted_links WHERE source <> target AND target IN (SELECT url FROM faceted_urls f WHERE f.site_id = faceted_links.site_id)
+        AND source IN (SELECT url FROM faceted_urls f WHERE f.site_id = faceted_links.site_id)),
+      walk(site_id, url, depth) AS (SELECT DISTINCT site_id, 'https://shop.example.com/list', 0 FROM faceted_urls
+        UNION SELECT e.site_id, e.target, w.depth + 1 FROM walk w JOIN e ON e.site_id = w.site_id AND e.source = w.url WHERE w.depth < 12),
+      reach AS (SELECT u.site_id, u.url, coalesce(i.inbound, 0) AS inbound, d.depth FROM (SELECT DISTINCT site_id, url FROM faceted_urls) u
+        LEFT JOIN (SELECT site_id, target AS url, count(*) AS inbound FROM e GROUP BY ALL) i USING (site_id, url) LEFT JOIN (SELECT site_id, url, min(depth) AS depth FROM walk GROUP BY ALL) d USING (site_id, url))""",
+    )
     + f"""SELECT i.*, urls, parameter_urls, {q.r10("parameter_urls / urls")} AS parameter_share FROM (
-      SELECT site_id, path, parameters, count(DISTINCT url) AS spellings, bool_or(empty_value) AS empty_value, bool_or(repeated_name) AS repeated_name FROM (
-        SELECT site_id, url, '/list' AS path, array_to_string(list_sort(pairs), '&') AS parameters, len(list_filter(pairs, lambda p: suffix(p, '=') OR NOT contains(p, '='))) > 0 AS empty_value,
-          len(list_distinct(list_transform(pairs, lambda p: string_split(p, '=')[1]))) < len(pairs) AS repeated_name FROM (SELECT *, {PAIRS} AS pairs FROM faceted_urls) a WHERE len(pairs) > 0) b GROUP BY ALL) i
+      SELECT site_id, path, parameters, count(*) AS spellings, bool_or(empty_value) AS empty_value, bool_or(repeated_name) AS repeated_name, sum(inbound)::BIGINT AS inbound, min(depth)::INT AS depth FROM (
+        SELECT site_id, url, inbound, depth, '/list' AS path, array_to_string(list_sort(pairs), '&') AS parameters, len(list_filter(pairs, lambda p: suffix(p, '=') OR NOT contains(p, '='))) > 0 AS empty_value,
+          len(list_distinct(list_transform(pairs, lambda p: string_split(p, '=')[1]))) < len(pairs) AS repeated_name FROM (SELECT *, {PAIRS} AS pairs FROM reach) a WHERE len(pairs) > 0) b GROUP BY site_id, path, parameters) i
     JOIN (SELECT site_id, count(*) AS urls, count(*) FILTER (contains(url, '?')) AS parameter_urls FROM faceted_urls GROUP BY ALL) s USING (site_id)""",
 )
 def k5(spark, sf):
     listed = load_view(spark, sf, "faceted_urls")
-    return planning.parameter_inventory(listed).join(planning.parameter_share(listed), "site_id")
+    known = listed.distinct()
+    links = cut_lineage(graph.page_graph(known, load_view(spark, sf, "faceted_links")), "faceted-links")
+    depth = graph.click_depth(links, known.select("site_id").distinct().withColumn("url", F.lit("https://shop.example.com/list")))
+    reach = graph.inbound_counts(known, links).join(depth, ["site_id", "url"], "left")
+    return planning.parameter_inventory(listed, reach).join(planning.parameter_share(listed), "site_id")
 
 
 ENDS = """w(url, at_url, path, hops, state) AS (SELECT url, location, [url, location], 1, CASE WHEN url = location THEN 'loop' ELSE 'open' END FROM redirects

@@ -618,6 +618,17 @@ SELECT 'site-' || (o_custkey % 11) AS site_id, 'https://shop.example.com/list' |
   WHEN 4 THEN '?a=1&a=' || (o_custkey % 50) ELSE '?page=' || (o_custkey % 50) END AS url FROM orders
 """,
 )
+# Orders of one customer follow each other as clicks; every ninth begins at the site's start page.
+view(
+    "faceted_links",
+    """
+SELECT DISTINCT site_id, CASE WHEN before IS NULL OR o_orderkey % 9 = 0 THEN 'https://shop.example.com/list' ELSE before END AS source, url AS target FROM (
+  SELECT *, lag(url) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM (
+    SELECT o_custkey, o_orderkey, 'site-' || (o_custkey % 11) AS site_id, 'https://shop.example.com/list' || CASE o_orderkey % 6
+      WHEN 0 THEN '' WHEN 1 THEN '?a=' || (o_custkey % 50) || '&b=1' WHEN 2 THEN '?b=1&a=' || (o_custkey % 50) WHEN 3 THEN '?a=&b=1'
+      WHEN 4 THEN '?a=1&a=' || (o_custkey % 50) ELSE '?page=' || (o_custkey % 50) END AS url FROM orders) a) b
+""",
+)
 view(
     "paid_terms",
     "SELECT CASE o_orderkey % 3 WHEN 0 THEN ' Supplier  ' WHEN 1 THEN 'SUPPLIER ' ELSE 'supplier ' END || (o_custkey % 70) AS query, CAST(o_orderkey % 9 AS DOUBLE) AS paid_clicks, floor(o_totalprice / 1000) * 1.0E0 AS cost FROM orders",
