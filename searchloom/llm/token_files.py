@@ -11,17 +11,19 @@ Format, one shard per partition of the range-partitioned, sorted documents, in o
 A document's global start is its shard's base plus its offset, so no shard needs rewriting. A task writes under a name of
 its own and hands the name on; a task that runs twice leaves a file nobody refers to.
 
-Defined results: a null text is an empty one and holds the end id alone; null ids come first; repeated rows are
-written one by one, ordered by their text; an empty table gives no shard and no row.
+Defined results: a null text is an empty one and holds the end id alone; an id that is no whole number counts as null; null ids come first; repeated rows are
+written one by one, those of one id in the order of their text's hash; an empty table gives no shard and no row.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import accumulate
 
 import numpy as np
@@ -42,8 +44,8 @@ _ODD = re.compile(f"[{_RARE}]")
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 # marks at a word's end that are always a piece of their own behind a letter or digit
 _TAIL = ".,;:!?"
-# words that one Python worker remembers for good, about 200 bytes each: workers live on, so this stays out of the other stages' memory
-MEMO = 300_000
+# words and parts of words that one Python worker remembers for good, about 200 bytes each: workers live on, so this stays in the other stages' memory
+MEMO = 400_000
 
 
 class Encoder:
@@ -91,14 +93,16 @@ class Encoder:
                 own.append(values)
             found.append(own)
         for places, memo, blank in ((missing[0], self.first, ""), (missing[1], self.later, " ")):
-            new = {word for _, _, word in places}
-            self._learn(new, memo, blank)
+            full, before = len(self.first) + len(self.later) >= MEMO, len(self.first)
+            known = self._learn({word for _, _, word in places}, memo, blank)
             for values, i, word in places:
                 values[i] = memo[word]
-            # what comes early comes often: a full memory keeps that and forgets the words of this batch
-            if len(memo) > MEMO:
-                for word in new:
+            # what comes early comes often: a full memory keeps that and forgets all that this batch brought
+            if full:
+                for word in known:
                     memo.pop(word, None)
+                while len(self.first) > before:
+                    self.first.popitem()
         feed = self.line.tobytes()
         return [
             self._ids(text).tobytes() if lines is None else feed.join([b"".join(values) for values in lines]) for text, lines in zip(texts, found)
@@ -114,17 +118,21 @@ class Encoder:
         lines = [line.split(" ") for line in text.split("\n")]
         return [(words[:1], words[1:]) for words in lines]
 
-    def _learn(self, words: set[str], memo: dict[str, bytes], blank: str) -> None:
+    def _learn(self, words: set[str], memo: dict[str, bytes], blank: str) -> set[str]:
+        """Puts ``words``, and what they begin with, into ``memo``; returns what is new there."""
         cores = {}
         for word in words:
             core = word.rstrip(_TAIL)
             cores[word] = core if core and core[-1].isalnum() else word
-        memo.update(self._encoded({c for c in cores.values() if c not in memo}, blank))
+        new = {c for c in cores.values() if c not in memo}
+        memo.update(self._encoded(new, blank))
         tails = {word[len(core) :] for word, core in cores.items() if len(core) < len(word)}
         self.first.update(self._encoded({t for t in tails if t not in self.first}, ""))
         for word, core in cores.items():
             if len(core) < len(word):
                 memo[word] = memo[core] + self.first[word[len(core) :]]
+        new.update(words)
+        return new
 
     def _encoded(self, words: set[str], blank: str) -> dict[str, bytes]:
         """Ids of words after ``blank``; words that are white space or hold a line feed are encoded one by one."""
@@ -144,6 +152,18 @@ class Encoder:
         return out
 
 
+@contextmanager
+def _without_cycles() -> Iterator[None]:
+    """No search for reference cycles meanwhile: many lists of many words are made and dropped here, and none has a cycle."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -161,7 +181,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, doc
     # a null id would make pandas read all ids as floats, which large ids do not survive
     number = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID))
     rows = docs.select(number.alias("doc_id"), F.col(f"`{text}`").cast("string").alias("body"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
+    # the text's hash parts the rows of one id, or of none, over shards
+    ordered = rows.withColumn("_hash", F.xxhash64("body")).repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "body").drop("_hash")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
@@ -170,7 +191,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, doc
         end = np.array([end_id], enc.kind).tobytes()
         store.create_dir(base, recursive=True)
         offsets, ids, at = [np.zeros(1, "<u8")], [], 0
-        with store.open_output_stream(f"{base}/{name}.ids") as out:
+        with store.open_output_stream(f"{base}/{name}.ids") as out, _without_cycles():
             for frame in batches:
                 for low in range(0, len(frame), 256):
                     part = frame.iloc[low : low + 256]

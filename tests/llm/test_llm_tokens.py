@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from llm_data import ODD, empty, odd
 from tokenizers import Tokenizer
 
@@ -11,9 +12,15 @@ from searchloom.llm.queries import QUERIES
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def text_hash(text):
+    """The 64-bit hash that orders rows of one id; a null text has the seed."""
+    value = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def naive(pairs):
     tokenizer, out, start = Tokenizer.from_file(PATH), [], 0
-    for doc_id, text in sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, p[1] is not None, p[1] or "")):
+    for doc_id, text in sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, text_hash(p[1]), p[1] or "")):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
