@@ -48,6 +48,8 @@ SKETCH, FAR = 128, 32
 DIRECT, FEW = 2048, 16
 # bits within which members of a crowded bucket are taken for their centre
 NEAR = 4
+# rows of two numbers that are sent to all tasks, some 30 MB there; larger tables meet the texts by a shuffle
+SENT = 500_000
 # nodes and bytes of text in a chunk of a group
 CHUNK_NODES, CHUNK_BYTES = 512, 8 << 20
 
@@ -290,13 +292,18 @@ def _cells(rows: DataFrame, similar: float) -> DataFrame:
     return cut.mapInPandas(compared(similar), "a bigint, b bigint")
 
 
+def sent(small: DataFrame) -> DataFrame:
+    """A written table of few columns, to be sent to all tasks where it is small enough."""
+    return F.broadcast(small) if small.count() <= SENT else small
+
+
 def links(nodes: DataFrame, bodies: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Verified links (``a`` < ``b``) whose transitive closure joins all ``nodes`` of a candidate group that are ``similar``.
 
     ``bodies`` has ``node``, ``own`` and ``body`` of every row; of a node's rows those with its smallest id give the text.
     """
     groups = cut_lineage(candidate_groups(nodes).join(nodes.select("node", "own"), "node"), "llm-near-groups")
-    asked = groups.select("root", F.col("node").alias("_node"), F.col("own").alias("_own"))
+    asked = sent(groups).select("root", F.col("node").alias("_node"), F.col("own").alias("_own"))
     found = bodies.join(asked, (F.col("node") == F.col("_node")) & F.col("own").eqNullSafe(F.col("_own")))
     texts = cut_lineage(found.groupBy("root", "node").agg(F.first("body").alias("body")), "llm-near-texts")
     sizes = texts.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.octet_length("body")).alias("bytes"), F.min("node").alias("centre"))
@@ -336,5 +343,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
     best = named.groupBy("root").agg(F.min(F.struct(F.col("own").isNull().alias("none"), F.col("own").alias("own"), F.col("node").alias("node"))).alias("b"))
     chosen = cut_lineage(best.select(F.col("b.node").alias("_node"), F.col("b.own").alias("_own")), "llm-near-chosen")
     rows = packed(docs, own, node_of(body).alias("node"))
-    joined = rows.join(chosen, (F.col("node") == F.col("_node")) & F.col("own").eqNullSafe(F.col("_own")), "left_semi")
-    return unpacked(joined.groupBy("own", "node").agg(F.first("_row").alias("_row")), docs.columns)
+    mine = (F.col("node") == F.col("_node")) & F.col("own").eqNullSafe(F.col("_own"))
+    kept = rows.join(sent(chosen), mine, "left_semi")
+    # only ids that repeat with one text have rows to choose from
+    twice = docs.select(own, node_of(body).alias("node")).groupBy("own", "node").agg(F.count("*").alias("n")).where("n > 1")
+    twice = cut_lineage(twice.select(F.col("node").alias("_node"), F.col("own").alias("_own")), "llm-near-repeated")
+    if twice.isEmpty():
+        return unpacked(kept, docs.columns)
+    single = kept.join(sent(twice), mine, "left_anti").select("_row")
+    several = kept.join(sent(twice), mine, "left_semi").groupBy("own", "node").agg(F.first("_row").alias("_row")).select("_row")
+    return unpacked(single.unionByName(several), docs.columns)
