@@ -258,9 +258,10 @@ def h11(spark, sf):
     roots = documents.filter(F.col("doc_url").endswith("/sitemap.xml"))
     found, errors = sitemaps.reachable_documents(documents, roots)
     kind = F.when(F.col("kind") == "sitemapindex", F.col("kind")).otherwise(F.lit("urlset"))
-    return found.select(
-        "site_id", "doc_url", kind.alias("kind"), F.coalesce("error", F.lit("")).alias("error"), F.size("locs").alias("locations")
-    ).unionByName(errors.select("site_id", "doc_url", F.lit("child").alias("kind"), "error", F.lit(0).alias("locations")))
+    counted = found.groupBy("site_id", "doc_url").agg(
+        F.max(kind).alias("kind"), F.coalesce(F.max("error"), F.lit("")).alias("error"), F.count("loc").cast("int").alias("locations")
+    )
+    return counted.unionByName(errors.select("site_id", "doc_url", F.lit("child").alias("kind"), "error", F.lit(0).alias("locations")))
 
 
 @query(

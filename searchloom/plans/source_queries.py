@@ -299,17 +299,23 @@ def a16(spark, sf):
         ELSE '/logo.png' END AS path FROM pages) t""",
 )
 def a20(spark, sf):
-    tree = table(spark, sf, "pages").select(
-        F.expr(
-            "concat('d', page_id, CASE page_id % 3 WHEN 0 THEN '/index.html' WHEN 1 THEN '/about.html' ELSE '/logo.png' END)"
-        ).alias("path")
-    )
+    """Pages written as a tree of HTML files and assets, and the tree scanned."""
+    tree = files.scan_tree(spark, _site_tree(spark, sf))
     return files.tree_urls(tree, F.lit("https://site.example.com")).select("path", "kind", "url")
 
 
-@query("a21_source_digest", "SELECT page_id, sha256(html) AS sha256 FROM pages")
+def _site_tree(spark, sf):
+    name = F.expr("concat('d', page_id, CASE page_id % 3 WHEN 0 THEN '/index.html' WHEN 1 THEN '/about.html' ELSE '/logo.png' END)")
+    root = scratch_path(spark, "site-tree")
+    files.write_tree(table(spark, sf, "pages").select(name.alias("path"), F.col("html").cast("binary").alias("content")), root)
+    return root
+
+
+@query("a21_source_digest", "SELECT page_id, octet_length(encode(html))::BIGINT AS length, sha256(html) AS sha256 FROM pages")
 def a21(spark, sf):
-    return files.with_digest(table(spark, sf, "pages"), "html").select("page_id", "sha256")
+    """Digest of every file of the tree, read back from the files."""
+    page = F.regexp_extract("path", "^d([0-9]+)/", 1).cast("bigint")
+    return files.scan_tree(spark, _site_tree(spark, sf)).select(page.alias("page_id"), "length", "sha256")
 
 
 @query(
@@ -324,5 +330,9 @@ def a22(spark, sf):
         .agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
     )
     path = scratch_path(spark, "report")
+    # a run for some properties, then one for all: the first ones are found unchanged, the others are added
+    some = report.filter("property_id < 'property-3'")
+    files.write_report(some, path, ["property_id"])
     files.write_report(report, path, ["property_id"])
+    files.write_report(some, path, ["property_id"])
     return spark.read.schema(report.schema).json(path)

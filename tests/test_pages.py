@@ -120,12 +120,46 @@ def test_deep_sitemap_indexes_and_long_chains_are_followed_to_the_end(spark):
     docs = [index(i, f"{SITE}/s{i + 1}.xml") for i in range(25)] + [(SITE, f"{SITE}/s25.xml", f"<urlset><url><loc>{SITE}/p</loc></url></urlset>")]
     frame = spark.createDataFrame(docs, "site_id string, doc_url string, xml string")
     found, errors = sitemaps.reachable_documents(frame, spark.createDataFrame([(SITE, f"{SITE}/s0.xml")], "site_id string, doc_url string"))
-    assert found.count() == 26 and errors.count() == 0 and sitemaps.sitemap_locations(found).count() == 1
+    assert found.filter("loc IS NULL").count() == 26 and errors.count() == 0 and sitemaps.sitemap_locations(found).count() == 1
     chain = [(f"u{i}", f"u{i + 1}") for i in range(25)] + [("v0", "v1"), ("v1", "v2"), ("v2", "v1")]
     ends = {r.url: (r.final_url, r.hops, r.state) for r in graph.resolve_redirects(spark.createDataFrame(chain, "url string, location string")).collect()}
     assert ends["u0"] == ("u25", 25, "too_long") and ends["u24"] == ("u25", 1, "resolved") and ends["v0"][2] == "loop"
 
 
+def test_sitemap_rows_of_texts_and_files(spark, tmp_path):
+    entries = "".join(f"<url><loc>{SITE}/p{n}</loc><lastmod>2024-01-01</lastmod></url>" for n in range(12_000))
+    texts = {
+        "large.xml": f'<?xml version="1.0" encoding="ISO-8859-1"?>\n<urlset xmlns="http://x">{entries}</urlset>',
+        "prefixed.xml": f"<s:urlset xmlns:s='http://x' xmlns:i='http://y'><s:url><s:loc> {SITE}/a &amp;\n b </s:loc><i:image><i:loc>no</i:loc></i:image></s:url><s:url/></s:urlset>",
+        "index.xml": f"<sitemapindex><sitemap><loc>{SITE}/large.xml</loc></sitemap><url><loc>no</loc></url></sitemapindex>",
+        "late.xml": f"<urlset>{entries}<url></urlset>", "feed.xml": "<feed><url><loc>x</loc></url></feed>", "empty.xml": "", "é.xml": f"<urlset><url><loc>{SITE}/é漢</loc></url></urlset>",
+    }
+    frame = spark.createDataFrame([(SITE, name, text) for name, text in texts.items()] + [(SITE, "null.xml", None)], "site_id string, doc_url string, xml string")
+    rows = sitemaps.read_documents(frame)
+    heads = {r["doc_url"]: (r["kind"], r["error"]) for r in rows.filter("loc IS NULL").collect()}
+    assert heads == {
+        "large.xml": ("urlset", None), "prefixed.xml": ("urlset", None), "index.xml": ("sitemapindex", None), "late.xml": ("urlset", "not_well_formed"),
+        "feed.xml": ("feed", "unexpected_root:feed"), "empty.xml": ("", "not_well_formed"), "null.xml": ("", "not_well_formed"), "é.xml": ("urlset", None),
+    }
+    locs = {}
+    for r in rows.filter("loc IS NOT NULL").collect():
+        locs.setdefault(r["doc_url"], []).append(r["loc"])
+    assert set(locs) == {"large.xml", "prefixed.xml", "index.xml", "é.xml"} and len(set(locs["large.xml"])) == 12_000
+    assert locs["prefixed.xml"] == [f"{SITE}/a & b", ""] and locs["index.xml"] == [f"{SITE}/large.xml"] and locs["é.xml"] == [f"{SITE}/é漢"]
+    # the same from files, which are read in small splits
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        place = lambda df: df.withColumns({"site_id": F.lit(SITE), "doc_url": F.url_decode(F.element_at(F.split("file", "/"), -1))})
+        read = {tuple(r) for r in sitemaps.read_files(spark, str(tmp_path), place).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # an empty file has no piece and so no row
+    assert read == {tuple(r) for r in rows.collect() if r["doc_url"] not in ("null.xml", "empty.xml")}
+
+
 def test_content_only_in_the_rendered_page(spark, site):
     shell = spark.createDataFrame([(SITE, f"{SITE}/", "<html><body><div id='app'></div></body></html>")], "site_id string, url string, html string")
     source = pages.page_facts(shell.selectExpr("*", "CAST(NULL AS array<string>) AS x_robots_tag"))
