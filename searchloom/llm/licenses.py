@@ -1,21 +1,24 @@
 """License notices in text blocks by an exact set-similarity join with templates.
 
-A text block is a line; a paragraph (lines up to a blank one) for templates of more than ``WRAP`` distinct tokens; and for shorter
-ones, whose few tokens a long paragraph holds by chance (``mit`` is a German word), a run of consecutive words of a paragraph that goes
-over a line end. A run has at most the template's words and one more per line end, what may lead a line. A block matches a template where at least ``threshold`` of the template's distinct tokens are among the
+A text block is a line, or a run of consecutive words of a paragraph (lines up to one without a word) that goes over a line end. A run has at
+most as many words as the template, and one more for each line end in it, for what may lead a line. So a notice is met however
+it is broken over lines, and a long paragraph does not meet a short one by words that stand far apart. The rule is the
+same for all templates. A block matches a template where at least ``threshold`` of the template's distinct tokens are among the
 block's (containment). Tokens are ordered by their frequency in the corpus, rarest first. A match needs
 ceil(threshold x size) common tokens, so one of the template's first size - needed + 1 tokens must be in the block (prefix
 filter); the block must have as many tokens at all (length filter); and from a common prefix token on, enough tokens
-must be left on both sides (positional filter). What is left is counted exactly. Templates are a fixed bounded
-table and travel with the tasks; blocks never move.
+must be left on both sides (positional filter). Runs are looked for in paragraphs that pass these filters as a whole. What is
+left is counted exactly. Templates are a fixed bounded table and travel with the tasks; blocks never move.
 
 Defined results: null and empty texts have no word and no block; repeated rows are judged one by one; ties in token frequency are
-ordered by the token; an empty table gives an empty result.
+ordered by the token; texts are read whole, however long, in time that grows with their words; an empty table gives an empty result. Only the
+two named columns are read.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +30,6 @@ from pyspark.sql import types as T
 from searchloom.llm.text import LONG, STRING, plain_words, record
 
 THRESHOLD = 0.8
-# distinct tokens up to which a template is met by runs of words over line ends, not by whole paragraphs
-WRAP = 12
 
 # Phrases and the label each one gives.
 PHRASES = {
@@ -151,7 +152,7 @@ FOUND = record(
 
 
 def scan_text(text: str | None, templates: Templates, phrases: dict[str, str]) -> tuple:
-    """One value per field of ``FOUND``. ``blocks`` has the number of each matching line, or the first line of a matching run or paragraph."""
+    """One value per field of ``FOUND``. ``blocks`` has the number of each matching line, or the first line of a matching run."""
     words = plain_words(text)
     places = phrase_places(words, phrases)
     blocks = []
@@ -184,29 +185,33 @@ def wrapped(lines: list[str], templates: Templates) -> list[tuple[int, str, floa
             continue
         if 1 < len(held):
             # what a run of words holds, its paragraph holds as well
-            for i, c in templates.matches({w for words in held for w in words}).items():
-                if len(templates.tokens[i]) > WRAP:
-                    out.append((start, templates.labels[i], c))
-                else:
-                    out += [(start + at, templates.labels[i], c) for at, c in runs(held, templates, i)]
+            for i in templates.matches({w for words in held for w in words}):
+                out += [(start + at, templates.labels[i], c) for at, c in runs(held, templates, i)]
         held = []
     return out
 
 
 def runs(held: list[list[bytes]], templates: Templates, i: int) -> list[tuple[int, float]]:
-    """Lines in which runs of words over line ends begin that meet a short template, each with its best containment."""
+    """Lines in which runs over line ends begin that meet a template, each with its best containment.
+
+    A word costs one, the first of a line nothing, so costs rise along the paragraph and a run may go on as long as it costs less than the template
+    has words: the longest run of every start is found by moving both ends forward only.
+    """
     own, size = set(templates.tokens[i]), templates.words[i]
     flat = [(line, templates.rank.get(word)) for line, words in enumerate(held) for word in words]
-    places = [(at, line, token) for at, (line, token) in enumerate(flat) if token in own]
+    places = [(at - line, line, token) for at, (line, token) in enumerate(flat) if token in own]
     best: dict[int, int] = {}
-    for k, (at, line, token) in enumerate(places):
-        common = {token}
-        for end, last, other in places[k + 1 :]:
-            if end - at >= 2 * size:
-                break
-            common.add(other)
-            if last > line and end - at < size + last - line:
-                best[line] = max(best.get(line, 0), len(common))
+    inside: Counter[int] = Counter()
+    high = 0
+    for cost, line, token in places:
+        while high < len(places) and places[high][0] - cost < size:
+            inside[places[high][2]] += 1
+            high += 1
+        if places[high - 1][1] > line:
+            best[line] = max(best.get(line, 0), len(inside))
+        inside[token] -= 1
+        if not inside[token]:
+            del inside[token]
     return [(line, n / len(own)) for line, n in best.items() if n >= templates.needed[i]]
 
 

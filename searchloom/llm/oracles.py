@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from searchloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, WRAP
+from searchloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
 from searchloom.llm.mixing import WEIGHTS
 from searchloom.llm.sharding import ROUNDS, SEED, SHARDS
 from searchloom.llm.text import plain_words
@@ -69,7 +69,7 @@ SELECT u.page_id, host, path, fit.rule, coalesce(says, CASE WHEN EXISTS (SELECT
 FROM u LEFT JOIN fit USING (page_id) LEFT JOIN rules ON rules.rule = fit.rule"""
 
 _NOTICES = ", ".join(
-    f"({i}, '{label}', [{', '.join(repr(t.decode()) for t in sorted(set(plain_words(text))))}])" for i, (label, text) in enumerate(TEMPLATES)
+    f"({i}, '{label}', {len(plain_words(text))}, [{', '.join(repr(t.decode()) for t in sorted(set(plain_words(text))))}])" for i, (label, text) in enumerate(TEMPLATES)
 )
 _PLACES = " UNION ALL ".join(
     "SELECT doc_id, i - 1 AS place, '{0}' AS label FROM spots WHERE {1}".format(label, " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split())))
@@ -80,15 +80,20 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_plain("coalesce(text, '')")
 spots AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d),
 places AS ({_PLACES}),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, i, list_distinct({_plain("line")}) AS tokens FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d) x),
-notices(k, label, own) AS (VALUES {_NOTICES}),
+lines AS (SELECT doc_id, i, ws, list_distinct(ws) AS tokens FROM (SELECT doc_id, i, {_plain("line")} AS ws FROM (
+    SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d) x) y),
+notices(k, label, size, own) AS (VALUES {_NOTICES}),
 hit AS (SELECT doc_id, label, len(list_intersect(own, tokens)) / len(own)::DOUBLE AS share FROM lines, notices
   WHERE len(tokens) > 0 AND len(list_intersect(own, tokens)) >= ceil({THRESHOLD} * len(own) - 1e-9)),
-para AS (SELECT doc_id, list_distinct(flatten(list(tokens))) AS tokens FROM (
-    SELECT *, sum(CASE WHEN len(tokens) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM lines) x WHERE len(tokens) > 0 GROUP BY doc_id, part HAVING count(*) > 1),
-wide AS (SELECT doc_id, label, len(list_intersect(own, tokens)) / len(own)::DOUBLE AS share FROM para, notices
-  WHERE len(own) > {WRAP} AND len(list_intersect(own, tokens)) >= ceil({THRESHOLD} * len(own) - 1e-9)),
-found AS (SELECT * FROM hit UNION ALL SELECT * FROM wide WHERE (doc_id, label) NOT IN (SELECT doc_id, label FROM hit)),
+parts AS (SELECT doc_id, ws, part, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ln, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY i) - len(ws) AS before FROM (
+    SELECT *, sum(CASE WHEN len(tokens) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM lines) x WHERE len(tokens) > 0),
+likely AS (SELECT doc_id, part, k, label, size, own FROM (SELECT doc_id, part, list_distinct(flatten(list(ws))) AS tokens FROM parts GROUP BY doc_id, part HAVING count(*) > 1) p, notices
+  WHERE len(list_intersect(own, tokens)) >= ceil({THRESHOLD} * len(own) - 1e-9)),
+spot AS (SELECT l.*, ln, before + j AS pos, ws[j] AS token FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM parts) w JOIN likely l USING (doc_id, part) WHERE list_contains(own, ws[j])),
+runs AS (SELECT a.doc_id, a.label, count(DISTINCT b.token) / len(any_value(a.own))::DOUBLE AS share FROM spot a JOIN spot b ON a.doc_id = b.doc_id AND a.part = b.part AND a.k = b.k
+    AND b.pos >= a.pos AND (b.pos - b.ln) - (a.pos - a.ln) < a.size GROUP BY a.doc_id, a.part, a.k, a.label, a.pos
+  HAVING max(b.ln) > min(a.ln) AND count(DISTINCT b.token) >= ceil({THRESHOLD} * len(any_value(a.own)) - 1e-9)),
+found AS (SELECT * FROM hit UNION ALL SELECT * FROM runs),
 named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM found) x GROUP BY doc_id),
 based AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)

@@ -1,9 +1,11 @@
+import random
 import re
 
+import duckdb
 from llm_data import ODD, empty, odd
 
 from searchloom.llm import licenses
-from searchloom.llm.queries import QUERIES
+from searchloom.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -92,6 +94,12 @@ def test_templates_wrapped_at_every_word():
                 assert label in got["labels"].split(",") and got["score"] == 1.0, text
 
 
+def test_templates_with_strange_lines_between_all_words():
+    for label, notice in licenses.TEMPLATES:
+        got = scanned("Some words before\n" + "\nx\nx\n".join(notice.split()) + "\nand some after.")
+        assert label in got["labels"].split(",") and got["score"] == 1.0, label
+
+
 def test_short_templates_need_words_that_stand_together():
     apart = "Das ist mit.\nEiner im dem da.\nLicensed under the Apache License, Version 2.0"
     assert scanned(apart)["labels"] == "apache-2.0"
@@ -99,6 +107,29 @@ def test_short_templates_need_words_that_stand_together():
     assert scanned(far)["labels"] == "" and scanned("Licensed under CC\n\nBY-NC 4.0")["labels"] == ""
 
 
+def brute_runs(held, templates, i):
+    """Best containment per first line over every run of words that goes over a line end and is short enough."""
+    flat = [(line, word) for line, words in enumerate(held) for word in words]
+    own = {w for w, r in templates.rank.items() if r in templates.tokens[i]}
+    best = {}
+    for a in range(len(flat)):
+        for b in range(a + 1, len(flat)):
+            ends = flat[b][0] - flat[a][0]
+            if ends and b - a + 1 <= templates.words[i] + ends and flat[a][1] in own:
+                best[flat[a][0]] = max(best.get(flat[a][0], 0), len(own & {w for _, w in flat[a : b + 1]}) / len(own))
+    return {line: c for line, c in best.items() if c >= licenses.THRESHOLD - 1e-9}
+
+
+def test_runs_against_all_runs():
+    rng = random.Random(7)
+    ready = licenses.Templates.of([("a", "one two three two four five"), ("b", "six seven"), ("c", " ".join(f"w{k}" for k in range(20)))], {}, licenses.THRESHOLD)
+    pool = [w.encode() for w in ("one two three four five six seven x y z " + " ".join(f"w{k}" for k in range(20))).split()]
+    for _ in range(60):
+        held = [[rng.choice(pool[:10] if rng.random() < 0.7 else pool) for _ in range(rng.randrange(1, 6))] for _ in range(rng.randrange(2, 12))]
+        for i in range(3):
+            assert dict(licenses.runs(held, ready, i)) == brute_runs(held, ready, i)
+
+
 def test_lines_do_not_hide_what_several_lines_hold():
     got = scanned("Licensed under CC BY-NC 4\n0")
     assert [(b["line"], b["label"]) for b in got["blocks"]] == [(0, "cc-by-nc")] * 2 and got["score"] == 1.0
@@ -106,3 +137,20 @@ def test_lines_do_not_hide_what_several_lines_hold():
     words = notice.split()
     got = scanned(" ".join(words[:-2]) + "\n" + " ".join(words[-2:]))
     assert got["score"] == 1.0 and {b["containment"] for b in got["blocks"] if b["label"] == "bsd"} > {1.0}
+
+
+def test_sql_has_the_same_rule(spark):
+    short, long = "Licensed under CC BY-NC 4.0", next(t for label, t in licenses.TEMPLATES if label == "bsd")
+    texts = [
+        short.replace(" ", "\n"), short.replace(" ", "\nx\nx\n"), "Licensed under CC\n" + "many other words stand here\n" * 20 + "BY-NC 4.0", "Licensed under CC\n\nBY-NC 4.0",
+        "Licensed under CC BY-NC 4\n0", long.replace(" ", "\n"), long.replace(" ", " many strange words here ").replace("source", "source\n"), None, "", "mit\nlicense",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    found = con.execute(ORACLES["op9_license_scan"])
+    names = [d[0] for d in found.description]
+    want = sorted(tuple(r) for r in found.fetchall())
+    got = sorted((r["doc_id"], *[r["found"][n] for n in names[1:]]) for r in licenses.scan(frame).collect())
+    assert got == want and [bool(r[names.index("labels")]) for r in want] == [True, True, False, False, True, True, False, False, False, True]
