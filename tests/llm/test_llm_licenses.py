@@ -115,7 +115,7 @@ def brute_runs(held, templates, i):
     for a in range(len(flat)):
         for b in range(a + 1, len(flat)):
             ends = flat[b][0] - flat[a][0]
-            if ends and b - a + 1 <= templates.words[i] + ends and flat[a][1] in own:
+            if ends and b - a + 1 <= templates.words[i] + ends and {flat[a][1], flat[b][1]} <= own:
                 best[flat[a][0]] = max(best.get(flat[a][0], 0), len(own & {w for _, w in flat[a : b + 1]}) / len(own))
     return {line: c for line, c in best.items() if c >= licenses.THRESHOLD - 1e-9}
 
