@@ -132,6 +132,7 @@ def shingle_counts(texts: DataFrame, windows: Windows) -> dict[int, np.ndarray]:
     sums = {w: np.zeros(len(t), np.int64) for w, t in tables.items()}
     for r in counted.toLocalIterator():  # at most one row per shingle of the block
         sums[r["width"]][r["at"]] = r["n"]
+    sent.destroy()
     return sums
 
 
@@ -218,18 +219,35 @@ def _matcher(windows: Windows, index: dict[int, PrefixIndex]) -> Callable[[str |
 
 
 def hits(rows: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", size: int = 10, block: int = BLOCK) -> DataFrame:
-    """``rows`` (with a column ``body``, the text) and a column ``hits`` each block adds to:
+    """``rows`` (with a column ``body``, the text) and a column ``hits``:
 
-    an array, one entry per block, of ``n_words``, ``spans`` (word places, start and end in turn, of hit runs) and ``items``.
+    an array of ``n_words``, ``spans`` (word places, start and end in turn, of hit runs) and ``items``, one entry per block of windows; with several
+    blocks the first entry has the words only, and blocks without a hit have none. Several blocks are several passes over the written rows: a block's hits
+    are written before the next block is made, so the driver and the tasks hold one block at a time, however large the benchmark.
     """
-    texts = rows.select("body")
-    passes = []
-    for i, windows in enumerate(blocks_of(window_rows(benchmark, item_id, item_text, size), block)):
-        index = prefix_index(windows, shingle_counts(texts, windows))
+    texts, found = rows.select("body"), window_rows(benchmark, item_id, item_text, size)
+    if found.count() <= block:
+        windows = next(blocks_of(found, block))
+        sent = rows.sparkSession.sparkContext.broadcast((windows, prefix_index(windows, shingle_counts(texts, windows))))
+        return rows.withColumn("hits", F.array(_block_udf(sent)(F.col("body"))))
+    numbered = cut_lineage(rows.withColumn("_id", F.monotonically_increasing_id()), "llm-numbered")
+    written = None
+    for windows in blocks_of(found, block):
+        index = prefix_index(windows, shingle_counts(numbered.select("body"), windows))
         sent = rows.sparkSession.sparkContext.broadcast((windows, index))
-        passes.append(f"_block{i}")
-        rows = rows.withColumn(passes[-1], _block_udf(sent)(F.col("body")))
-    return rows.withColumn("hits", F.array(*passes)).drop(*passes)
+        own = numbered.select("_id", _block_udf(sent)(F.col("body")).alias("h")).where(F.size("h.items") > 0)
+        own = cut_lineage(own, "llm-block-hits")
+        sent.destroy()
+        written = own if written is None else written.unionByName(own)
+    merged = written.groupBy("_id").agg(F.collect_list("h").alias("_hits"))
+    whole = F.struct(word_counts("body").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    joined = numbered.join(merged, "_id", "left").withColumn("hits", F.concat(F.array(whole), F.coalesce("_hits", F.array().cast(merged.schema["_hits"].dataType))))
+    return joined.drop("_id", "_hits")
+
+
+@F.pandas_udf(LONG)
+def word_counts(bodies: pd.Series) -> pd.Series:
+    return pd.Series([len(plain_words(b)) for b in bodies], dtype="int64")
 
 
 def _block_udf(sent):
