@@ -200,16 +200,19 @@ def route(prompt: Column) -> Column:
 def text_sanity(texts: DataFrame) -> DataFrame:
     """Token statistics of each text and whether it looks like repeated keywords.
 
-    Counting is a grouped aggregation on (text, token), so a frequent token is combined before the
-    shuffle and no text's tokens are gathered in one list beyond its own row.
+    A row's tokens are sorted and its runs counted inside the row, so nothing is shuffled.
     """
-    tokens = texts.select(
-        "text_id", F.explode_outer(F.regexp_extract_all(F.lower(F.trim("text")), F.lit(TOKEN_PATTERN), F.lit(0))).alias("t")
-    )
-    per_token = tokens.groupBy("text_id", "t").agg(F.count("t").alias("n"))
-    stats = per_token.groupBy("text_id").agg(
-        F.sum("n").alias("tokens"), F.count("t").alias("distinct_tokens"), F.max("n").alias("top_count")
-    )
+    found = F.regexp_extract_all(F.lower(F.trim("text")), F.lit(TOKEN_PATTERN), F.lit(0))
+    rows = texts.select("text_id", F.array_sort(F.coalesce(found, F.array().cast("array<string>"))).alias("_t"))
+
+    def run(state: Column, token: Column) -> Column:
+        n = F.when(state["last"] == token, state["n"] + 1).otherwise(F.lit(1).cast("bigint"))
+        return F.struct(token.alias("last"), n.alias("n"), F.greatest(state["top"], n).alias("top"), (state["kinds"] + (n == 1).cast("bigint")).alias("kinds"))
+
+    none = F.lit(0).cast("bigint")
+    start = F.struct(F.lit(None).cast("string").alias("last"), none.alias("n"), none.alias("top"), none.alias("kinds"))
+    counted = rows.select("text_id", F.size("_t").cast("bigint").alias("tokens"), F.aggregate("_t", start, run).alias("_s"))
+    stats = counted.select("text_id", "tokens", F.col("_s.kinds").alias("distinct_tokens"), F.col("_s.top").alias("top_count"))
     stuffed = (F.col("tokens") >= 8) & (
         (F.col("top_count") / F.col("tokens") >= 0.5) | (F.col("distinct_tokens") / F.col("tokens") <= 0.2)
     )

@@ -26,6 +26,11 @@ RECOVERY_HYPOTHETICALS = (
     r"(?:如果|假如|一旦|万一|是否|假设).{0,48}(?:自然搜索|搜索|流量|点击|曝光|排名|收录|索引).{0,20}(?:下滑|下降|骤降|减少|丢失|异常)",
     r"\b(?:if|whether|suppose|assuming).{0,64}(?:traffic|clicks?|impressions?|rankings?|indexing).{0,24}(?:drop|declin|loss|issue|anomal)",
 )
+# One of these stands in every text that a pattern above cuts or RECOVERY meets; the second row holds Chinese words.
+RECOVERY_LITERALS = (
+    ("traffic", "click", "impression", "ranking", "index"),
+    ("搜索", "流量", "点击", "曝光", "排名", "收录", "索引", "下滑", "下降", "骤降", "暴跌", "锐减", "减少", "丢失", "异常"),
+)
 RECOVERY_OBSERVED = (
     r"(?:已|已经|当前|目前|最近|近期|过去|今年|去年|上月|本月|本周|开始|出现|发生|突然|骤然|以来|下降了|减少了|丢失了)",
     r"(?:骤降|暴跌|锐减|消失|掉出)",
@@ -83,15 +88,22 @@ def matches_any(text: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(_java(p)) for p in patterns])
 
 
+def recovery_possible(text: Column) -> Column:
+    """False for texts that hold none of the words every recovery pattern needs; nothing is cut from those either, so they have no signal."""
+    lowered = F.lower(text)
+    latin, chinese = (reduce(lambda a, b: a | b, [lowered.contains(w) for w in words]) for words in RECOVERY_LITERALS)
+    return latin | (text.rlike("[\u4e00-\u9fff]") & chinese)
+
+
 def recovery_signal(texts: DataFrame, text: str = "text") -> DataFrame:
     """``recovery``: an observed decline that is neither denied nor hypothetical.
 
-    The cleaned text is a staged column, so the seven removals run once per row.
+    Patterns meet only texts with a word that all of them need. The cleaned text is a staged column, so the seven removals run once per row.
     """
     cleaned = F.col(text)
     for pattern in (*RECOVERY_NEGATIONS, *RECOVERY_HYPOTHETICALS):
         cleaned = F.regexp_replace(cleaned, _java(pattern), "")
-    staged = texts.withColumn("_c", cleaned)
+    staged = texts.withColumn("_c", F.when(recovery_possible(F.col(text)), cleaned).otherwise(F.when(F.col(text).isNotNull(), F.lit(""))))
     return staged.withColumn(
         "recovery", matches_any(F.col("_c"), RECOVERY) & matches_any(F.col("_c"), RECOVERY_OBSERVED)
     ).drop("_c")
