@@ -5,6 +5,7 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from searchloom.operators import experiment as ex
+from searchloom.operators import replay
 from searchloom.plans import sqltext as q
 from searchloom.plans.compare_queries import COLLECTION, QUALITY, issue_list
 from searchloom.plans.registry import query
@@ -481,6 +482,47 @@ def f19(spark, sf):
     )
 
 
+BALANCE = ("treatment_units", "control_units", "treatment_mean", "control_mean", "absolute_difference", "standardized_difference")
+RESULT = ("did", "standard_error", "ci_lower", "ci_upper", "t_units", "c_units")
+
+
+@query(
+    "f19_leaf_differences",
+    EST
+    + """SELECT experiment_id, 'assignments.' || unit_id || '.group' AS path, 'changed' AS issue FROM (SELECT *, split_part(unit_id, '-', 2)::BIGINT AS u FROM assigned) a WHERE u % 7 = 0
+    UNION ALL SELECT experiment_id, 'estimates.' || metric || '.did', 'changed' FROM estimates WHERE metric = 'views' AND did IS NOT NULL
+    UNION ALL SELECT DISTINCT experiment_id, 'balance.errors.treatment_mean', 'changed' FROM assigned WHERE "group" = 'treatment'
+    UNION ALL SELECT DISTINCT experiment_id, 'balance.clicks.control_units', 'not_stored' FROM assigned
+    UNION ALL SELECT DISTINCT experiment_id, 'balance.clicks.note', 'not_recomputed' FROM assigned""",
+)
+def f19_leaves(spark, sf):
+    """Stored documents and assignments with known changes against a recomputation of balance, estimates and assignments."""
+    specs, units = _specs(spark, sf), _units(spark, sf)
+    assigned = cut_lineage(ex.assign_units(units, specs), "assignments")
+    balance = cut_lineage(ex.balance(units, assigned, METRICS), "balance")
+    estimated = cut_lineage(_estimates(spark, sf).select("experiment_id", "metric", *RESULT), "estimates")
+    number = F.substring_index("unit_id", "-", -1).cast("bigint")
+    flipped = F.when(F.col("group") == "treatment", F.lit("control")).otherwise(F.lit("treatment"))
+    kept = assigned.withColumn("group", F.when(number % 7 == 0, flipped).otherwise(F.col("group")))
+    clicks = F.col("metric") == "clicks"
+    held = balance.withColumns(
+        {"treatment_mean": F.col("treatment_mean") + F.when(F.col("metric") == "errors", 1e-6).otherwise(0.0), "control_units": F.when(~clicks, F.col("control_units")), "note": F.when(clicks, F.lit("as agreed"))}
+    )
+    moved = estimated.withColumn("did", F.col("did") + F.when(F.col("metric") == "views", 1e-6).otherwise(0.0))
+
+    def document(rows, name, fields):
+        # one entry a metric, so an experiment's document is small
+        entry = F.struct(F.col("metric"), F.struct(*fields))
+        return rows.groupBy("experiment_id").agg(F.map_from_entries(F.collect_list(entry)).alias(name))
+
+    documents = document(held, "balance", [*BALANCE, "note"]).join(document(moved, "estimates", RESULT), "experiment_id", "full")
+    stored = cut_lineage(documents.select("experiment_id", F.to_json(F.struct("balance", "estimates")).alias("text")), "stored")
+    stored = replay.document_leaves(stored.withColumn("v", F.parse_json("text")), "v").unionByName(replay.table_leaves(kept, "assignments", ["unit_id"], ["group"]))
+    again = replay.table_leaves(balance, "balance", ["metric"], BALANCE).unionByName(replay.table_leaves(estimated, "estimates", ["metric"], RESULT))
+    again = again.unionByName(replay.table_leaves(assigned, "assignments", ["unit_id"], ["group"]))
+    return replay.leaf_differences(stored, again).select("experiment_id", "path", "issue")
+
+
 # the normal density integrated by Simpson's rule: what lies outside of z standard errors around the registered effect
 POWERS = f"""powers AS (SELECT *, CASE WHEN se > 0 AND mde > 0 THEN 1 - (2 * z / 2000) / 3 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001),
       lambda k: (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(k * 2 * z / 2000 - z - mde / se, 2) / 2))) WHEN se = 0 AND mde > 0 THEN 1 END AS p
