@@ -2,7 +2,8 @@
 
 A page is cut into flat blocks: the text between two block-level tags. A block has its word count, its link density, the same of
 the block before and after it, and three marks of the elements around it. A decision tree grown on a small labelled
-table (``extraction_examples``) says which blocks are main text; they are joined in page order by one space.
+table (``extraction_examples``) says which blocks are main text; they are joined in page order by one space. Most of the labelled pages
+carry no marks, so the tree decides by words, links and neighbours where marks say nothing.
 
 Scripts, styles, comments and the page head have no blocks. Character references are decoded, white space inside a block becomes one
 space. Elements left open are closed by the end of what holds them, a paragraph by the next block.
@@ -201,7 +202,7 @@ class Tree:
             node[inner] = np.where(low, left[at], right[at])
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 10, least: int = 2) -> Tree:
     """Greedy tree by Gini impurity; ties take the first feature and the lowest limit."""
     tree = Tree([], [], [], [], [])
 

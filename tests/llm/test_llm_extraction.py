@@ -46,10 +46,40 @@ def test_tree_learns_its_table_and_uses_neighbours():
     rows, labels = extraction.labelled(extraction.EXAMPLES)
     tree = extraction.trained()
     assert (tree.decide(rows) == labels).mean() > 0.97
+    used = {extraction.FEATURES[f] for f in tree.feature if f >= 0}
+    assert {"links_before", "words_before", "links_after", "words_after"} <= used, used
+    assert extraction.FEATURES[tree.feature[0]] == "links"
     found = extraction.blocks("<p>one two</p><p><a>three</a> four</p>")
     assert extraction.features(found)[:, :6].tolist() == [[2, 0, 0, 0, 2, 0.5], [2, 0.5, 2, 0, 0, 0]]
 
 
+def unmarked(page):
+    """The page with plain boxes in place of elements and classes that say what they hold."""
+    page = re.sub(r"<(/?)(?:nav|article|footer|aside|section|header|main|form)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"<(div|p|ul|li)\s+(?:class|id|role)=[^>]*>", r"<\1>", page)
+
+
+def test_supplied_pages_without_marks(spark, sf_dir):
+    """Only words, links, neighbours and headings are left to decide by."""
+    tree, right, total = extraction.trained(), 0, 0
+    for row in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        truth = [b.main and not b.aside for b in extraction.blocks(row["html"])]
+        found = extraction.blocks(unmarked(row["html"]))
+        assert len(found) == len(truth) and not any(b.aside or b.main for b in found)
+        right += (tree.decide(extraction.features(found)) == truth).sum()
+        total += len(truth)
+    assert right / total > 0.98, right / total
+
+
+def test_neighbours_decide_without_marks():
+    """The same line is main text between paragraphs and none between links."""
+    line, long, link = "<div>these are eight words of one short line</div>", f"<div>{WORDS}</div>", "<div><a href='x'>elsewhere</a></div>"
+    tree = extraction.trained()
+    between_text = extraction.main_blocks(f"<body>{link}<h1>Title of it</h1>{long}{line}{long}{line}{long}{link}</body>", tree)
+    assert between_text.count("these are eight words of one short line") == 2 and "elsewhere" not in between_text
+    assert extraction.main_blocks(f"<body>{link}{link}{line}{link}{line}{link}</body>", tree) == []
+
+
 def test_many_open_tags_take_linear_time():
     page = "<div class=x><a href='" * 3000 + "<p>" * 20000
     assert extraction.main_blocks(page, extraction.trained()) is not None
