@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from searchloom.functions.dates import as_of_day
 from searchloom.functions.numbers import clean, ratio, sum_if
+from searchloom.operators.skew import bucketed_rank
 from searchloom.session import cut_lineage
 
 # Day boundary of search exports, export row limit of the AI surface.
@@ -183,22 +184,22 @@ def cohort_metrics(labelled: DataFrame, dims: Sequence[str] = DIMENSIONS) -> Dat
 
 
 def top_cohorts(cohorts: DataFrame, top: int) -> DataFrame:
-    """First ``top`` values per property and dimension, with the group count; 0 keeps all, unranked.
+    """First ``top`` values per property and dimension, with the group count; 0 keeps all of them (``rank`` is then a bigint).
 
     The rank filter is applied before the shuffle as well, so a property with very many values sends
-    only ``top`` rows per task to the ranking step. Ranking and counting both read the cohorts, so these
+    only ``top`` rows per task to the ranking step; without a filter, ranges of the order are ranked apart. Ranking and counting both read the cohorts, so these
     are written once to the shared folder and the search rows are scanned once.
     """
     keys = ["property_id", "dimension"]
     cohorts = cut_lineage(cohorts, "cohorts")
-    totals = cohorts.groupBy(*keys).agg(F.count("*").alias("groups_total"))
+    order = [F.desc("current_impressions"), F.desc("baseline_impressions"), F.asc("value")]
     if top == 0:
-        return cohorts.join(totals, keys)
-    order = Window.partitionBy(*keys).orderBy(
-        F.desc("current_impressions"), F.desc("baseline_impressions"), F.asc("value")
-    )
-    ranked = cohorts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.join(totals, keys).withColumn("groups_returned", F.least("groups_total", F.lit(top).cast("bigint")))
+        dealt = cohorts.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
+        every = bucketed_rank(cut_lineage(dealt, "ranges"), keys, order, F.col("_slice"), total="groups_total")
+        return every.drop("_slice").withColumn("groups_returned", F.col("groups_total"))
+    totals = cohorts.groupBy(*keys).agg(F.count("*").alias("groups_total"))
+    ranked = cohorts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col("rank") <= top).join(totals, keys).withColumn("groups_returned", F.least("groups_total", F.lit(top).cast("bigint")))
 
 
 def coverage(rows: DataFrame, baseline: DateWindow, current: DateWindow, dims: Sequence[str] = DIMENSIONS) -> DataFrame:

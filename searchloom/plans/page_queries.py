@@ -155,6 +155,31 @@ def h4(spark, sf):
     return rows.select("o_orderkey", F.array_join(pages.directive_tokens(F.array("value")), ",").alias("tokens"))
 
 
+NAMED = ", ".join(f"'{name}'" for name in pages.VALUE_DIRECTIVES)
+HEARD = ", ".join(f"'{name}'" for name in ("", *pages.SCOPES))
+
+
+@query(
+    "h4_page_directives",
+    BASE
+    + f""", spelled AS (SELECT page_id, site_id, url, i, list_filter(list_transform(string_split_regex(lower(value), '[,;]'), lambda x: trim(x)), lambda x: x <> '') AS items
+      FROM (SELECT page_id, site_id, url, unnest(robots) AS value, generate_subscripts(robots, 1) AS i FROM facts) v),
+    items AS (SELECT page_id, site_id, url, i, unnest(items) AS item, generate_subscripts(items, 1) AS k FROM spelled),
+    named AS (SELECT *, contains(item, ':') AND regexp_full_match(trim(split_part(item, ':', 1)), '[a-z0-9_-]+') AND trim(split_part(item, ':', 1)) NOT IN ({NAMED}) AS scoped FROM items),
+    held AS (SELECT *, coalesce(last_value(CASE WHEN scoped THEN trim(split_part(item, ':', 1)) END IGNORE NULLS) OVER (PARTITION BY page_id, i ORDER BY k), '') AS scope,
+      trim(split_part(CASE WHEN scoped THEN substr(item, strpos(item, ':') + 1) ELSE item END, ':', 1)) AS token FROM named),
+    heard AS (SELECT page_id, token FROM held WHERE token <> '' AND scope IN ({HEARD})),
+    tokens AS (SELECT page_id, token FROM heard UNION SELECT page_id, unnest(['noindex', 'nofollow']) FROM heard WHERE token = 'none')
+    SELECT f.site_id, f.url, len(f.robots)::INT AS n_values, coalesce(t.tokens, '') AS tokens, coalesce(t.noindex, FALSE) AS noindex FROM facts f
+      LEFT JOIN (SELECT page_id, string_agg(token, ',' ORDER BY token) AS tokens, bool_or(token = 'noindex') AS noindex FROM tokens GROUP BY page_id) t USING (page_id)""",
+)
+def h4_pages(spark, sf):
+    """Directives of every page from its own meta elements and response header."""
+    f = pages.page_facts(_input(spark, sf, "site_pages"))
+    tokens = F.array_join(pages.directive_tokens(F.col("robots")), ",").alias("tokens")
+    return f.select("site_id", "url", F.size("robots").alias("n_values"), tokens, "noindex")
+
+
 @query(
     "h5_image_resources",
     BASE

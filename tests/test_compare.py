@@ -169,6 +169,7 @@ def test_top_zero_keeps_all(spark):
     d = dt.date(2026, 6, 2)
     rows = _rows(spark, [(d, f"/{i}", "", "", "", 0.0, float(i), None) for i in range(5)])
     cohorts = compare.cohort_metrics(compare.label_windows(rows, MAY, JUNE))
-    assert compare.top_cohorts(cohorts, 0).count() == 5
+    every = compare.top_cohorts(cohorts, 0).orderBy("rank").collect()
+    assert [(r.rank, r.value, r.groups_total, r.groups_returned) for r in every] == [(i + 1, f"/{4 - i}", 5, 5) for i in range(5)]
     best = compare.top_cohorts(cohorts, 2).orderBy("rank").collect()
     assert [r.value for r in best] == ["/4", "/3"] and best[0].groups_total == 5
