@@ -8,7 +8,8 @@ it whole or not at all.
 
 Defined results: a null text has size 0 and takes nothing; null is a source of its own and comes last; a source of size 0 has
 target 0; repeated rows stand side by side in the seeded order and are taken one by one; an empty table gives an empty
-result. Ties of the seeded order exist only between rows with equal id and size.
+result. Rows without an id are ordered by a hash of their text. Ties of the seeded order exist only between rows with equal id, or with neither
+id nor different text.
 """
 
 from __future__ import annotations
@@ -62,9 +63,9 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     return out.withColumn("whole", whole.cast("long")).withColumn("rest", taken - F.col("whole") * F.col("source_size"))
 
 
-def seeded_order(doc_id: Column, seed: str) -> Column:
-    """Hex digest that orders a source's documents."""
-    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def seeded_order(doc_id: Column, tie: Column, seed: str) -> Column:
+    """Hex digest that orders a source's documents: by id, rows without one by ``tie``."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), tie.cast("string"), F.lit(""))))
 
 
 def taken_words(
@@ -72,7 +73,7 @@ def taken_words(
 ) -> DataFrame:
     """``rows`` with ``source_size``, ``target``, ``whole``, ``part`` and ``taken``.
 
-    Both inputs have ``doc_id``, ``source`` and ``size`` of the same documents; ``rows`` may carry more, ``sized`` is what the sums
+    Both inputs have ``doc_id``, ``source``, ``size`` and ``_tie`` (a hash of the text where the id is null) of the same documents; ``rows`` may carry more, ``sized`` is what the sums
     are read from. A document's place in its source is a running sum over the seeded order. The order is cut by the
     digest's first digits, as many as the rows of the largest source ask for; buckets are summed first and only one row per
     bucket is passed on, so a source with a third of all rows never meets in one task.
@@ -86,7 +87,7 @@ def taken_words(
     targets = source_targets(sizes.drop("n"), weights, share, epochs).select(_key().alias("_key"), "source_size", "target", "whole", "rest")
 
     def spot(df: DataFrame) -> DataFrame:
-        placed = df.withColumn("_key", _key()).withColumn("_order", seeded_order(F.col("doc_id"), seed))
+        placed = df.withColumn("_key", _key()).withColumn("_order", seeded_order(F.col("doc_id"), F.col("_tie"), seed))
         return placed.withColumn("_bucket", F.substring("_order", 1, digits))
 
     buckets = spot(sized).groupBy("_key", "_bucket").agg(F.sum("size").alias("_sum"))
@@ -98,7 +99,7 @@ def taken_words(
     return (
         placed.withColumn("part", part.cast("long"))
         .withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
-        .drop("_key", "_order", "_bucket", "_at", "_before", "rest")
+        .drop("_key", "_tie", "_order", "_bucket", "_at", "_before", "rest")
     )
 
 
@@ -111,6 +112,7 @@ def _sized(docs: DataFrame, doc_id: str, text: str, source: str) -> list[Column]
     return [
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
         word_count(F.col(f"`{text}`").cast("string")).alias("size"),
+        F.when(F.col(f"`{doc_id}`").isNull(), F.xxhash64(F.col(f"`{text}`").cast("string"))).alias("_tie"),
     ]
 
 

@@ -5,7 +5,7 @@ also counted per host, the host's rate is shrunk towards the corpus by an empiri
 shrunk rate of any rule is above ``limit`` is rejected with all its documents.
 
 Defined results: a null text counts as an empty one (0 words, fails the base rule); a null host is a host of its own;
-repeated rows are measured and counted one by one; an empty table gives an empty result. Other columns are
+repeated rows are measured and counted one by one; very long texts are measured whole, one at a time; an empty table gives an empty result. Other columns are
 never read, whatever their names.
 """
 

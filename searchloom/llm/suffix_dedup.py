@@ -13,7 +13,7 @@ removed; windows are judged on the input.
    by the hash of the bytes that ``STEPS`` windows share, and at last into single windows, which are counted. Nothing is dropped.
 
 Defined results: a null text is an empty one; a text shorter than a window keeps everything; repeated rows, also with
-equal ids, are occurrences of each other; an empty table gives an empty result.
+equal ids, are occurrences of each other; very long texts are read in slices of bounded memory; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom.llm.suffixes import common_prefixes, suffix_order, words_at
-from searchloom.llm.text import fresh
+from searchloom.llm.text import fresh, packed
 from searchloom.session import cut_lineage, scratch_path
 
 WINDOW = 400
@@ -338,16 +338,16 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """``docs`` with the repeated bytes gone from ``text``; bytes of a character cut in two become a replacement sign."""
-    table, rows = _distinct_texts(docs, text)
+    """``docs`` with the repeated bytes gone from ``text``; bytes of a character cut in two become a replacement sign.
+
+    Columns are packed away, whatever their names; null texts stay null.
+    """
+    table, rows = _distinct_texts(packed(docs, F.col(f"`{text}`").cast("string").alias("text")), "text")
     found = _judged(docs.sparkSession, table, window, group).select("digest", "removed")
 
     @F.pandas_udf("string")
     def cut(bodies: pd.Series, removed: pd.Series) -> pd.Series:
         return pd.Series([b if b is None else without(b.encode(), list(r)).decode(errors="replace") for b, r in zip(bodies, removed)], dtype=object)
 
-    packed_rows = rows.select(F.struct(*docs.columns).alias("_row"), "_digest")
-    joined = packed_rows.join(found, F.col("_digest") == F.col("digest"))
-    body = F.col("_row").getField(text).cast("string")
-    done = joined.withColumn("_row", F.col("_row").withField(text, cut(body, F.col("removed"))))
-    return done.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    joined = rows.join(found, F.col("_digest") == F.col("digest"))
+    return joined.select(*[(cut("text", "removed") if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -10,7 +10,8 @@ driver small (about 30 MB) whatever the corpus. Counts, selection and feature va
 
 Defined results: a null text is an empty one and gets the score of no n-grams; a null id is not held out and has no label; a
 document labelled twice is toxic if one label says so; null labels are not used; without labels of both kinds every score is the
-share of toxic labels (0 without any); repeated rows are scored one by one; an empty table gives an empty result.
+share of toxic labels (0 without any); repeated rows are scored one by one; very long texts are read whole; texts of fewer than 50
+n-grams are weighed as if they had 50, so that one word does not decide alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations

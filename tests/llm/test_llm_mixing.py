@@ -77,7 +77,18 @@ def test_mixed_rows_are_whole_and_come_near_the_plan(spark):
 
 
 def test_many_rows_of_one_source_are_cut_into_buckets(spark):
-    rows = spark.range(3000).selectExpr("id doc_id", "'s' source", "id % 7 size")
+    rows = spark.range(3000).selectExpr("id doc_id", "'s' source", "id % 7 size", "cast(null as long) _tie")
     out = mixing.taken_words(rows, rows, (1,), 1.25, 2.0, "seed", bucket_rows=10).collect()
     assert abs(sum(r["taken"] for r in out) - 1.25 * sum(r["size"] for r in out)) <= 0.5
     assert {r["taken"] / r["size"] for r in out if r["size"] and r["part"] in (0, r["size"])} == {1.0, 2.0}
+
+
+def test_rows_without_id_are_spread_over_the_order(spark):
+    rows = spark.createDataFrame([(None, f"text number {i} " * (i % 9 + 1), "s") for i in range(400)], "doc_id long, text string, source string")
+    sized = rows.select(*mixing._sized(rows, "doc_id", "text", "source"))
+    places = sized.select(mixing.seeded_order(sized["doc_id"], sized["_tie"], "mix-1").alias("o")).distinct().count()
+    assert places == 400
+    plan = mixing.mixture(rows).collect()
+    again = mixing.mixture(rows.repartition(7)).collect()
+    key = lambda r: (r["size"], r["taken"])
+    assert sorted(map(key, plan)) == sorted(map(key, again)) and abs(sum(r["taken"] for r in plan) - 1.5 * sum(r["size"] for r in plan)) <= 0.5

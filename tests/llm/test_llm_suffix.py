@@ -90,3 +90,16 @@ def test_odd_rows(spark):
     assert out.columns == odd(spark).columns and out.count() == len(ODD)
     left = {r["doc_id"]: r["text"] for r in out.collect()}
     assert left[4] == "one" and left[6] in ("", "same id, other text " * 20) and left[1] is None
+
+
+def test_remove_repeats_keeps_columns_of_any_name(spark):
+    """Columns named as those the operator uses, and names with dots."""
+    twice = "a passage that stands in two texts " * 20
+    rows = [(i, text, f"b{i}", f"d{i}", f"x{i}") for i, text in enumerate([twice + "left", "right" + twice, None, "", "alone"])]
+    frame = spark.createDataFrame(rows, "id long, `the.text` string, _body string, _digest string, text string")
+    got = {r["id"]: tuple(r) for r in sd.remove_repeats(frame, text="the.text").collect()}
+    assert {i: r[2:] for i, r in got.items()} == {i: (f"b{i}", f"d{i}", f"x{i}") for i in range(5)}
+    kept = [got[i][1] for i in range(5)]
+    assert kept[2:] == [None, "", "alone"]
+    # a passage repeats inside itself as well, so all its windows go
+    assert kept[0].endswith("left") and len(kept[0]) < 400 and kept[1].startswith("right") and len(kept[1]) < 400
