@@ -1,8 +1,9 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from searchloom.functions import urls
-from searchloom.functions.html_tokens import read_page, srcset_urls
+from searchloom.functions.html_tokens import PIECE_BYTES, read_batches, read_page, srcset_urls
 from searchloom.operators import graph, pages, robots, rules, sitemaps
 
 SITE = "https://example.com"
@@ -165,3 +166,17 @@ def test_content_only_in_the_rendered_page(spark, site):
     source = pages.page_facts(shell.selectExpr("*", "CAST(NULL AS array<string>) AS x_robots_tag"))
     found = rules.RULES["rendering.content-client-only"](rules.Site(facts=source, sites=site.sites, rendered=site.facts))
     assert [r.url for r in found.collect()] == [f"{SITE}/"]
+
+
+def test_a_large_batch_leaves_the_worker_in_small_ones():
+    texts = [HOME, None, "", PRODUCTS * 100, GERMAN] * 240
+    batch = pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "url": [f"{SITE}/{n}" for n in range(len(texts))], "html": texts})
+    out = list(read_batches(iter([batch, batch.slice(0, 0), batch.slice(7, 1)])))
+    assert [n for piece in out for n in piece.column("n").to_pylist()] == [*range(len(texts)), 7]
+    for piece in out:
+        assert len(piece) <= PIECE_BYTES // 1024
+        read = [len(texts[n] or "") for n in piece.column("n").to_pylist()]
+        assert sum(read) <= PIECE_BYTES + max(read)
+    row = next(piece.slice(i, 1) for piece in out for i, n in enumerate(piece.column("n").to_pylist()) if n == 604)
+    wanted = read_page(f"{SITE}/604", GERMAN)
+    assert {k: row.column(k)[0].as_py() for k in ("visible_text", "document_base", "json_ld_types")} == {k: wanted[k] for k in ("visible_text", "document_base", "json_ld_types")}
