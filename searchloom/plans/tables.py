@@ -7,6 +7,7 @@ query and its check start from the same rows; everything after the projection is
 from __future__ import annotations
 
 import re
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _closure(names: tuple[str, ...]) -> list[str]:
+def _closure(names: tuple[str, ...], given: Collection[str] = ()) -> list[str]:
     ordered: list[str] = []
 
     def visit(item: str) -> None:
+        if item in given:
+            return
         for need in VIEWS[item][0]:
             visit(need)
         if item not in ordered:
@@ -41,17 +44,20 @@ def _closure(names: tuple[str, ...]) -> list[str]:
     return ordered
 
 
-def with_views(*names: str, extra: str = "", recursive: bool = False) -> str:
-    """``WITH`` clause defining the named views (and what they read) for a check."""
-    parts = [f"{name} AS (\n{VIEWS[name][1]}\n)" for name in _closure(names)]
+def with_views(*names: str, extra: str = "", recursive: bool = False, given: Collection[str] = ()) -> str:
+    """``WITH`` clause defining the named views (and what they read, but for the ``given`` ones) for a check."""
+    parts = [f"{name} AS (\n{VIEWS[name][1]}\n)" for name in _closure(names, given)]
     if extra:
         parts.append(extra.strip())
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
 
 
-def load_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named projection as a DataFrame over the tables in ``sf_dir``."""
-    text = with_views(name).replace("sha256(", "searchloom_sha(")
+def load_view(spark: SparkSession, sf_dir: str, name: str, given: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """The named projection as a DataFrame over the tables in ``sf_dir``; ``given`` holds projections on its way that are there already."""
+    given = given or {}
+    for item, rows in given.items():
+        rows.createOrReplaceTempView(item)
+    text = with_views(name, given=given).replace("sha256(", "searchloom_sha(")
     for item in TABLES:
         if re.search(rf"\b{item}\b", text):
             table(spark, sf_dir, item).createOrReplaceTempView(item)

@@ -1,3 +1,5 @@
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,12 @@ from pyspark.sql import functions as F
 from searchloom.functions import urls
 from searchloom.functions.html_tokens import PIECE_BYTES, read_batches, read_page, srcset_urls
 from searchloom.operators import graph, pages, robots, rules, sitemaps
+from searchloom.plans import load_all
+from searchloom.plans.tables import load_view
+
+load_all()
+
+from searchloom.plans import page_queries  # noqa: E402
 
 SITE = "https://example.com"
 HOME = """<!doctype html><html lang="en"><head><title>Pumps</title><meta name="description" content="d">
@@ -180,3 +188,23 @@ def test_a_large_batch_leaves_the_worker_in_small_ones():
     row = next(piece.slice(i, 1) for piece in out for i, n in enumerate(piece.column("n").to_pylist()) if n == 604)
     wanted = read_page(f"{SITE}/604", GERMAN)
     assert {k: row.column(k)[0].as_py() for k in ("visible_text", "document_base", "json_ld_types")} == {k: wanted[k] for k in ("visible_text", "document_base", "json_ld_types")}
+
+
+def test_html_goes_through_one_join(spark, tmp_path):
+    rows = [(n, f"https://a{n % 3}.example.com/{n}#x", f"<html><head></head><body>{n}</body></html>") for n in range(40)]
+    # repeated rows, one id with two addresses, one id and address with two texts, an address twice, an absent address
+    rows += [rows[7], rows[7], (8, "https://a1.example.com/else", "other"), (9, rows[9][1], "second"), (41, rows[10][1], "later"), (50, None, "none")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lean, plain = (load(spark, str(tmp_path), "site_pages") for load in (page_queries.load_pages, load_view))
+        assert lean.columns == plain.columns
+        assert sorted(map(str, lean.collect())) == sorted(map(str, plain.collect()))
+        shown = page_queries._input(spark, str(tmp_path), "site_pages")._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+        moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", shown)
+        assert sum("html#" in columns for columns in moved) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
