@@ -31,6 +31,8 @@ BUDGET_SCHEMA = "key string, address string, event_id bigint, ts timestamp, ts_u
 BUDGET_COLUMNS = [field.split()[0] for field in BUDGET_SCHEMA.split(", ")]
 MOVE_SCHEMA = "project_id string, change_id string, sequence bigint, previous_status string, status string, issue string"
 MOVE_COLUMNS = [field.split()[0] for field in MOVE_SCHEMA.split(", ")]
+# records of one change that go to the store, or come from it, in one message
+_AT_ONCE = 10_000
 _MOVES = {f"{a}>{b}" for a, targets in LEGAL_MOVES.items() for b in targets}
 
 
@@ -93,35 +95,46 @@ class Transitions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "status string, sequence bigint, ts_us bigint")
-        self.waiting = handle.getMapState("waiting", "sequence bigint, status string", "ts_us bigint")
+        # in order of arrival; many records go in one message
+        self.waiting = handle.getListState("waiting", "sequence bigint, status string, ts_us bigint")
+
+    def _wait(self, records: list[tuple]) -> None:
+        for low in range(0, len(records), _AT_ONCE):
+            self.waiting.appendList(records[low : low + _AT_ONCE])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = self.last.get()[1] if self.last.exists() else None
+        last = self.last.get()
+        passed = last[1] if last else None
         late, soonest = [], None
         for batch in rows:
-            for sequence, status, ts_us, mark in batch[["sequence", "status", "ts_us", "end_mark"]].itertuples(index=False):
+            arrived = []
+            for sequence, status, ts_us, mark in zip(*(batch[c].tolist() for c in ("sequence", "status", "ts_us", "end_mark"))):
                 if mark:
                     continue
                 if passed is not None and sequence <= passed:
                     late.append((key[0], key[1], int(sequence), None, status, "late_record"))
                     continue
-                self.waiting.updateValue((int(sequence), status), (int(ts_us),))
+                arrived.append((int(sequence), status, int(ts_us)))
                 soonest = ts_us if soonest is None else min(soonest, ts_us)
+            self._wait(arrived)
         if soonest is not None:
             self.handle.registerTimer(int(soonest // 1000) + 1)
-        yield pd.DataFrame(late, columns=MOVE_COLUMNS)
+        if late:
+            yield pd.DataFrame(late, columns=MOVE_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        previous, passed, seen = self.last.get() if self.last.exists() else (None, None, None)
-        waiting = sorted((k[0], k[1], v[0]) for k, v in self.waiting.iterator())
-        out = []
-        for sequence, status, ts_us in waiting:
+        previous, passed, seen = self.last.get() or (None, None, None)
+        # a record that came again counts once, with its last time
+        times = {(sequence, status): ts_us for sequence, status, ts_us in self.waiting.get()}
+        waiting = sorted((*k, ts_us) for k, ts_us in times.items())
+        out, left = [], []
+        for at, (sequence, status, ts_us) in enumerate(waiting):
             if ts_us // 1000 >= watermark:
                 # the records behind this one wait with it
                 self.handle.registerTimer(int(ts_us // 1000) + 1)
+                left = waiting[at:]
                 break
-            self.waiting.removeKey((sequence, status))
             if passed is not None and sequence <= passed:
                 out.append((key[0], key[1], sequence, previous, status, "repeated_sequence"))
                 continue
@@ -132,6 +145,9 @@ class Transitions(StatefulProcessor):
             if issue:
                 out.append((key[0], key[1], sequence, previous, status, issue))
             previous, passed, seen = status, sequence, ts_us
+        if len(left) < len(waiting):
+            self.waiting.clear()
+            self._wait(left)
         if passed is not None:
             self.last.update((previous, passed, seen))
             if self.keep is not None and not waiting:
@@ -139,7 +155,8 @@ class Transitions(StatefulProcessor):
                     self.last.clear()
             if self.keep is not None and waiting:
                 self.handle.registerTimer(int(seen // 1000) + self.keep * 1000 + 1)
-        yield pd.DataFrame(out, columns=MOVE_COLUMNS)
+        if out:
+            yield pd.DataFrame(out, columns=MOVE_COLUMNS)
 
     def close(self) -> None:
         pass

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 import pytest
 
 from searchloom.operators.ledger import LEGAL_MOVES
@@ -74,6 +75,48 @@ def test_late_and_repeated_records_are_named(spark, tmp_path):
     }
 
 
+class Store:
+    """State in memory that counts the messages to it."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def __getattr__(self, name):
+        def call(value=None, *more):
+            self.calls += 1
+            if name == "get":
+                return iter(self.rows) if self.many else self.value
+            if name == "appendList":
+                self.rows += value
+            elif name == "clear":
+                self.rows, self.value = [], None
+            elif name == "update":
+                self.value = value
+            elif name in ("updateValue", "removeKey", "iterator", "exists"):
+                raise AssertionError(f"a message for each record: {name}")
+
+        return call
+
+
+def test_records_of_a_change_go_to_the_store_together():
+    names = ["planned", "implemented", "artifact_verified", "cancelled"]
+    rows = [(n, names[n % 4], n * 1000, False) for n in range(30_000)]
+    order = random.Random(3).sample(rows, len(rows)) + rows[:50]
+    frames = [pd.DataFrame(order[k : k + 4000], columns=["sequence", "status", "ts_us", "end_mark"]) for k in range(0, len(order), 4000)]
+    task = stateful.Transitions()
+    task.last, task.waiting, task.handle = Store(), Store(), Store()
+    task.last.many, task.last.value, task.waiting.many = False, None, True
+
+    class Clock:
+        getCurrentWatermarkInMs = staticmethod(lambda: 20_000)
+
+    assert not list(task.handleInputRows(("p", "c"), iter(frames), Clock))
+    found = pd.concat(task.handleExpiredTimer(("p", "c"), Clock, None))
+    assert set(found.itertuples(index=False, name=None)) == batch([("p", "c", n, status, None) for n, status, _, _ in rows[:20_000]])
+    assert task.waiting.rows == [r[:3] for r in rows[20_000:]]
+    assert task.last.calls + task.waiting.calls + task.handle.calls < 20
+
+
 def replay(events, key_limit, address_limit, span):
     """What the two budgets say, event by event in time order."""
     state, out = {}, {}
