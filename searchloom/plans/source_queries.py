@@ -8,7 +8,7 @@ from searchloom.operators import gates, landing_pages
 from searchloom.plans import sqltext as q
 from searchloom.plans.registry import query
 from searchloom.plans.tables import load_view, table, with_views
-from searchloom.session import scratch_path
+from searchloom.session import cut_lineage, scratch_path
 from searchloom.sources import exports, files
 
 RAW = with_views("raw_search")
@@ -28,7 +28,8 @@ def _raw(spark, sf):
 )
 def a1(spark, sf):
     """Round trip: the search rows written as CSV and read by the export reader."""
-    rows = load_view(spark, sf, "search_daily")
+    # both kinds of files are written from the same rows
+    rows = cut_lineage(load_view(spark, sf, "search_daily"), "search-daily")
     path = scratch_path(spark, "export")
     columns = [
         F.col("day").cast("string").alias("Date"),

@@ -167,7 +167,8 @@ def read_records(spark: SparkSession, files: list[str], delimiter: str) -> DataF
     lines = spark.read.option("lineSep", "\n").text(files).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
     )
-    effects = lines.mapInArrow(_effects(delimiter), "path string, start bigint, outside bigint, inside bigint")
+    # a row per split, kept, since it is read twice and all lines stand behind it
+    effects = lines.mapInArrow(_effects(delimiter), "path string, start bigint, outside bigint, inside bigint").persist()
     # only files in which some split can end inside quotes have anything to put together
     odd = effects.where("outside = 1 or inside = 0").select("path").distinct()
     opened = effects.join(odd, "path", "left_semi").groupBy("path").applyInPandas(_started, "path string, start bigint").persist()
@@ -176,6 +177,7 @@ def read_records(spark: SparkSession, files: list[str], delimiter: str) -> DataF
         rows = [tuple(r) for r in opened.collect()] if many <= SENT else None
     finally:
         opened.unpersist()
+        effects.unpersist()
     if rows is not None:
         sent = F.broadcast(spark.createDataFrame(rows, "path string, start bigint").withColumn("inside", F.lit(1)))
         placed = lines.join(sent, ["path", "start"], "left")

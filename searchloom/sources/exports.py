@@ -210,7 +210,7 @@ def refuse_sensitive_headers(headers: Sequence[str], crm: bool = False) -> None:
 def header_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """First line that is not blank -> files that begin with it; one row per file comes back."""
     lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_at"))
-    filled = lines.filter(F.trim(F.regexp_replace("value", "\ufeff", "")) != "")
+    filled = lines.filter(F.trim(F.replace(F.col("value"), F.lit("\ufeff"), F.lit(""))) != "")
     first = filled.groupBy("file_path").agg(F.min_by("value", F.struct("file_block_start", "_at")).alias("header"))
     files: dict[str, list[str]] = {}
     for row in first.orderBy("file_path").toLocalIterator():
@@ -265,11 +265,14 @@ def _read_group(spark: SparkSession, files: list[str], delimiter: str, names: Se
     fields = [*(f"c{k}" for k in range(len(names))), "spare", "malformed"]
     options = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed", "multiLine": "true"}
     records = csv_records.read_records(spark, files, delimiter).where(F.trim("record") != "")
-    rows = records.select("path", "at", F.from_csv("record", ", ".join(f"{f} string" for f in fields), options).alias("r"))
+    # rows of arrays of one keep the filter below from repeating the parser for every field it reads
+    once = lambda column: F.explode(F.array(column))
+    rows = records.select("path", "at", once(F.from_csv("record", ", ".join(f"{f} string" for f in fields), options)).alias("r"))
     cells = [F.col("r").getField(f"c{k}") for k in range(len(names))]
     # every proper row lacks the spare field, so the parser keeps its text; its delimiters outside quotes tell its length
     malformed = F.col("r").getField("malformed")
-    found = F.size(F.split(F.regexp_replace(malformed, r'"(?:[^"]|"")*"', ""), re.escape(delimiter), -1))
+    length = F.size(F.split(F.regexp_replace(malformed, r'"(?:[^"]|"")*"', ""), re.escape(delimiter), -1))
+    rows, found = rows.select("*", once(length).alias("_found")), F.col("_found")
     too_long = F.col("r").getField("spare").isNotNull() | malformed.isNull() | (found > len(names))
     blank = F.forall(F.array(*cells), lambda v: F.coalesce(F.trim(v), F.lit("")) == "")
     issue = F.when(too_long, F.lit("row_longer_than_header")).when(found < len(names), F.lit("row_shorter_than_header"))

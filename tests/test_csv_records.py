@@ -80,3 +80,12 @@ def test_bare_quotes_short_and_long_rows(small_splits, tmp_path):
 def test_many_open_splits_meet_by_a_join(small_splits, tmp_path, monkeypatch):
     monkeypatch.setattr(csv_records, "SENT", 0)
     test_one_field_over_many_splits(small_splits, tmp_path)
+
+
+def test_each_record_meets_the_parser_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Date,Top pages,Clicks,Impressions\n2024-01-01,"/a, b",1,2\n,,,\n')
+    rows = exports.read_search_csv(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # one group of files, whose records come whole or from pieces at the edges of splits
+    assert plan.count("from_csv(") + plan.count("csvtostructs(") <= 2
+    assert [(r["page"], r["clicks"], r["row_issue"]) for r in rows.collect()] == [("/a, b", "1", None)]
